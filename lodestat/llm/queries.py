@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestat.llm import oracles
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
+from lodestat.llm.simhash import near_duplicates
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination,)}
+    return {f.__name__: f for f in (op1_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
