@@ -23,3 +23,164 @@ from docs left join words using (rid) left join found using (rid)
 """
 
 SQL: dict[str, str] = {"op1_decontamination": OP1}
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    from lodestat.llm import licenses as lic
+
+    known = lic.known_sentences(lic.SENTENCES)
+    names = "case s " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in known.items()) + " else '-' end"
+    anchor = "(?i)" + "|".join("[^A-Za-z0-9]+".join(a.split()) for a in lic.ANCHORS)
+    wrapped = r"regexp_replace(regexp_replace(t, '\n[\x20\x09\x0D]*\n', '. ' || chr(10), 'g'), '([^.!?;\n])[\x20\x09\x0D]*\n', '\1 ', 'g')"
+    ids = rf"""list_transform(list_filter(list_transform(string_split(regexp_replace({{}}, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: not regexp_matches(s, '^(?:[0-9 ]*|[a-z])$')), lambda s: {names})"""
+    step = "case when contains({0}, {1}) then replace({0}, {1}, ',#,') else {0} end"
+    rounds = []
+    for i, (name, _, row) in enumerate(lic.RULES):
+        pattern = _quote("," + ",".join(row) + ",")
+        rounds.append(f"r{i + 1} as (select rid, doc_id, a, b, {step.format('x', pattern)} x, {step.format('y', pattern)} y, case when contains(x, {pattern}) or contains(y, {pattern}) then list_append(f, {_quote(name)}) else f end f from r{i})")
+    kinds = " ".join(f"when list_has_any(l, [{', '.join(_quote(n) for n in sorted({n for n, kk, _ in lic.RULES if kk == k}))}]) then '{k}'" for k in lic.KINDS)
+    return rf"""
+with d as (select row_number() over () rid, doc_id, case when regexp_matches(text, {_quote(anchor)}) then text end t from documents),
+i as (select rid, doc_id, {ids.format("t")} a, {ids.format(wrapped)} b from d),
+r0 as (select rid, doc_id, a, b, ',' || array_to_string(a, ',') || ',' x, ',' || array_to_string(b, ',') || ',' y, cast([] as varchar[]) f from i),
+{", ".join(rounds)},
+o as (select doc_id, list_sort(list_distinct(f)) l, list_filter(a, lambda s: s != '-') ka, list_filter(b, lambda s: s != '-') kb from r{len(lic.RULES)}),
+p as (select doc_id, l, coalesce(case when len(kb) > len(ka) then kb else ka end, []) k from o)
+select doc_id, array_to_string(l, ',') licences, array_to_string(k, ',') sentences, cast(len(k) as bigint) n_sentences, case {kinds} else 'none' end kind from p
+"""
+
+
+def _url_sql() -> str:
+    from lodestat.llm import urls
+
+    rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.HOST_RULES)
+    words = "|".join(urls.BLOCKED_WORDS)
+    return rf"""
+with rules(action, h, p) as (values {rules}),
+u as (select row_number() over () rid, page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+best as (select rid, arg_max(h || p, (length(h || p), h || p)) rule, arg_max(action, (length(h || p), h || p)) action
+  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by rid)
+select page_id, host, path, rule,
+  coalesce(action, case when regexp_matches(host, '(?s)(^|[.-])({words})([^a-z0-9]|$)') then 'block' else 'allow' end) verdict
+from u left join best using (rid)
+"""
+
+
+_KEY = "cast('0x' || substr(md5({}), 1, 15) as bigint)"
+_CRC = r"""xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+  lambda x: cast('0x' || x as bigint))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+OP6 = rf"""
+with recursive t as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) tab),
+d as (select row_number() over () rid, doc_id, cast(octet_length(encode(coalesce(text, ''))) + 16 as bigint) size, {_CRC} text_crc32,
+  {_KEY.format("coalesce(cast(doc_id as varchar), '')")} k from documents, t),
+j(rid, n, k, b, nxt) as (
+  select rid, n, cast(k as hugeint), cast(-1 as bigint), cast(0 as bigint) from d, (values (40), (41)) s(n)
+  union all
+  select rid, n, k2, nxt, cast(floor((nxt + 1) * (2147483648::double / cast((k2 // 8589934592) + 1 as double))) as bigint)
+  from (select rid, n, nxt, (k * 2862933555777941757 + 1) % 18446744073709551616 k2 from j where nxt < n)),
+s as (select rid, n, max(b) shard from j group by rid, n)
+select doc_id, size, text_crc32, 'key' law, cast(a.shard as integer) shard,
+  row_number() over (partition by a.shard order by k, doc_id, text_crc32, size) - 1 slot, cast(g.shard as integer) grown_shard
+from d join s a on a.rid = d.rid and a.n = 40 join s g on g.rid = d.rid and g.n = 41
+"""
+
+OP8 = rf"""
+with recursive d as (select row_number() over () rid, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) tokens from documents),
+s as (select source, sum(tokens)::bigint tokens from d group by source),
+p as (select list(tokens / total::double) shares, count(*) n, max(tokens) most, min(tokens) least, max(total) total
+  from (select source, tokens, sum(tokens) over () total from s where tokens > 0)),
+even(m, lo, hi, ok) as (
+  select null::bigint, 0::bigint, 1048576::bigint, null::boolean
+  union all
+  select mid, case when uneven then lo else mid + 1 end, case when uneven then mid else hi end, uneven
+  from (select lo, hi, (lo + hi) // 2 mid,
+    ln(list_sum(list_transform(shares, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0))))
+    - ((lo + hi) // 2) / 1048576.0 * list_sum(list_transform(shares, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0) * ln(x)))
+      / list_sum(list_transform(shares, lambda x: pow(x, ((lo + hi) // 2) / 1048576.0))) < 0.998 * ln(n) - 1e-9 uneven
+    from even, p where lo < hi)),
+floors(lo, hi) as (
+  select 0::bigint, 1048576::bigint
+  union all
+  select case when ok then lo else (lo + hi) // 2 + 1 end, case when ok then (lo + hi) // 2 else hi end
+  from (select lo, hi, pow(most / least::double, 1 - ((lo + hi) // 2) / 1048576.0) <= 2.0 ok from floors, p where lo < hi)),
+chosen as (select case when n < 2 then 1.0::double else greatest(
+    case when ln(list_sum(shares)) - list_sum(list_transform(shares, lambda x: x * ln(x))) / list_sum(shares) < 0.998 * ln(n) - 1e-9
+      then greatest(0, (select max(lo) from even where lo >= hi) - 1) else 1048576 end,
+    (select max(lo) from floors where lo >= hi)) / 1048576.0::double end e from p),
+plan as (select source, tokens,
+    case when tokens > 0 then round(pow(tokens / total::double, e) / (select list_sum(list_transform(shares, lambda x: pow(x, e))) from p, chosen), 9) else 0 end weight,
+    case when tokens > 0 then round(pow(most / tokens::double, 1 - e), 9) else 1 end passes
+  from s, p, chosen),
+w as (select *, cast(floor(passes) as bigint) whole, floor((passes - floor(passes)) * tokens) rest from plan),
+k as (select d.rid, d.doc_id, d.source, d.tokens, w.weight, w.whole, w.rest,
+    {_KEY.format("coalesce(cast(doc_id as varchar), '') || '|' || cast(whole as varchar)")} key from d join w on d.source is not distinct from w.source),
+sums as (select source, key, sum(sum(tokens)) over (partition by source order by key) upto from k group by source, key),
+cuts as (select sums.source, max(key) cut from sums join w on sums.source is not distinct from w.source where upto <= rest and rest > 0 group by sums.source),
+taken as (select k.*, whole + case when key <= coalesce(cut, -1) then 1 else 0 end n from k left join cuts on k.source is not distinct from cuts.source)
+select doc_id, source, tokens, weight, cast(block as integer) block, {_KEY.format("coalesce(cast(doc_id as varchar), '') || '|' || cast(block as varchar)")} block_key
+from (select *, unnest(range(0, n)) block from taken)
+"""
+
+OP9 = r"""
+with d as (select row_number() over () rid, doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) h from documents),
+r as (select *, row_number() over (partition by h order by n desc, doc_id nulls last, rid) place, first_value(doc_id) over (partition by h order by n desc, doc_id nulls last, rid) keep_id,
+  count(*) over (partition by h) group_size from d)
+select doc_id, keep_id, group_size, place = 1 kept, h text_sha256 from r
+"""
+
+
+def _pii_sql() -> str:
+    from lodestat.llm import pii
+
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i: case when (length({digits}) - i) % 2 = 1
+      then 2 * cast(substr({digits}, i, 1) as int) - case when cast(substr({digits}, i, 1) as int) > 4 then 9 else 0 end else cast(substr({digits}, i, 1) as int) end)) % 10 = 0"""
+    good = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda p: cast(p as hugeint) > 255)) = 0",
+        "card": f"length({digits}) between 13 and 19 and {luhn}",
+        "phone": f"length({digits}) between 9 and 15",
+    }
+
+    def matches(kind: str, pattern: str, source: str, text: str) -> str:
+        return f"""select rid, '{kind}' kind, b, b + length(v) e, v from (select rid, m[i] v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) b
+      from (select rid, string_split_regex({text}, '{pattern}') g, regexp_extract_all({text}, '{pattern}') m from {source}), unnest(range(1, len(m) + 1)) u(i))"""
+
+    base = " union all ".join(f"select {n} o, * from ({matches(k, p, 'd', 't')}) where {good[k]}" for n, (k, p) in enumerate(patterns.items()))
+    term = matches("term", r"\p{L}{4,}", "(select rid, " + _LOWER.format("t") + " l from d where rid in (select rid from base))", "l")
+    counts = ", ".join(f"cast(count(*) filter (kind = '{k}') as bigint) n_{k}" for k in (*patterns, "term"))
+    return rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+base as materialized (select cast(o as int) o, rid, kind, b, e, v from ({base})),
+held as (select distinct rid, kind || ':' || case kind when 'email' then {_LOWER.format("v")} when 'ip' then v else {digits} end en from base),
+entities as (select en, count(*) n from held group by en having count(*) >= {pii.SUPPORT}),
+words as materialized ({term}),
+own as (select distinct rid, v from words w where not exists (select 1 from base b where b.rid = w.rid and b.b < w.e and w.b < b.e)),
+trip as (select own.rid, en, v from own join held using (rid) join entities using (en)),
+pairs as (select en, v, count(*) c from trip group by en, v having count(*) >= {pii.SUPPORT}),
+df as (select v, count(*) m from (select rid, unnest(list_distinct(regexp_extract_all({_LOWER.format("t")}, '\p{{L}}{{4,}}'))) v from d) group by v),
+total as (select count(*)::double n from d),
+told as (select en, v, ln(c * total.n / (m * entities.n)) / ln(total.n / entities.n) told from pairs join entities using (en) join df using (v), total where entities.n < total.n),
+chosen as (select distinct rid, v from trip join told using (en, v) where told >= {pii.GENERALISE}),
+terms as (select 4 o, w.* from words w join chosen using (rid, v) where not exists (select 1 from base b where b.rid = w.rid and b.b < w.e and w.b < b.e)),
+spans as (select * from base union all select * from terms),
+agg as (select rid, {counts}, string_agg(kind || ':' || b || ':' || e, ',' order by o, b) filter (o < 4) base, string_agg(kind || ':' || b || ':' || e, ',' order by o, b) spans from spans group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) n_{k}" for k in (*patterns, "term"))}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join agg using (rid)
+"""
+
+
+SQL |= {"op3_licenses": _licence_sql(), "op4_urls": _url_sql(), "op6_sharding": OP6, "op7_pii": _pii_sql(), "op8_mixing": OP8, "op9_exact_dedup": OP9}

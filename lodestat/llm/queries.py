@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import language, oracles, quality
+from lodestat.llm import language, licenses, mixing, oracles, pii, quality, sharding, urls
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
+from lodestat.llm.exact_dedup import DigestIndex
 from lodestat.llm.simhash import near_duplicates
 
 
@@ -23,19 +24,52 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentences", ",").alias("sentences"), F.size("sentences").cast("long").alias("n_sentences"), "kind")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.DEFAULT_RULES))
+    # Rules of words are the method's own; the column shows the listed host rules.
+    return judged.withColumn("rule", F.when(~F.startswith("rule", F.lit("*")), F.col("rule")))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out()))
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_languages"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"))
+    mark = lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in (*pii.KINDS, "term")]
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "term"), mark), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", mark), ",").alias("spans"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.realised(table(spark, sf_dir, "documents"), entropy=0.998, repeats=2.0)
+    return mixed.withColumn("weight", F.round("weight", 9))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DigestIndex(spark).deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op5_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
