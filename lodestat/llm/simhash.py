@@ -38,6 +38,8 @@ BUCKET = 4096
 SMALL = 24
 #: What a probed row costs against a compared pair, for the choice of partitions.
 PROBE_COST = 8.0
+#: Ids that `keep_representatives` broadcasts at most, some 50 bytes each in memory.
+BROADCAST_IDS = 500_000
 _BITS = 64
 #: The bits of each byte value, and where the counts of each of a hash's bytes begin.
 _SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -341,5 +343,31 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     roots = components(links(distinct, distance, bucket))
     classes = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(least, "root").select("fingerprint", "component_id")
+    # A table of its own, so that Spark can split a fingerprint of very many rows in the last join.
+    named = cut_lineage(classes.join(least, "root").select("fingerprint", "component_id"))
     return fps.join(named, "fingerprint").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
+
+
+def keep_representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, as they were, less all but one of each component: the row with the smallest id stays.
+
+    Of rows that repeat the id that stays, the one with the least text does. Rows without an id stay where
+    the component has no id, one of them.
+    """
+    found = near_duplicates(docs, distance, shingle, id_col, text_col)
+    # The rows that go are the few: they are named, and the others stay where they are.
+    same = F.col(id_col).eqNullSafe(F.col("component_id"))
+    gone = cut_lineage(found.where(~same).select(F.col(id_col).alias("__gone")).distinct())
+    # Ids of up to BROADCAST_IDS are sent to the documents; with more, the documents are shuffled by id.
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    stay = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    again = found.where(same).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return stay
+    # An id may repeat with texts of several components: then a row of each stays apart by its text.
+    single = stay.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
+    repeated = stay.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    one = repeated.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
+    return single.unionByName(one.select("r.*"))
