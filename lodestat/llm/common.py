@@ -37,6 +37,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of one Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, after the session's limit on the bytes of Arrow batches is lowered to BATCH_BYTES.
+
+    Batches are else of so many rows, and texts may be long: a task would hold several times 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 def crc32_of(column: Column) -> Column:
     """Unsigned CRC32 of the UTF-8 bytes of a column as text; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8"))

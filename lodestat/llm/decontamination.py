@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ALNUM, LOWER, WordHasher, cut_lineage, pieces, text_bytes
+from lodestat.llm.common import ALNUM, LOWER, WordHasher, bounded_batches, cut_lineage, pieces, text_bytes
 
 #: Bytes of one shard.
 SHARD_BYTES = 2_000_000
@@ -242,7 +242,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep:
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    out = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
+    out = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
     keys = [f"__k{i}" for i in range(len(keep))]
     blocks = _blocks(benchmark, item_col, item_text_col, window)
     schema = ", ".join(f"{k} {out.schema[k].dataType.simpleString()}" for k in keys)
@@ -277,5 +277,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
                     keep[first:last] = [not x for x in spans]
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(clean, docs.schema)
     return docs

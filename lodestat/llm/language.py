@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, byte_table, crc32_of, stable_key, text_bytes
+from lodestat.llm.common import LOWER, bounded_batches, byte_table, crc32_of, stable_key, text_bytes
 
 #: Number of trigram hashes.
 BUCKETS = 1 << 15
@@ -99,7 +99,7 @@ class MixtureModel:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, penalty: float = PENALTY) -> MixtureModel:
     """A model from rows with a label. Of a language with more rows than `per_language`, that many are expected to be read."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    rows = bounded_batches(labelled).where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     sizes = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -157,7 +157,7 @@ def _inference(model, n_extra: int):
 def identify(docs: DataFrame, model: MixtureModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row of `docs`: the columns `keep`, lang_pred, score (that language's share) and mixture (all its languages)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("__text"), _has_letter(F.col(text_col).cast("string")).alias("__letter"))
+    rows = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("__text"), _has_letter(F.col(text_col).cast("string")).alias("__letter"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
     out = rows.mapInArrow(_inference(shared, len(keep)), schema)
     return out.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "mixture")
@@ -182,4 +182,4 @@ def keep_known(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_co
                 keep.append(bool(found) and found[0][1] >= least)
             yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__letter"])
 
-    return docs.withColumn("__letter", _has_letter(F.col(text_col))).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).withColumn("__letter", _has_letter(F.col(text_col))).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, WordHasher, byte_table, crc32_of, pieces, stable_key, text_bytes
+from lodestat.llm.common import LOWER, WordHasher, bounded_batches, byte_table, crc32_of, pieces, stable_key, text_bytes
 
 PASSAGE_WORDS = 64
 #: Labelled documents to learn from, at most, and passages of each.
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled documents; at most `sample` of them are read."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     known = known.orderBy(stable_key(F.col("i")), "i").limit(sample)
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")  # at most `sample` rows
+    texts = bounded_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")  # at most `sample` rows
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages()
@@ -201,6 +201,6 @@ def score(docs: DataFrame, model: AttentionModel, keep: tuple[str, ...] = ("doc_
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(value), pa.array(bags.astype(np.int64)), pa.array((np.minimum.reduceat(is_top, start) - start).astype(np.int64))], names=[*batch.schema.names[: len(keep)], "score", "n_passages", "top_passage"])
 
-    rows = docs.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("__text"))
+    rows = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("__text"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + "score double, n_passages long, top_passage long"
     return rows.mapInArrow(run, schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), "score", "n_passages", "top_passage")

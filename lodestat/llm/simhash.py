@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import cut_lineage, text_bytes
+from lodestat.llm.common import bounded_batches, cut_lineage, text_bytes
 
 #: Fingerprints of one bucket that are compared within a task; larger buckets go the way of step 4.
 BUCKET = 4096
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.array([fingerprint(raw[a:b], shingle) for a, b in itertools.pairwise(at.tolist())], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=[id_col, "fingerprint"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    rows = bounded_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fingerprint long")
 
 
