@@ -66,7 +66,7 @@ class Tables:
             .when(line == 0, j('{"type":"text","text":"', F.col("p_name"), '"}')).when(line == 3, j('{"type":"reasoning","text":"', F.col("p_type"), '"}'))
             .otherwise(j('{"type":"tool",', key, '"state":{"status":', status, ',"input":{"path":"', path, '"},"metadata":{"output":"', F.col("p_name"), '"}}}'))
         )
-        lines = self.raw("lineitem").join(self.raw("part"), p == F.col("p_partkey")).select("l_orderkey", "l_quantity", F.struct("l_linenumber", part.alias("json")).alias("part"))
+        lines = self.raw("lineitem").join(self.raw("part"), p == F.col("p_partkey")).select("l_orderkey", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", part.alias("json")).alias("part"))
         content = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["json"]), ",")
         packed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("quantity"), content.alias("content"))
         k, price = F.col("o_orderkey"), F.col("o_totalprice")
