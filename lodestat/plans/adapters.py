@@ -116,3 +116,13 @@ class Tables:
     def instruction_blob(self) -> DataFrame:
         k = F.col("p_partkey")
         return self.raw("part").where(k <= 60).select(F.concat(F.lit("h"), k.cast("string")).alias("hash"), F.when(k % 5 == 0, '""').otherwise(_quoted(F.col("p_name"))).alias("value"))
+
+    @cached_property
+    def event_stream(self) -> DataFrame:
+        """Events as a stream of steps: users are sessions, types are models, tools and statuses."""
+        schema = self.raw("events").schema
+        # a pattern, since a stream's path may not be a single file
+        rows = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/event[s].parquet")
+        kind = F.col("event_type")
+        status = F.when(kind == "error", "error").otherwise("completed")
+        return rows.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("step_id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("model_id"), F.floor(F.abs("value")).alias("tokens"), kind.alias("tool"), status.alias("status"), (kind == "error").alias("has_error"))

@@ -172,9 +172,18 @@ _PLAIN: dict[str, str] = {
     "t06_preferred_tools": "select * from (select s.agent, tool, count(*) calls, row_number() over (partition by s.agent order by count(*) desc, tool) place from tool_parts join steps s using (message_id) group by 1, 2) where place <= 3",
 }
 
+_STREAMS = {
+    "r01_stream_daily_usage": "select cast(ts as date) as day, event_type model_id, count(*) steps, cast(sum(floor(abs(value))) as bigint) tokens from events group by 1, 2",
+    "r02_stream_hourly_steps": "select date_trunc('hour', ts) hour_start, count(*) steps from events group by 1",
+    "r03_stream_tool_errors": "select cast(ts as date) as day, count(*) tool_calls, count(*) filter (event_type = 'error') errors from events group by 1",
+    "r04_stream_session_status": "select cast(user_id as varchar) session_id, count(*) steps, arg_max(event_id, (ts, event_id)) last_step, arg_max(event_type, (ts, event_id)) = 'error' last_has_error from events group by 1",
+    "r05_stream_active_sessions": "select session_id, min(ts) \"begin\", max(ts) + interval 5 minute until, count(*) steps from (select *, sum(fresh) over (partition by session_id order by ts, event_id) n from (select cast(user_id as varchar) session_id, ts, event_id, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 5 minute then 0 else 1 end fresh from events)) group by session_id, n",
+}
+
 
 def sql() -> dict[str, str]:
-    out = {name: _with() + body for name, body in _PLAIN.items()}
+    out = dict(_STREAMS)
+    out |= {name: _with() + body for name, body in _PLAIN.items()}
     trend = _TREND.format(days="days")
     more = {
         "a02_daily_trend": ([trend], "select * from trend"),

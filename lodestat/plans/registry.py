@@ -14,6 +14,7 @@ from lodestat.functions import scalars as S
 from lodestat.operators import content, export, graph, replay, search, sessions, tools, usage, views
 from lodestat.plans import oracles
 from lodestat.plans.adapters import Tables
+from lodestat.streaming import usage as streams
 
 
 def _ratios(df: DataFrame) -> DataFrame:
@@ -117,12 +118,21 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+STREAMS: dict[str, Callable[[Tables], DataFrame]] = {
+    "r01_stream_daily_usage": lambda t: streams.latest(streams.daily_usage(t.event_stream), ["day", "model_id"]),
+    "r02_stream_hourly_steps": lambda t: streams.latest(streams.hourly_steps(t.event_stream), ["hour_start"]),
+    "r03_stream_tool_errors": lambda t: streams.latest(streams.tool_errors(t.event_stream), ["day"]),
+    "r04_stream_session_status": lambda t: streams.latest(streams.session_status(t.event_stream), ["session_id"]),
+    "r05_stream_active_sessions": lambda t: streams.latest(streams.active_sessions(t.event_stream), ["session_id", "begin", "until"], mode="complete"),
+}
+
+
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _ratios(build(Tables(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(build) for name, build in OPERATORS.items()}
+    return {name: _query(build) for name, build in (OPERATORS | STREAMS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
