@@ -180,8 +180,47 @@ _STREAMS = {
     "r05_stream_active_sessions": "select session_id, min(ts) \"begin\", max(ts) + interval 5 minute until, count(*) steps from (select *, sum(fresh) over (partition by session_id order by ts, event_id) n from (select cast(user_id as varchar) session_id, ts, event_id, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 5 minute then 0 else 1 end fresh from events)) group by session_id, n",
 }
 
+#: Columns of ratios and means, rounded to nine digits on both sides.
+_ROUNDED = {
+    "f18_estimate_tokens": "tokens",
+    "f35_relative_delta": "relative_delta",
+    "a01_overview": "today_hit_rate",
+    "a02_daily_trend": "hit_rate",
+    "a04_model_leaderboard": "context_avg hit_rate output_per_step reasoning_share token_share",
+    "a07_tool_health": "error_rate",
+    "a08_tool_error_trend": "error_rate",
+    "a09_tool_tokens": "share",
+    "a11_session_survival": "short_share",
+    "a17_token_distribution": "high low mean",
+    "a18_step_distribution": "high low mean",
+    "a19_duration_distribution": "high low mean",
+    "a20_child_share": "child_token_share",
+    "a22_session_outcomes": "interrupted_share",
+    "a25_token_ledger": "cache_hit_rate",
+    "a26_token_ledger_totals": "residual_ratio",
+    "a27_content_composition": "share tool_estimated_tokens",
+    "a29_todo_stats": "completion_rate",
+    "a30_top_tools": "error_rate global_error_rate share",
+    "a33_overview_extension": "yesterday_hit_rate",
+    "a35_replay_summary": "strict_hit_rate",
+    "a38_strict_hit_rate": "strict_hit_rate",
+    "a39_cache_support": "hit_rate",
+    "w06_turn_costs": "output_share paid_share read_share",
+    "t03_top_token_tools": "share",
+}
+
+
+def _rounded(name: str, query: str) -> str:
+    columns = _ROUNDED.get(name, "").split()
+    return f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in columns)}) from (\n{query}\n)" if columns else query
+
 
 def sql() -> dict[str, str]:
+    """The SQL of each query that SQL can express."""
+    return {name: _rounded(name, query) for name, query in _exact().items()}
+
+
+def _exact() -> dict[str, str]:
     out = dict(_STREAMS)
     out |= {name: _with() + body for name, body in _PLAIN.items()}
     trend = _TREND.format(days="days")

@@ -13,7 +13,7 @@ NAMES = ("s01_scan_steps", "s04_unnest_tool_parts", "a03_daily_trend_by_model",
 
 
 def normal(value):
-    return repr(float(f"{value:.9g}")) if isinstance(value, float) else str(value)
+    return repr(float(f"{value:.12g}")) if isinstance(value, float) else str(value)
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
