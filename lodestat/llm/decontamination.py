@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import ALNUM, LOWER, WordHasher, bounded_batches, cut_lineage, pieces, text_bytes
 
 #: Bytes of one shard.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 500_000
 #: Bytes of benchmark text broadcast at once.
 BLOCK_BYTES = 16_000_000
 
