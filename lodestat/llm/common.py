@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,29 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which driver and executors share.
-
-    Only a local session without that setting gets a temporary folder, since all its parts are on one disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        master = spark.sparkContext.master or ""
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written once to the shared checkpoint folder and read from there."""
-    folder = shared_folder(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 #: Bytes of one Arrow batch of texts.
 BATCH_BYTES = 4 << 20
 
@@ -47,7 +24,9 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     Batches are else of so many rows, and texts may be long: a task would hold several times 64 MB.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(df.sparkSession.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", df.sparkSession.conf.get(name).strip().lower()).groups()
+    most = int(number) << 10 * (" kmgt".index(unit) if unit else 0)
+    if most <= 0 or most > BATCH_BYTES:
         df.sparkSession.conf.set(name, BATCH_BYTES)
     return df
 

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ALNUM, LOWER, WordHasher, bounded_batches, cut_lineage, pieces, text_bytes
+from lodestat.llm.common import ALNUM, LOWER, WordHasher, bounded_batches, pieces, text_bytes
+from lodestat.sources.shared import cut_lineage
 
 #: Bytes of one shard.
 SHARD_BYTES = 500_000

@@ -23,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import cut_lineage, stable_key
+from lodestat.llm.common import stable_key
+from lodestat.sources.shared import cut_lineage
 
 #: Grid of exponents.
 STEPS = 1 << 20

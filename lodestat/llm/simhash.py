@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import bounded_batches, cut_lineage, text_bytes
+from lodestat.llm.common import bounded_batches, text_bytes
+from lodestat.sources.shared import cut_lineage
 
 #: Fingerprints of one bucket that are compared within a task; larger buckets go the way of step 4.
 BUCKET = 4096
