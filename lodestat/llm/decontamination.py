@@ -142,9 +142,13 @@ class SuffixSearch:
         can = left >= self.least
         at, where = spot[can], where[can]
         suffixes = self._suffix_array(text, at)
-        low = _searched(text, at, suffixes, self.tests, self.at, self.length, False)
-        high = _searched(text, at, suffixes, self.tests, self.at, self.length, True)
-        n = high - low
+        # Only tests whose first words begin a suffix can be found; the others needn't be searched.
+        begins = np.zeros((2, len(self.vocabulary) + 1), bool)
+        begins[0, text[at]] = begins[1, text[at + 1]] = True
+        able = np.flatnonzero(begins[0, self.tests[self.at]] & (begins[1, self.tests[self.at + 1]] | (self.length < 2)))
+        low, n = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        low[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], False)
+        n[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], True) - low[able]
         test = np.repeat(np.arange(len(n)), n)
         hit = suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         place, word, start = at[hit], where[hit], self.at[test]
