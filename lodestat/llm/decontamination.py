@@ -28,6 +28,8 @@ from lodestat.sources.shared import cut_lineage
 SHARD_BYTES = 500_000
 #: Bytes of benchmark text broadcast at once.
 BLOCK_BYTES = 16_000_000
+#: Hits that are looked at together, about.
+HITS = 200_000
 
 _FOUND = (
     "n_words long, spans array<struct<begin:long,stop:long>>, items array<string>, "
@@ -149,24 +151,40 @@ class SuffixSearch:
         low, n = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
         low[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], False)
         n[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], True) - low[able]
-        test = np.repeat(np.arange(len(n)), n)
-        hit = suffixes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        place, word, start = at[hit], where[hit], self.at[test]
-        longest = self.length[test].copy()
-        growing = np.arange(len(test))
-        while len(growing):
-            mine, other = text[place[growing] + longest[growing]], self.tests[start[growing] + longest[growing]]
-            growing = growing[(mine == other) & (mine > 0)]
-            longest[growing] += 1
-        row = np.searchsorted(first, word, side="right") - 1
+        first_hit = np.cumsum(n) - n
         lower = LOWER[data].tobytes()
-        exact = np.ones(len(test), bool)
-        for i in range(len(test)):  # hashes stand for words: compare the words themselves
-            k, w = int(start[i]), int(word[i])
-            exact[i] = all(lower[begin[w + j] : end[w + j]] == self.words[self.tests[k + j]] for j in range(int(longest[i])))
-        mark = np.zeros(len(numbers) + 1, np.int64)
-        np.add.at(mark, word[exact], 1)
-        np.add.at(mark, (word + self.length[test])[exact], -1)
+        checked, wrong = np.zeros(len(numbers), bool), np.zeros(len(numbers), bool)
+        mark, pairs = np.zeros(len(numbers) + 1, np.int64), [np.zeros(0, np.int64)]
+        # Words that repeat give a hit for each pair of places: hits are expanded so many at a time.
+        for tests in np.split(np.arange(len(n)), np.flatnonzero(np.diff(first_hit // HITS)) + 1):
+            size = n[tests]
+            test = np.repeat(tests, size)
+            hit = suffixes[np.arange(len(test)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[tests], size)]
+            place, word, start = at[hit], where[hit], self.at[test]
+            longest = self.length[test].copy()
+            left_off = (start == self.item_start[self.owner[test]]) | (self.tests[start - 1] != text[place - 1]) | (place == 0)
+            growing = np.flatnonzero(left_off)  # of a longer match only its first hit is told
+            while len(growing):
+                mine, other = text[place[growing] + longest[growing]], self.tests[start[growing] + longest[growing]]
+                growing = growing[(mine == other) & (mine > 0)]
+                longest[growing] += 1
+            # Hashes stand for words: each word of a match is compared itself, once.
+            touched = np.zeros(len(numbers) + 1, np.int64)
+            np.add.at(touched, word, 1)
+            np.add.at(touched, word + longest, -1)
+            for w in np.flatnonzero((np.cumsum(touched)[:-1] > 0) & ~checked).tolist():
+                checked[w], wrong[w] = True, lower[begin[w] : end[w]] != self.words[numbers[w]]
+            bad = np.concatenate([[0], np.cumsum(wrong)])
+            exact = bad[word + self.length[test]] == bad[word]
+            np.add.at(mark, word[exact], 1)
+            np.add.at(mark, (word + self.length[test])[exact], -1)
+            row = np.searchsorted(first, word, side="right") - 1
+            pairs.append(np.unique(row[exact] * len(self.ids) + self.owner[test[exact]]))
+            for i in np.flatnonzero(left_off & (bad[word + longest] == bad[word])).tolist():
+                item = int(self.owner[test[i]])
+                matches[row[i]].append((self.ids[item], int(start[i] - self.item_start[item]), int(word[i] - first[row[i]]), int(longest[i])))
+        for r, item in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))), strict=True):
+            items[r].append(self.ids[item])
         covered = np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]])
         edge = np.diff(covered.astype(np.int8))
         for b, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -175,12 +193,6 @@ class SuffixSearch:
                 stop = min(e, int(first[r + 1]))
                 spans[r].append((b - int(first[r]), stop - int(first[r])))
                 b = stop
-        leftmost = (start == self.item_start[self.owner[test]]) | (self.tests[start - 1] != text[place - 1]) | (place == 0)
-        for i in np.flatnonzero(exact).tolist():
-            r, item = int(row[i]), self.ids[int(self.owner[test[i]])]
-            items[r].append(item)
-            if leftmost[i]:
-                matches[r].append((item, int(start[i] - self.item_start[self.owner[test[i]]]), int(word[i] - first[r]), int(longest[i])))
         return counts, spans, [sorted(set(x)) for x in items], matches
 
 

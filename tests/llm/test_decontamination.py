@@ -86,3 +86,16 @@ def test_other_windows_long_texts_and_empty_tables(spark):
     assert {k: v for k, v in got.items() if k != 202} == want and got[202][1] == 50_000
     assert found(spark, [], items)[0] == []
     assert all(r[2] == 0 for r in found(spark, docs, [])[0])
+
+
+def test_words_that_repeat_are_expanded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    items = [(1, "w1 " * 40), (2, "w1 " * 40 + "w2"), (3, "w1 w1"), (4, "w9 " * 12)]
+    docs = [(1, "w1 " * 60), (2, "W1 " * 30 + "w2 " + "w1 " * 12), (3, "w9 " * 11 + "w1"), (4, "w1 w1"), (5, "w2 w1")]
+    got, _, _, rows = found(spark, docs, items)
+    assert got == plain(docs, items)
+    assert {(m.item_word, m.doc_word, m.n_words) for r in rows if r.doc_id == 3 for m in r.matches} == {(0, 0, 11), (0, 1, 10), (1, 0, 11), (2, 0, 10)}  # one of each offset
+    search = decontamination.SuffixSearch([("1", "w1 " * 900)], 10)
+    data = b"w1 " * 20_000
+    counts, spans, found_, matches = search.shard(decontamination.np.frombuffer(data, "u1"), decontamination.np.array([0, len(data)]))
+    assert spans[0] == [(0, 20_000)] and found_[0] == ["1"] and len(matches[0]) == 20_000 - 9 + 890
