@@ -132,6 +132,15 @@ _PLAIN: dict[str, str] = {
     "s01_scan_steps": "select message_id, session_id, seq, time_created, agent, model_id, raw_model_id, provider_id, variant, input, output, reasoning, cache_read, cache_write, has_error, error_type from steps",
     "s03_unnest_parts": "select message_id, session_id, pos, kind from parts",
     "s04_unnest_tool_parts": "select message_id, pos, tool, status from tool_parts",
+    "s02_scan_sessions": "select id, title, agent, directory, time_created, time_updated from sessions",
+    "p02_anchored_messages": "select id, session_id, type from kept",
+    "p03_session_scope": "select message_id, session_id, seq from steps where session_id = '7'",
+    "p07_window": "select message_id, time_created from steps, as_of where day >= today - 29",
+    "f05_step_rates": "select message_id, case when cache_read + input > 0 then cache_read / (cache_read + input) else 0 end hit_rate, case when cache_read + input + cache_write > 0 then cache_read / (cache_read + input + cache_write) else 0 end strict_hit_rate, input + output + cache_read usage_tokens, input + cache_read + cache_write context_tokens from steps",
+    "f09_local_times": "select message_id, strftime(ts, '%Y-%m-%d') day_key, dayofweek(ts) weekday, hour(ts) as hour from steps",
+    "f13_redacted_paths": "select id, case when directory = '/n/FRANCE' then '~' when starts_with(directory, '/n/FRANCE/') then '~' || substr(directory, 10) else directory end path from sessions",
+    "f33_csv_fields": "select doc_id, sha256(case when left(text, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then '''' || text else text end) field_sha256 from documents",
+    "f38_wall_durations": "select id, case when time_updated > time_created then time_updated - time_created end duration_ms from sessions",
     "s05_session_messages": "select id, session_id, type, seq, time_created from kept where session_id = '7'",
     "s06_session_todos": "select session_id, content, status, position from todos where session_id = '7' and session_id in (select id from sessions)",
     "s08_session_exists": "select id from sessions where id in (select session_id from messages)",
@@ -182,6 +191,7 @@ _STREAMS = {
 
 #: Columns of ratios and means, rounded to nine digits on both sides.
 _ROUNDED = {
+    "f05_step_rates": "hit_rate strict_hit_rate",
     "f18_estimate_tokens": "tokens",
     "f35_relative_delta": "relative_delta",
     "a01_overview": "today_hit_rate",
