@@ -22,6 +22,7 @@ repeated rows each get their row; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import bounded_batches, text_bytes
-from lodestat.sources.shared import cut_lineage
+from lodestat.sources.shared import cut_lineage, shared_folder
 
 #: Fingerprints of one bucket that are compared within a task; larger buckets go the way of step 4.
 BUCKET = 4096
@@ -39,7 +40,7 @@ BUCKET = 4096
 SMALL = 24
 #: What a probed row costs against a compared pair, for the choice of partitions.
 PROBE_COST = 8.0
-#: Ids that `keep_representatives` broadcasts at most, some 50 bytes each in memory.
+#: Row numbers that `keep_representatives` broadcasts at most, some 50 bytes each in memory.
 BROADCAST_IDS = 500_000
 _BITS = 64
 #: The bits of each byte value, and where the counts of each of a hash's bytes begin.
@@ -352,23 +353,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
 def keep_representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, as they were, less all but one of each component: the row with the smallest id stays.
 
-    Of rows that repeat the id that stays, the one with the least text does. Rows without an id stay where
-    the component has no id, one of them.
+    Rows are told apart by a number of their own, never by id: ids may be null or repeat, within a component
+    and over several. Of rows that repeat the id that stays, the one with the least hash of its text does, then
+    the one with the least number. Rows without an id stay where the component has no id, one of them.
     """
-    found = near_duplicates(docs, distance, shingle, id_col, text_col)
+    number = "__row"
+    while number in (c.lower() for c in docs.columns):
+        number += "_"
+    # Written once, so that a row has the same number whenever the table is read.
+    path = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    # Nulls come first: a row with an id comes before one without.
+    key = F.struct(F.when(F.col(id_col).isNull(), 1).alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(number).alias("row"))
+    found = near_duplicates(rows.select(key.alias("__key"), F.col(text_col).alias("__of")), distance, shingle, "__key", "__of")
     # The rows that go are the few: they are named, and the others stay where they are.
-    same = F.col(id_col).eqNullSafe(F.col("component_id"))
-    gone = cut_lineage(found.where(~same).select(F.col(id_col).alias("__gone")).distinct())
-    # Ids of up to BROADCAST_IDS are sent to the documents; with more, the documents are shuffled by id.
+    gone = cut_lineage(found.where("__key.row != component_id.row").select(F.col("__key.row").alias(number)))
+    # Numbers of up to BROADCAST_IDS rows are sent to the documents; with more, the documents are shuffled by them.
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    stay = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    again = found.where(same).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again")
-    again = cut_lineage(again)
-    if again.isEmpty():
-        return stay
-    # An id may repeat with texts of several components: then a row of each stays apart by its text.
-    single = stay.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
-    repeated = stay.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
-    whole = F.struct(*(F.col(c) for c in docs.columns))
-    one = repeated.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(whole, F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
-    return single.unionByName(one.select("r.*"))
+    return rows.join(F.broadcast(gone) if few else gone, number, "left_anti").drop(number)

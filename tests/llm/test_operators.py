@@ -302,6 +302,15 @@ def test_one_row_of_each_component_stays(spark):
     assert keep_representatives(docs(spark, [])).count() == 0
 
 
+def test_a_row_stays_for_each_component_though_ids_are_null_or_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    # A copy without an id, unrelated rows without one, an id that stays for two components, an id that stays for one and is a copy in another
+    rows = [(1, a), (None, a + " "), (None, "alone one"), (None, "alone two"), (10, "alone three"), (10, "alone four"), (20, b), (21, b + " "), (20, c), (8, c + " ")]
+    kept = keep_representatives(docs(spark, rows)).collect()
+    want = [(1, a), (None, "alone one"), (None, "alone two"), (10, "alone three"), (10, "alone four"), (20, b), (8, c + " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, speech(rng, ["aa", "bb", "cc"][i % 3], 120), f"s{i % 7 == 0}", ["aa", "bb", "cc"][i % 3], 1) for i in range(150)]
