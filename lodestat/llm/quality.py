@@ -5,29 +5,34 @@ classes, word shapes and hashed words; a learned encoder maps that to a vector h
 passage a weight, softmax(w . (tanh(V h) * sigmoid(U h))), and the weighted sum of the vectors is scored by a
 logistic unit. Only the document has a label; encoder, attention and unit are learned together.
 
-The fit reads a sample of at most `sample` labelled documents (those of the least hash of the id), and at most
-`BAG` evenly spaced passages of each; scoring reads every passage of every document, in one Arrow pass.
+The fit reads a sample of at most `sample` labelled documents (those of the least hash of the id), and every
+passage of each; scoring reads every passage of every document, in one Arrow pass. The sample's passages lie in a
+file on the driver, from which each step of the fit reads the documents it needs.
 
 Defined cases: a null, empty or wordless text is one passage of zeros; null labels are ignored; of several
-labels for one id the mean counts, from 0.5 on as 1; without labels every score is 0.5; repeated rows are
-scored alike; extra columns are ignored.
+labels for one id the mean counts, from 0.5 on as 1; without labels every score is 0.5; of rows that repeat an
+id the fit reads the one with the least hash of its text; repeated rows are scored alike; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import LOWER, WordHasher, bounded_batches, byte_table, crc32_of, pieces, stable_key, text_bytes
 
 PASSAGE_WORDS = 64
-#: Labelled documents to learn from, at most, and passages of each.
+#: Labelled documents to learn from, at most.
 SAMPLE = 3000
-BAG = 64
+#: Passages whose gradients are computed at once, about; a longer document is taken by itself.
+STEP_PASSAGES = 20_000
 #: Bytes of documents that are described at once.
 PIECE_BYTES = 2_000_000
 _HASHED = 24
@@ -120,22 +125,33 @@ class AttentionModel:
         out = self._forward((x - self.mean) / self.scale, start, bag)
         return out["p"], out["a"]
 
-    def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 100, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
+    def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 30, batch: int = 100, rate: float = 0.01, decay: float = 1e-4, seed: int = 7, first: np.ndarray | None = None) -> AttentionModel:
+        """x may be a file; the rows of a bag follow each other from `first` on, else bags lie end to end."""
         if not len(bags):
             return self
-        self.mean, self.scale, self.fitted = x.mean(axis=0), x.std(axis=0) + 1e-3, True
-        x = (x - self.mean) / self.scale
-        first, rng, step = np.cumsum(bags) - bags, np.random.default_rng(seed), 0
+        first = np.cumsum(bags) - bags if first is None else first
+
+        def parts(chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            for a, b in pieces(np.append(0, np.cumsum(bags[chosen])), STEP_PASSAGES):
+                some = chosen[a:b]
+                size = bags[some]
+                start = np.cumsum(size) - size
+                bag = np.repeat(np.arange(len(size)), size)
+                yield x[np.arange(size.sum()) - start[bag] + first[some][bag]].astype(float), start, bag, some
+
+        every, rows = np.arange(len(bags)), bags.sum()
+        self.mean = sum(part.sum(axis=0) for part, *_ in parts(every)) / rows
+        self.scale = np.sqrt(sum(((part - self.mean) ** 2).sum(axis=0) for part, *_ in parts(every)) / rows) + 1e-3
+        self.fitted, rng, step = True, np.random.default_rng(seed), 0
         m, v = ({n: np.zeros_like(p) for n, p in self.weights.items()} for _ in range(2))
         for epoch in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 chosen, step = order[at : at + batch], step + 1
-                size = bags[chosen]
-                start = np.cumsum(size) - size
-                bag = np.repeat(np.arange(len(size)), size)
-                part = x[np.arange(size.sum()) - start[bag] + first[chosen][bag]]
-                grads = self._gradients(part, start, bag, y[chosen])
+                grads = {n: np.zeros_like(p) for n, p in self.weights.items()}
+                for part, start, bag, some in parts(chosen):
+                    for n, g in self._gradients((part - self.mean) / self.scale, start, bag, y[some]).items():
+                        grads[n] += g * (len(some) / len(chosen))
                 for n, g in grads.items():
                     g = g + decay * self.weights[n]
                     m[n], v[n] = 0.9 * m[n] + 0.1 * g, 0.999 * v[n] + 0.001 * g * g
@@ -160,27 +176,43 @@ def held_out(id_col: str = "doc_id") -> Column:
     return crc32_of(F.col(id_col)) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> AttentionModel:
-    """A model from the labelled documents; at most `sample` of them are read."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(i, y, x): id as text, label, and features of every passage, of at most `sample` labelled documents."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
     known = known.orderBy(stable_key(F.col("i")), "i").limit(sample)
-    texts = bounded_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")  # at most `sample` rows
+    texts = bounded_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")  # `known` has at most `sample` rows
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages()
+        """Of rows that repeat an id, only those with a lesser hash than any before them in the task are passed on."""
+        passages, least = Passages(), {}
         for batch in batches:
             data, at = text_bytes(batch.column(2))
-            rows = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                x, _ = passages.describe(data[a:b], np.array([0, b - a]))
-                pick = x if len(x) <= BAG else x[np.linspace(0, len(x) - 1, BAG).astype(int)]
-                rows.append(pick.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in batch.column(0).to_pylist()]), pa.array(batch.column(1).to_pylist(), pa.float64()), pa.array(rows, pa.binary())], names=["i", "y", "x"])
-
-    found = sorted(texts.mapInArrow(describe, "i string, y double, x binary").collect(), key=lambda r: (r.i, bytes(r.x)))[: 2 * sample]
-    bags = [np.frombuffer(bytes(r.x), "<f4").reshape(-1, FEATURES) for r in found]
-    x = np.concatenate(bags).astype(float) if bags else np.zeros((0, FEATURES))
-    return AttentionModel().fit(x, np.array([len(b) for b in bags], np.int64), np.array([float(r.y >= 0.5) for r in found]))
+            out = []
+            for i, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                h = xxhash.xxh64_intdigest(data[a:b].tobytes()) >> 1
+                if h < least.get(i, 1 << 63):
+                    least[i] = h
+                    out.append((str(i), y, h, passages.describe(data[a:b], np.array([0, b - a]))[0].astype("<f4").tobytes()))
+            i, y, h, x = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.string()), pa.array(y, pa.float64()), pa.array(h, pa.int64()), pa.array(x, pa.binary())], names=["i", "y", "h", "x"])
+
+    found = texts.mapInArrow(describe, "i string, y double, h long, x binary")
+    return found.groupBy("i").agg(F.first("y").alias("y"), F.min_by("x", "h").alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> AttentionModel:
+    """A model from the labelled documents; at most `sample` of them are read, each whole."""
+    with tempfile.TemporaryFile() as file:
+        found, rows = [], 0
+        for r in sampled(docs, labels, id_col, text_col, label_col, sample).toLocalIterator():
+            n = len(r.x) // (4 * FEATURES)
+            found.append((r.i, float(r.y >= 0.5), rows, n))
+            file.write(r.x)
+            rows += n
+        file.flush()
+        x = np.memmap(file, "<f4", "r", shape=(rows, FEATURES)) if rows else np.zeros((0, FEATURES), np.float32)
+        _, y, first, bags = zip(*sorted(found), strict=True) if found else ((), (), (), ())
+        return AttentionModel().fit(x, np.array(bags, np.int64), np.array(y, float), first=np.array(first, np.int64))
 
 
 def score(docs: DataFrame, model: AttentionModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -102,6 +102,29 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert quality.score(docs(spark, []), fitted).count() == 0
 
 
+def test_the_fit_reads_one_row_of_each_sampled_id_and_all_its_passages(spark, monkeypatch):
+    rng, seen = random.Random(5), {}
+    long = speech(rng, "aa", 20_000)
+    # An id with very many rows sorts first as text; one document has over 64 passages
+    rows = [(1, f"{speech(rng, 'bb', 70)} {i % 9}") for i in range(200)] + [(i, speech(rng, "cc", 70)) for i in range(2, 8)] + [(9, long)]
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(1, 10)], "doc_id long, quality double")
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, x, bags, y, **more: seen.update(x=np.array(x), bags=bags, y=y, **more))
+    quality.fit(docs(spark, rows), labels)
+    assert seen["bags"].tolist() == [2] * 7 + [313] and seen["y"].tolist() == [1, 0, 1, 0, 1, 0, 1, 1]
+    want, _ = quality.Passages().describe(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    assert np.array_equal(seen["x"][seen["first"][-1] :][:313], want)
+
+
+def test_steps_in_parts_learn_what_whole_steps_do(monkeypatch):
+    rng = np.random.default_rng(3)
+    bags = rng.integers(1, 9, 60)
+    x, y = rng.random((bags.sum(), quality.FEATURES)), rng.integers(0, 2, 60).astype(float)
+    whole = quality.AttentionModel().fit(x, bags, y, epochs=3)
+    monkeypatch.setattr(quality, "STEP_PASSAGES", 10)
+    parts = quality.AttentionModel().fit(x, bags, y, epochs=3)
+    assert np.allclose(whole.scores(x, bags)[0], parts.scores(x, bags)[0], atol=1e-6)
+
+
 def test_passages_of_many_texts_are_those_of_each():
     texts = [t.encode() for t in ("a b c", "", "w " * 200, "Ünï cödé " * 30, "  ", "tail")]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
