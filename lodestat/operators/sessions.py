@@ -50,9 +50,17 @@ def session_list(sessions: DataFrame, as_of_ms: int, sort: str = "time_updated",
     """A page of sessions by a listed key (else time_updated), then id; only exactly 'asc' turns the order."""
     key = F.col("tokens" if sort == "tokens" else sort if sort in SORTS else "time_updated")
     rows = filtered(sessions, as_of_ms, **filters).withColumn("tokens", session_tokens())
-    page = rows.orderBy(key.asc() if order == "asc" else key.desc(), "id").offset(max(offset, 0)).limit(max(1, min(limit, 500)))
+    return _listed(rows.orderBy(key.asc() if order == "asc" else key.desc(), "id").offset(max(offset, 0)).limit(max(1, min(limit, 500))))
+
+
+def session_summary(sessions: DataFrame, id_: str) -> DataFrame:
+    """The list's columns of one session, wherever in the list it is."""
+    return _listed(sessions.where(F.col("id") == id_).withColumn("tokens", session_tokens()))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
     model = F.try_parse_json("model")
-    return page.select(
+    return rows.select(
         "id", F.coalesce("title", F.lit("")).alias("title"), S.name_or_unknown(S.json_text(model, "$.id")).alias("model_id"), S.text_or_empty(S.json_text(model, "$.providerID")).alias("provider_id"),
         S.name_or_unknown(F.col("agent")).alias("agent"), "directory", "time_created", "time_updated", S.wall_duration_ms(F.col("time_created"), F.col("time_updated")).alias("duration_ms"), "tokens", "cost",
     )

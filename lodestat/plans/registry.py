@@ -38,7 +38,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "s04_unnest_tool_parts": lambda t: t.tool_parts.select("message_id", F.col("pos").cast("long").alias("pos"), "tool", "status"),
     "s05_session_messages": lambda t: views.session_messages(t.messages, t.sessions, "7").select("id", "session_id", "type", "seq", "time_created"),
     "s06_session_todos": lambda t: sessions.session_todos(t.todos, t.sessions, "7").select("session_id", "content", "status", "position"),
-    "s07_session_summary_by_id": lambda t: sessions.session_list(t.sessions, t.as_of, limit=500).where("id = '1499'"),
+    "s07_session_summary_by_id": lambda t: sessions.session_summary(t.sessions, "1499"),
     "s08_session_exists": lambda t: views.session_exists(t.sessions, t.messages.select(F.col("session_id").alias("id")).distinct()),
     "k01_sessions_csv": lambda t: export.sessions_csv_rows(t.sessions, t.as_of),
     "k02_session_markdown": lambda t: export.session_markdown(t.sessions, t.messages, sessions.system_prompt(t.instruction_state, t.instruction_blob)),

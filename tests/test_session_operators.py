@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestat.operators import content, export, graph, replay, search, sessions, tools, usage, views
+from lodestat.plans import registry
 from lodestat.sources.conform import conform, schema
 
 DAY = 86_400_000
@@ -92,6 +95,14 @@ def test_tool_tokens_keep_every_token(tables):
     assert sum(r.tool_calls for r in trend) == sum(t for t, _ in health.values())
 
 
+def test_a_session_is_found_by_id_beyond_the_first_page(spark, tables):
+    sess = tables[0].where("id = 's1'")
+    late = spark.range(600).select(F.concat(F.lit("x"), F.col("id")).alias("n")).crossJoin(sess).withColumn("id", F.col("n")).drop("n")
+    both = late.unionByName(sess.withColumn("id", F.lit("1499")).withColumn("time_updated", F.lit(1).cast("long")))
+    got = registry.OPERATORS["s07_session_summary_by_id"](SimpleNamespace(sessions=both, as_of=NOW)).collect()
+    assert [(r.id, r.title, r.tokens) for r in got] == [("1499", "One", 125)]
+
+
 def test_sessions(tables):
     sess, msg, st, _ = tables
     out = sessions.session_outcomes(sess, msg, st).first()
