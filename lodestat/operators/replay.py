@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,23 +93,74 @@ def visible(messages: DataFrame) -> DataFrame:
     return messages.where(~F.col("type").isin("idle", "synthetic"))
 
 
-def message_chars(data: Column) -> Column:
-    """F40, simplified to the characters of a message's data."""
-    return F.coalesce(F.length(data), F.lit(0))
+def _units(text: Column) -> Column:
+    """The length of a text in UTF-16 units; null counts as 0."""
+    return F.coalesce((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long"), F.lit(0).cast("long"))
+
+
+def _string(v: Column, path: str) -> Column:
+    """The text at a path, null where anything but text is there."""
+    return F.when(S.kind_of(F.try_variant_get(v, path, "variant")) == "STRING", S.json_text(v, path))
+
+
+def _block_texts(v: Column, path: str) -> Column:
+    blocks = F.filter(F.try_variant_get(v, path, "array<variant>"), lambda b: (S.kind_of(b) == "OBJECT") & (S.json_text(b, "$.type") == "text"))
+    return F.array_join(F.filter(F.transform(blocks, lambda b: _string(b, "$.text")), lambda t: t.isNotNull() & (t != "")), "\n\n")
+
+
+def indented_units(v: Column) -> Column:
+    """The length of a variant as JSON indented by two blanks; null and JSON's null count as 0."""
+    text = F.to_json(v)
+    # What indenting adds depends on brackets, commas and colons outside of texts; empty brackets stay as they are.
+    signs = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), r"\{\}|\[\]|[^\[\]{},:]", "")
+    state = F.struct(F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("more"))
+
+    def add(st: Column, c: Column) -> Column:
+        depth = st["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (st["more"] + 1 + F.when(c == ":", 0).otherwise(2 * depth)).alias("more"))
+
+    more = F.aggregate(F.filter(F.split(signs, ""), lambda c: c != ""), state, add, lambda st: st["more"])
+    return F.when(v.isNull() | (S.kind_of(v) == "VOID"), 0).otherwise(_units(text) + more).cast("long")
+
+
+def message_chars(data: Column, type_: Column) -> Column:
+    """a user's text; an assistant's parts by kind, reasoning and tool output up to their limits, 200 more for each of these two; 200 for a notice, 0 for data that is no record."""
+    v = F.try_parse_json(data)
+    most = lambda n, limit: F.least(n, F.lit(limit).cast("long"))
+
+    def of(p: Column) -> Column:
+        kind, text = S.json_text(p, "$.type"), _units(_string(p, "$.text"))
+        output = F.coalesce(F.nullif(_string(p, "$.state.metadata.output"), F.lit("")), _block_texts(p, "$.state.content"))
+        tool = indented_units(F.try_variant_get(p, "$.state.input", "variant")) + most(_units(output), S.TOOL_CHARS) + 200
+        cost = F.when(kind == "text", text).when(kind == "reasoning", most(text, S.REASONING_CHARS) + 200).when(kind == "tool", tool)
+        return F.when(S.kind_of(p) == "OBJECT", F.coalesce(cost, F.lit(0).cast("long"))).otherwise(0).cast("long")
+
+    parts = F.aggregate(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), of), F.lit(0).cast("long"), lambda n, c: n + c)
+    user = _units(F.coalesce(_string(v, "$.text"), _block_texts(v, "$.content")))
+    cost = F.when(type_ == "user", user).when(type_ == "assistant", F.coalesce(parts, F.lit(0).cast("long"))).otherwise(200)
+    return F.when(S.kind_of(v) == "OBJECT", cost).otherwise(0).cast("long")
 
 
 def pack_messages(messages: DataFrame, rows: int = PACK_ROWS, chars: int = PACK_CHARS) -> DataFrame:
     """A session's visible messages in greedy packs of at most `rows` messages and `chars` characters, one message at least.
 
-    A fold along a session's sizes in order; only ids and sizes are gathered, not texts.
+    A session's ids and sizes pass in order through one task, which holds only the running pack's counts.
     """
-    sized = visible(messages).select("session_id", F.struct("seq", "time_created", "id", message_chars(F.col("data")).alias("chars")).alias("m"))
-    state = F.struct(F.lit(0).alias("pack"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<struct<id:string,pack:int>>)").alias("out"))
-
-    def add(s: Column, m: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] >= rows) | (s["size"] + m["chars"] > chars))
-        pack = s["pack"] + F.when(full, 1).otherwise(0)
-        return F.struct(pack.alias("pack"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, m["chars"]).otherwise(s["size"] + m["chars"]).cast("long").alias("size"), F.concat(s["out"], F.array(F.struct(m["id"].alias("id"), pack.alias("pack")))).alias("out"))
-
-    folded = sized.groupBy("session_id").agg(F.array_sort(F.collect_list("m")).alias("all")).select("session_id", F.aggregate("all", state, add, lambda s: s["out"]).alias("out"))
-    return folded.select("session_id", F.inline("out"))
+    sized = visible(messages).select("session_id", "seq", "time_created", "id", message_chars(F.col("data"), F.col("type")).alias("chars"))
+    in_order = sized.repartition("session_id").sortWithinPartitions("session_id", "seq", "time_created", "id").select("session_id", "id", "chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, pack, n, size, begun = None, 0, 0, 0, False
+        for batch in batches:
+            packs = []
+            for s, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or s != session:
+                    session, pack, n, size, begun = s, 0, 0, 0, True
+                elif n >= rows or size + c > chars:
+                    pack, n, size = pack + 1, 0, 0
+                n, size = n + 1, size + c
+                packs.append(pack)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packs, pa.int32())], names=["session_id", "id", "pack"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+    return in_order.mapInArrow(run, f"session_id {kinds['session_id']}, id {kinds['id']}, pack int")

@@ -109,7 +109,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "w04_peak_context": lambda t: replay.peak_context(t.steps),
     "w05_model_changes": lambda t: replay.model_changes(t.steps),
     "w06_turn_costs": lambda t: replay.turn_costs(t.steps),
-    "w08_pack_messages": lambda t: replay.pack_messages(t.messages, rows=4, chars=2000),
+    "w08_pack_messages": lambda t: replay.pack_messages(t.messages),
     "w09_session_events": lambda t: replay.session_events(t.messages, t.sessions),
     "t01_session_list": lambda t: sessions.session_list(t.sessions, t.as_of, "tokens", "desc", 100, 5),
     "t03_top_token_tools": lambda t: tools.top_token_tools(tools.tool_tokens(t.steps, t.tool_parts)),

@@ -123,6 +123,29 @@ def test_sessions(tables):
     assert dist.count() == 0
 
 
+def test_paging_cost_counts_what_is_shown(spark):
+    deep = {"a": [1, {"b": "x: {,"}, [], {}], "c": {}, "d": "\U0001f600\n\""}
+    cases = [
+        ("user", {"text": "h\U0001f600"}, 3), ("user", {"content": [{"type": "text", "text": "ab"}, {"type": "text", "text": "c"}, {"type": "text", "text": 5}]}, 5), ("user", {"text": 7}, 0),
+        ("assistant", {"content": [{"type": "text", "text": "abc"}, {"type": "reasoning", "text": "r" * 150_000}, {"type": "other", "text": "zz"}, "no part", {"type": "text", "text": 12}]}, 3 + 100_200),
+        ("assistant", {"content": [{"type": "tool", "state": {"input": deep, "metadata": {"output": "o" * 10}}}]}, len(json.dumps(deep, indent=2, ensure_ascii=False).encode("utf-16-le")) // 2 + 10 + 200),
+        ("assistant", {"content": [{"type": "tool", "state": {"input": "q", "content": [{"type": "text", "text": "o" * 250_000}]}}, {"type": "tool", "state": {"input": None}}, {"type": "tool"}]}, 3 + 200_000 + 600),
+        ("assistant", {"content": "none"}, 0), ("compaction", {"summary": "s" * 999}, 200), ("compaction", [], 0), ("assistant", None, 0),
+    ]
+    df = spark.createDataFrame([(i, t, json.dumps(d)) for i, (t, d, _) in enumerate(cases)] + [(99, "user", "junk")], "i int, type string, data string")
+    got = {r.i: r.n for r in df.select("i", replay.message_chars(F.col("data"), F.col("type")).alias("n")).collect()}
+    assert got == {i: n for i, (_, _, n) in enumerate(cases)} | {99: 0}
+
+
+def test_packs_of_a_large_session_break_at_the_shown_size(spark):
+    reasoning = json.dumps({"content": [{"type": "reasoning", "text": "r" * 149_900}]})
+    rows = [("a", f"{i:04}", "assistant", i, NOW, reasoning) for i in range(5)] + [("b", f"{i:04}", "user", i, NOW, json.dumps({"text": "t"})) for i in range(1000)]
+    msg = spark.createDataFrame(rows, "session_id string, id string, type string, seq long, time_created long, data string").repartition(3)
+    packs = {(r.session_id, r.id): r.pack for r in replay.pack_messages(msg).collect()}
+    assert len(packs) == 1005 and [packs["a", f"{i:04}"] for i in range(5)] == [0, 0, 1, 1, 2]
+    assert all(packs["b", f"{i:04}"] == i // 200 for i in range(1000))
+
+
 def test_replay(tables):
     _, msg, st, _ = tables
     changed = {r.message_id: r.model_changed for r in replay.model_changes(st).collect()}
