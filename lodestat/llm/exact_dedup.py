@@ -47,7 +47,11 @@ class DigestIndex:
                 kind = spark.read.parquet(path).schema["keep_id"].dataType.simpleString()
             except AnalysisException:  # nothing is there yet
                 return
-            spark.sql(f"create table {self.name} (digest string, keep_id {kind}, keep_length int, batch string) using parquet clustered by (digest) sorted by (digest) into {buckets} buckets location '{path}'")
+            self._create(kind)
+
+    def _create(self, kind: str) -> None:
+        place = f" location '{self.path}'" if self.path else ""
+        self.spark.sql(f"create table {self.name} (digest string, keep_id {kind}, keep_length int, batch string) using parquet clustered by (digest) sorted by (digest) into {self.buckets} buckets{place}")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -63,15 +67,15 @@ class DigestIndex:
     def deduplicate(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Appends the texts of `docs` that are new; per row of `docs`: id_col, keep_id, group_size (rows of `docs` with the same text), kept, text_sha256."""
         batch = uuid.uuid4().hex
+        if not self.exists():  # the first call goes the way of all others
+            self._create(docs.select(id_col).schema[0].dataType.simpleString())
         rows = docs.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("__length"))
         unique = cut_lineage(rows.groupBy("digest", "__id", "__length").agg(F.count("*").alias("__n")))
         # the least of (most code points, an id before none, id) is the row that stays
         order = F.struct((-F.col("__length")).alias("l"), F.col("__id").isNull().alias("none"), F.col("__id").alias("i"))
         groups = unique.groupBy("digest").agg(F.min(order).alias("k"), F.sum("__n").alias("group_size"))
         new = groups.select("digest", F.col("k.i").alias("keep_id"), (-F.col("k.l")).alias("keep_length"), F.lit(batch).alias("batch"))
-        if self.exists():
-            new = cut_lineage(new.join(self.read().hint("merge"), "digest", "left_anti"))
-        self.append(new)
+        self.append(cut_lineage(new.join(self.read().hint("merge"), "digest", "left_anti")))
         # A table of its own, so that Spark can split a group of very many rows in the last join.
         stays = cut_lineage(groups.select("digest", "group_size").join(self.read().hint("merge"), "digest"))
         first = F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__length") == F.col("keep_length")) & (F.col("batch") == batch)

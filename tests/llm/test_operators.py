@@ -304,6 +304,20 @@ def test_exact_duplicates_over_two_batches(spark):
     assert index.read().groupBy("digest").count().where("count > 1").isEmpty()
 
 
+def test_the_first_call_of_an_index_appends_to_a_bucketed_table(spark, monkeypatch):
+    append, seen = exact_dedup.DigestIndex.append, []
+
+    def watched(self, rows):
+        seen.append((self.exists() and self.read().count(), "clustered by" in spark.sql(f"show create table {self.name}").first()[0].lower()))
+        append(self, rows)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", watched)
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    assert sum(r.kept for r in index.deduplicate(docs(spark, [(1, "ab"), (2, "a b"), (3, "c")])).collect()) == 2
+    assert sum(r.kept for r in index.deduplicate(docs(spark, [(4, "ab"), (5, "d")])).collect()) == 1
+    assert seen == [(0, True), (2, True)]
+
+
 def test_exact_duplicates_of_odd_rows_and_a_kept_path(spark, tmp_path):
     path = str(tmp_path / "index")
     first = exact_dedup.DigestIndex(spark, "kept_index", 2, path)
