@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm import language, licenses, mixing, oracles, pii, quality, sharding, urls
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
-from lodestat.llm.exact_dedup import DigestIndex
+from lodestat.llm.exact_dedup import DigestIndex, deduplicate_all
 from lodestat.llm.simhash import near_duplicates
 
 
@@ -60,7 +62,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).deduplicate(table(spark, sf_dir, "documents"))
+    """The table comes to the index in two batches; the index goes when the result is written."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return deduplicate_all(table(spark, sf_dir, "documents"), index)
+    finally:
+        index.drop()
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,39 +294,73 @@ def test_a_cut_block_takes_the_first_keys(spark, monkeypatch):
 
 
 # --- exact duplicates -------------------------------------------------------------------------------------
-def test_exact_duplicates_over_two_batches(spark):
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    rows = [*ODD, (10, "a b"), (9, "ab"), (8, "a  b"), (11, "a  b")]
-    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.deduplicate(docs(spark, rows)).collect() if r.text_sha256 == hashlib.sha256(b"ab").hexdigest()), key=repr)
-    assert got == sorted([(10, 8, 4, False), (9, 8, 4, False), (8, 8, 4, True), (11, 8, 4, False)], key=repr)
-    again = index.deduplicate(docs(spark, [(50, "ab"), (51, "new"), (51, "new"), (52, None)])).collect()
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again) == [(50, 8, False), (51, 51, False), (51, 51, True), (52, 3, False)]
-    assert index.read().groupBy("digest").count().where("count > 1").isEmpty()
-
-
-def test_the_first_call_of_an_index_appends_to_a_bucketed_table(spark, monkeypatch):
-    append, seen = exact_dedup.DigestIndex.append, []
+@pytest.fixture
+def index(spark, request):
+    made = exact_dedup.DigestIndex(spark, re.sub(r"\W", "_", request.node.name)[:60], 4)
+    yield made
+    made.drop()
 
-    def watched(self, rows):
-        seen.append((self.exists() and self.read().count(), "clustered by" in spark.sql(f"show create table {self.name}").first()[0].lower()))
-        append(self, rows)
 
-    monkeypatch.setattr(exact_dedup.DigestIndex, "append", watched)
-    index = exact_dedup.DigestIndex(spark, buckets=4)
-    assert sum(r.kept for r in index.deduplicate(docs(spark, [(1, "ab"), (2, "a b"), (3, "c")])).collect()) == 2
-    assert sum(r.kept for r in index.deduplicate(docs(spark, [(4, "ab"), (5, "d")])).collect()) == 1
-    assert seen == [(0, True), (2, True)]
+def test_exact_duplicates_over_two_batches(spark, index):
+    rows = [*ODD, (10, "a b"), (9, "ab"), (8, "a  b"), (11, "a  b")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.deduplicate(docs(spark, rows), "monday").collect() if r.text_sha256 == hashlib.sha256(b"ab").hexdigest()), key=repr)
+    assert got == sorted([(10, 8, 4, False), (9, 8, 4, False), (8, 8, 4, True), (11, 8, 4, False)], key=repr)
+    later = docs(spark, [(50, "a    b"), (51, "new"), (51, "new"), (52, None)])
+    again = sorted((r.doc_id, r.keep_id, r.kept) for r in index.deduplicate(later, "tuesday").collect())
+    assert again == [(50, 8, False), (51, 51, False), (51, 51, True), (52, 3, False)]
+    # A batch whose job was lost after it was appended comes again: the same answer, and nothing more in the index.
+    size = index.read().count()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in index.deduplicate(later, "tuesday").collect()) == again
+    assert index.read().count() == size and index.read().groupBy("digest").count().where("count > 1").isEmpty()
+
+
+def test_longer_rows_of_later_batches_stand_when_they_may_replace(spark, index):
+    first, second = (exact_dedup.digested(docs(spark, rows)) for rows in ([(5, "a b"), (6, "c")], [(9, "a  b"), (7, "c"), (4, "d"), (4, "d")]))
+    for _ in range(2):
+        index.ingest(first, "one", replace=True)
+        index.ingest(second, "two", replace=True)
+    assert sorted((r.keep_id, r.batch) for r in index.read().collect()) == [(4, "two"), (5, "one"), (6, "one"), (9, "two")]
+    got = index.judged(first.unionByName(second), replace=True).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(4, 4, 2, False), (4, 4, 2, True), (5, 9, 2, False), (6, 6, 2, True), (7, 6, 2, False), (9, 9, 2, True)]
+
+
+def test_the_anti_join_reads_the_index_as_it_lies(spark, index):
+    index.ingest(exact_dedup.digested(docs(spark, [(1, "ab"), (2, "c")])), "one")
+    best = exact_dedup.digested(docs(spark, [(4, "ab"), (5, "d")])).select("digest", "id", "length")
+    for replace in (False, True):
+        plan = index.unseen(best, replace)._jdf.queryExecution().sparkPlan().toString(), index.unseen(best, replace)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan[1] and "LeftAnti" in plan[1]
+        # one exchange, of the new rows; the index's side is a scan of buckets
+        index_side = plan[1].split("LeftAnti")[1]
+        assert index_side.count("Exchange") == 1 and "Bucketed: true" in index_side
+
+
+def test_whole_tables_in_batches_are_as_if_they_came_at_once(spark, index):
+    rng = random.Random(3)
+    rows = [*ODD, *((rng.randrange(40), rng.choice(["x y", "x  y", " x y z", "", "q"])) for _ in range(300)), *((None, "x y") for _ in range(9))]
+    got = exact_dedup.deduplicate_all(docs(spark, rows), index, 3).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i))
+    want = sorted(((r[2], min(groups[k])[2], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for r in g), key=repr)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == want
+    kept = [(r.doc_id, r.text_sha256) for r in got if r.kept]
+    assert sorted(kept, key=repr) == sorted(((min(g)[2], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items()), key=repr)
 
 
 def test_exact_duplicates_of_odd_rows_and_a_kept_path(spark, tmp_path):
     path = str(tmp_path / "index")
     first = exact_dedup.DigestIndex(spark, "kept_index", 2, path)
-    got = first.deduplicate(docs(spark, ODD)).collect()
+    got = first.deduplicate(docs(spark, ODD), "one").collect()
     assert len(got) == len(ODD) and sum(r.kept for r in got) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in ODD})
     spark.sql("drop table kept_index")
     later = exact_dedup.DigestIndex(spark, "kept_index", 2, path)
-    assert not any(r.kept for r in later.deduplicate(docs(spark, ODD)).collect())
-    assert exact_dedup.DigestIndex(spark).deduplicate(docs(spark, [])).count() == 0
+    assert not any(r.kept for r in later.deduplicate(docs(spark, ODD), "two").collect())
+    assert exact_dedup.DigestIndex(spark, "kept_index").buckets == 2
+    later.drop()
+    empty = exact_dedup.DigestIndex(spark, "empty_index")
+    assert empty.deduplicate(docs(spark, []), "one").count() == 0
+    empty.drop()
 
 
 # --- near-duplicate filter and pipeline -------------------------------------------------------------------
