@@ -114,14 +114,40 @@ def partitions_of(rows: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def _within(rows: int, both: np.ndarray, group: list[int], most: int) -> np.ndarray:
-    """Estimated share of pairs whose projections on a group differ in at most 0, 1, ... `most` bits."""
-    p = np.diag(both)[group] / max(rows, 1)
-    spread = np.zeros(most + 1)
-    spread[0] = 1.0
-    for differs in 2 * p * (1 - p):
-        spread[1:] = spread[1:] * (1 - differs) + spread[:-1] * differs
-        spread[0] *= 1 - differs
-    return np.cumsum(spread)
+    """Estimated share of pairs whose projections on a group differ in at most 0, 1, ... `most` bits.
+
+    Whether a bit differs between two fingerprints depends on whether the bit before it in the group does, as
+    the counts of both bits together tell; a chain of such steps over the group's bits, the most related next.
+    """
+    n = max(rows, 1)
+    p, joint = np.diag(both) / n, both / n
+    differs = 2 * p * (1 - p)
+
+    def together(i: int, j: int) -> float:
+        """The share of pairs that differ in both bits."""
+        p11, p10, p01 = joint[i, j], p[i] - joint[i, j], p[j] - joint[i, j]
+        return max(0.0, 2 * (max(1 - p11 - p10 - p01, 0.0) * p11 + p10 * p01))
+
+    left, chain = list(group[1:]), [group[0]]
+    while left:
+        at = chain[-1]
+        chain.append(max(left, key=lambda b: (together(at, b) - differs[at] * differs[b], -b)))
+        left.remove(chain[-1])
+    # spread[d, k]: the chain so far differs in k bits, d tells whether in the last one
+    spread = np.zeros((2, most + 1))
+    spread[0, 0] = 1 - differs[chain[0]]
+    if most:
+        spread[1, 1] = differs[chain[0]]
+    for i, j in itertools.pairwise(chain):
+        after = np.zeros_like(spread)
+        for was in range(2):
+            base = differs[i] if was else 1 - differs[i]
+            shared = together(i, j) if was else max(differs[j] - together(i, j), 0.0)
+            rate = min(shared / base, 1.0) if base > 0 else 0.0
+            after[0] += spread[was] * (1 - rate)
+            after[1, 1:] += spread[was, :-1] * rate
+        spread = after
+    return np.cumsum(spread.sum(axis=0))
 
 
 def _probes(bits: int, radius: int) -> float:
@@ -331,10 +357,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = after.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if before == state:
+        size = after.count()
+        # Sets of links of one size are the same where none of them is missing in the other.
+        if size == before and after.join(now, ["u", "v"], "left_anti").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, now = state, after
+        before, now = size, after
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -344,8 +371,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col
     distinct = cut_lineage(fps.groupBy("fingerprint").agg(F.min("__id").alias("first_id")))
     roots = components(links(distinct, distance, bucket))
     classes = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # A table of its own, so that Spark can split a fingerprint of very many rows in the last join.
+    classes = cut_lineage(classes)
+    # Tables of their own, so that Spark can split a component of very many fingerprints, and a fingerprint of very
+    # many rows, in the joins.
+    least = cut_lineage(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = cut_lineage(classes.join(least, "root").select("fingerprint", "component_id"))
     return fps.join(named, "fingerprint").select(F.col("__id").alias(id_col), "fingerprint", "component_id")
 

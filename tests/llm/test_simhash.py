@@ -94,3 +94,18 @@ def test_radii_sum_as_the_pigeonhole_principle_asks():
         groups, radii = simhash.plan(rows, both * rows / 1000, 4)
         assert sorted(b for g in groups for b in g) == list(range(64))
         assert sum(radii) == 4 - len(groups) + 1
+
+
+def test_estimates_follow_the_counts_of_pairs_of_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    bits = np.zeros((600, 64), np.int64)
+    bits[:, 0] = rng.random(600) < 0.5
+    for b in range(1, 6):  # each is mostly what the one before it is
+        bits[:, b] = np.where(rng.random(600) < 0.9, bits[:, b - 1], 1 - bits[:, b - 1])
+    both = (bits.T @ bits).astype(float)
+    differing = (bits[:, None, :6] != bits[None, :, :6]).sum(axis=2)
+    want = [float((differing <= k).mean()) for k in range(4)]
+    assert simhash._within(600, both, list(range(6)), 3) == pytest.approx(want, abs=0.03)
+    assert simhash._within(600, both, [7], 0) == pytest.approx([1.0])
