@@ -88,8 +88,9 @@ j(rid, n, k, b, nxt) as (
   from (select rid, n, nxt, (k * 2862933555777941757 + 1) % 18446744073709551616 k2 from j where nxt < n)),
 s as (select rid, n, max(b) shard from j group by rid, n)
 select doc_id, size, text_crc32, 'key' law, cast(a.shard as integer) shard,
-  row_number() over (partition by a.shard order by k, doc_id, text_crc32, size) - 1 slot, cast(g.shard as integer) grown_shard
-from d join s a on a.rid = d.rid and a.n = 40 join s g on g.rid = d.rid and g.n = 41
+  row_number() over (partition by a.shard order by place, doc_id, text_crc32, size) - 1 slot, cast(g.shard as integer) grown_shard
+from (select *, {_KEY.format("coalesce(cast(doc_id as varchar), '') || '|' || text_crc32 || '|' || size")} place from d) d
+join s a on a.rid = d.rid and a.n = 40 join s g on g.rid = d.rid and g.n = 41
 """
 
 OP8 = rf"""

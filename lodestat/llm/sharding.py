@@ -1,11 +1,14 @@
 """Shards by jump consistent hashing: no ring table, and an added shard takes rows only into itself.
 
 The key is a stable 60-bit number of the id, so a row's shard depends on its id and the shard count alone.
-Places within a shard follow the key's order. To number them without one task per shard, keys are cut into
-ranges; rows are ranked within (shard, range), and the sizes of the ranges before are added.
+Places within a shard follow another such number, of the id and the text's checksum and size. To give them out
+without one task per shard, equal rows are first counted together, by partial aggregates; the numbers are cut
+into ranges; places are counted within (shard, range), and the sizes of the ranges before are added. So neither
+one id with very many rows nor one row with very many copies makes a large range.
 
 Defined cases: a null id is keyed like the empty string; a null text has no bytes; rows with equal ids go
-to one shard and get places of their own; extra columns are ignored; an empty table gives no rows.
+to one shard and get places of their own, equal rows next to each other; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import crc32_of, stable_key
+from lodestat.sources.shared import cut_lineage
 
 #: Rows that one range of a shard has, about.
 RANGE_ROWS = 50_000
@@ -49,15 +53,26 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Per row of `docs`: id_col, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot (from 0, gapless, by key) and grown_shard (the shard if there were one more)."""
+    """Per row of `docs`: id_col, size (UTF-8 bytes plus 16), text_crc32, law, shard, slot (from 0, gapless) and grown_shard (the shard if there were one more)."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("__id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), crc32_of(text).alias("text_crc32"), stable_key(F.col(id_col)).alias("__key"))
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
+    rows = docs.select(F.col(id_col).alias("__id"), size.alias("size"), crc32_of(text).alias("text_crc32"))
+    equal = rows.groupBy("__id", "size", "text_crc32").agg(F.count("*").alias("__n"))
     total = docs.select(F.lit(1)).count()
     bits = min(20, max(0, (total // (shards * range_rows)).bit_length()))
-    rows = rows.withColumn("shard", shard_of(F.col("__key"), shards)).withColumn("grown_shard", shard_of(F.col("__key"), shards + 1)).withColumn("__range", F.shiftright("__key", _KEY_BITS - bits))
-    within = Window.partitionBy("shard", "__range").orderBy("__key", "__id", "text_crc32", "size")
-    ranked = rows.withColumn("__rank", F.row_number().over(within) - 1)
-    sizes = rows.groupBy("shard", "__range").count()  # shards x ranges rows
+    key, place = stable_key(F.col("__id")), stable_key(F.col("__id"), F.col("text_crc32"), F.col("size"))
+    # Written once: the places of a range are read beside the sizes of all ranges.
+    equal = cut_lineage(
+        equal.withColumn("shard", shard_of(key, shards))
+        .withColumn("grown_shard", shard_of(key, shards + 1))
+        .withColumn("__place", place)
+        .withColumn("__range", F.shiftright("__place", _KEY_BITS - bits))
+    )
+    sizes = equal.groupBy("shard", "__range").agg(F.sum("__n").alias("__size"))  # shards x ranges rows
     before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    return ranked.join(starts, ["shard", "__range"]).select(F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__start") + F.col("__rank")).cast("long").alias("slot"), "grown_shard")
+    starts = sizes.select("shard", "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("shard", "__range").orderBy("__place", "__id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = equal.withColumn("__rank", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+    out = ranked.join(starts, ["shard", "__range"]).withColumn("__copy", F.explode(F.expr("sequence(0L, __n - 1)")))
+    slot = F.col("__start") + F.col("__rank") + F.col("__copy")
+    return out.select(F.col("__id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
