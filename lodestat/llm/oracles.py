@@ -32,24 +32,26 @@ def _quote(text: str) -> str:
 def _licence_sql() -> str:
     from lodestat.llm import licenses as lic
 
-    known = lic.known_sentences(lic.SENTENCES)
-    names = "case s " + " ".join(f"when {_quote(k)} then {_quote(v)}" for k, v in known.items()) + " else '-' end"
+    known = ", ".join(f"{_quote(k)}: {_quote(v)}" for k, v in lic.KNOWN.items())
     anchor = "(?i)" + "|".join("[^A-Za-z0-9]+".join(a.split()) for a in lic.ANCHORS)
     wrapped = r"regexp_replace(regexp_replace(t, '\n[\x20\x09\x0D]*\n', '. ' || chr(10), 'g'), '([^.!?;\n])[\x20\x09\x0D]*\n', '\1 ', 'g')"
-    ids = rf"""list_transform(list_filter(list_transform(string_split(regexp_replace({{}}, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
-      lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: not regexp_matches(s, '^(?:[0-9 ]*|[a-z])$')), lambda s: {names})"""
-    step = "case when contains({0}, {1}) then replace({0}, {1}, ',#,') else {0} end"
-    rounds = []
-    for i, (name, _, row) in enumerate(lic.RULES):
-        pattern = _quote("," + ",".join(row) + ",")
-        rounds.append(f"r{i + 1} as (select rid, doc_id, a, b, {step.format('x', pattern)} x, {step.format('y', pattern)} y, case when contains(x, {pattern}) or contains(y, {pattern}) then list_append(f, {_quote(name)}) else f end f from r{i})")
+    words = "trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, form in lic.SAME:
+        words = f"regexp_replace({words}, '{pattern}', '{form}')"
+    joined = r"regexp_replace({{}}, '\b([vV])\.[\x20\x09-\x0D]+([0-9])', '\1 \2', 'g')"
+    ids = rf"""list_transform(list_filter(list_transform(string_split(regexp_replace({joined.format()}, '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda s: {words}), lambda s: not regexp_matches(s, '^(?:[0-9 ]*|[a-z])$')), lambda s: coalesce(names[s], '-'))"""
+    rules = ", ".join(f"{{'l': '', 'f': cast([] as varchar[]), 'p': {_quote(',' + ','.join(row) + ',')}, 'n': {_quote(name)}}}" for name, _, row in lic.RULES)
+    start = "{{'l': ',' || array_to_string({0}, ',') || ',', 'f': cast([] as varchar[]), 'p': '', 'n': ''}}"
+    step = "{'l': replace(s.l, r.p, ',#,'), 'f': case when contains(s.l, r.p) then list_append(s.f, r.n) else s.f end, 'p': '', 'n': ''}"
+    found = lambda side: f"case when len(list_filter({side}, lambda s: s != '-')) > 0 then list_reduce(list_prepend({start.format(side)}, rules), lambda s, r: {step}).f else [] end"
     kinds = " ".join(f"when list_has_any(l, [{', '.join(_quote(n) for n in sorted({n for n, kk, _ in lic.RULES if kk == k}))}]) then '{k}'" for k in lic.KINDS)
     return rf"""
-with d as (select row_number() over () rid, doc_id, case when regexp_matches(text, {_quote(anchor)}) then text end t from documents),
-i as (select rid, doc_id, {ids.format("t")} a, {ids.format(wrapped)} b from d),
-r0 as (select rid, doc_id, a, b, ',' || array_to_string(a, ',') || ',' x, ',' || array_to_string(b, ',') || ',' y, cast([] as varchar[]) f from i),
-{", ".join(rounds)},
-o as (select doc_id, list_sort(list_distinct(f)) l, list_filter(a, lambda s: s != '-') ka, list_filter(b, lambda s: s != '-') kb from r{len(lic.RULES)}),
+with k as (select map {{{known}}} as names, [{rules}] as rules),
+d as (select row_number() over () rid, doc_id, case when regexp_matches(text, {_quote(anchor)}) then text end t from documents),
+i as (select rid, doc_id, {ids.format("t")} a, {ids.format(wrapped)} b from d, k),
+o as (select doc_id, case when a is null then [] else list_sort(list_distinct(list_concat({found("a")}, {found("b")}))) end l,
+  list_filter(a, lambda s: s != '-') ka, list_filter(b, lambda s: s != '-') kb from i, k),
 p as (select doc_id, l, coalesce(case when len(kb) > len(ka) then kb else ka end, []) k from o)
 select doc_id, array_to_string(l, ',') licences, array_to_string(k, ',') sentences, cast(len(k) as bigint) n_sentences, case {kinds} else 'none' end kind from p
 """
@@ -59,7 +61,7 @@ def _url_sql() -> str:
     from lodestat.llm import urls
 
     rules = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in urls.HOST_RULES)
-    words = "|".join(urls.BLOCKED_WORDS)
+    words, paths = "|".join(urls.BLOCKED_WORDS), "|".join(urls.BLOCKED_PATHS)
     return rf"""
 with rules(action, h, p) as (values {rules}),
 u as (select row_number() over () rid, page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} host,
@@ -67,7 +69,8 @@ u as (select row_number() over () rid, page_id, {_LOWER.format("regexp_extract(c
 best as (select rid, arg_max(h || p, (length(h || p), h || p)) rule, arg_max(action, (length(h || p), h || p)) action
   from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by rid)
 select page_id, host, path, rule,
-  coalesce(action, case when regexp_matches(host, '(?s)(^|[.-])({words})([^a-z0-9]|$)') then 'block' else 'allow' end) verdict
+  coalesce(action, case when regexp_matches(host, '(?s)(^|[.-])({words})([^a-z0-9]|$)') or regexp_matches(path, '(?is)^/(.*[^a-z0-9])?({paths})([^a-z0-9]|$)')
+    or regexp_matches(host, '(?s)^{urls.NUMERIC_HOST}(:|$)') then 'block' else 'allow' end) verdict
 from u left join best using (rid)
 """
 

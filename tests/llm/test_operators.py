@@ -147,13 +147,31 @@ def test_licences(spark):
         assert (got[i].licences, got[i].kind) == (names, kind), i
     assert licenses.scan(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
-        licenses.scan(docs(spark, []), sentences={"x": "No such word here."})
+        licenses.scan(docs(spark, []), *licenses.tables({"x": "No such word here."}, [("X", "permissive", ("x",))]))
 
 
 def test_every_sentence_is_found(spark):
-    rows = list(enumerate(licenses.SENTENCES.values()))
-    got = {r.doc_id: r.sentences for r in licenses.scan(docs(spark, rows)).collect()}
-    assert [got[i][0] for i in range(len(rows))] == list(licenses.SENTENCES)
+    every = licenses.SENTENCES | {i: s for i, s, _, _ in licenses.made_sentences()}
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, list(enumerate(every.values())))).collect()}
+    for n, sentence in enumerate(every.values()):
+        assert got[n].sentences == [licenses.KNOWN[p] for p in licenses.pieces_of(sentence)], sentence
+    names = {i: licence for i, _, licence, _ in licenses.made_sentences()}
+    for n, i in enumerate(every):
+        if i in names:  # a notice may be another licence's as well, as those of both GPL and LGPL 2
+            assert names[i] in got[n].licences or any(names[j] in got[n].licences for j, s in every.items() if j in names and licenses.pieces_of(s) == licenses.pieces_of(every[i])), (i, got[n].licences)
+
+
+def test_versions_are_told_apart_and_whole_sentences_asked_for(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [
+        (1, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+        (2, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        (3, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 3.0."),
+        (4, gpl.format(2)), (5, gpl.format(3)), (6, gpl.format(2).split("; either")[0] + ";"), (7, "SPDX-License-Identifier: CC-BY-NC-SA-3.0"), (8, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ]
+    got = {r.doc_id: (r.licences, r.kind) for r in licenses.scan(docs(spark, rows)).collect()}
+    want = {1: (["MPL-1.1"], "copyleft"), 2: (["MPL-2.0"], "copyleft"), 3: ([], "none"), 4: (["GPL-2.0-or-later"], "copyleft"), 5: (["GPL-3.0-or-later"], "copyleft"), 7: (["CC-BY-NC-SA-3.0"], "noncommercial"), 8: (["CC-BY-SA-3.0"], "copyleft")}
+    assert {i: got[i] for i in want} == want and "GPL-2.0-or-later" not in got[6][0]
 
 
 # --- urls -------------------------------------------------------------------------------------------------
@@ -161,7 +179,8 @@ def test_urls(spark):
     cases = [
         ("http://a.example.com/en/1", "example.com/en/", "block"), ("http://www.Example.com/en/1?x#y", "www.example.com/en/", "allow"), ("https://x.com", None, "allow"), ("https://x.com/", "com/", "allow"),
         ("http://b.net/es/1", "net/es/", "block"), ("http://b.net/esx", None, "allow"), ("http://casino-win.org/", "*casino*", "block"), ("http://casinowin.org/", None, "allow"), ("no scheme", None, "allow"), (None, None, "allow"),
-        ("x://y.com/://z.net/es/", "com/", "allow"), ("http://com/?a", "com/", "allow"), ("http://a.com\n", None, "allow"), ("http://ads.org?q", "*ads*", "block"), ("http://x.com/" + "a" * 100_000, "com/", "allow"), ("", None, "allow"),
+        ("x://y.com/://z.net/es/", "com/", "allow"), ("http://com/?a", "com/", "allow"), ("http://a.com\n", None, "allow"), ("http://ads.org?q", "*ads*", "block"), ("http://x.org/a/WP-login.php", "*/wp-login*", "block"), ("http://x.org/a?wp-login", None, "allow"),
+        ("http://192.168.0.1:80/x", "*numeric host*", "block"), ("http://1.2.3.4.org/", None, "allow"), ("http://x.com/" + "a" * 100_000, "com/", "allow"), ("", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, u, "h", "tok", "n") for i, (u, _, _) in enumerate(cases)] + [(None, cases[0][0], "h", "tok", "n"), (0, cases[0][0], "h", "tok", "n")], "page_id long, url string, html string, token string, name string")
     got = urls.judge(pages, urls.rule_table(spark, urls.DEFAULT_RULES)).collect()
@@ -174,6 +193,15 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages, urls.rule_table(spark, ())).collect()} == {"allow"}
 
 
+def test_a_rule_without_a_token_is_tried_on_every_url(spark):
+    rules = (urls.Rule("digit", "block", r"://[0-9]+\.", (), 5), *urls.DEFAULT_RULES)
+    pages = spark.createDataFrame([(1, "http://7.com/"), (2, "http://a.com/"), (3, None)], "page_id long, url string")
+    # the host rule's rank is above the other's
+    assert {r.page_id: r.rule for r in urls.judge(pages, urls.rule_table(spark, rules)).collect()} == {1: "com/", 2: "com/", 3: None}
+    assert {r.page_id: r.rule for r in urls.judge(pages, urls.rule_table(spark, rules[:1])).collect()} == {1: "digit", 2: None, 3: None}
+    assert "Python" not in urls.judge(pages, urls.rule_table(spark, rules))._jdf.queryExecution().toString()
+
+
 def test_a_rule_is_filed_under_its_rarest_token(spark):
     seen = spark.createDataFrame([(f"http://h{i}.example.com/en/",) for i in range(5)] + [("http://www.example.com/",)], "url string")
     index = {r.name: r.token for r in urls.rule_index(seen, urls.rule_table(spark, urls.DEFAULT_RULES[:3])).collect()}
