@@ -165,25 +165,35 @@ def _pii_sql() -> str:
       from (select rid, string_split_regex({text}, '{pattern}') g, regexp_extract_all({text}, '{pattern}') m from {source}), unnest(range(1, len(m) + 1)) u(i))"""
 
     base = " union all ".join(f"select {n} o, * from ({matches(k, p, 'd', 't')}) where {good[k]}" for n, (k, p) in enumerate(patterns.items()))
-    term = matches("term", r"\p{L}{4,}", "(select rid, " + _LOWER.format("t") + " l from d where rid in (select rid from base))", "l")
-    counts = ", ".join(f"cast(count(*) filter (kind = '{k}') as bigint) n_{k}" for k in (*patterns, "term"))
+    kinds = (*patterns, *pii.ADDED)
+    term = matches("", pii.TERM, "(select rid, " + _LOWER.format("blank") + " l from blanked)", "l")
+    counts = ", ".join(f"cast(count(*) filter (kind = '{k}') as bigint) n_{k}" for k in kinds)
+    # Spans of a row in order, each less what those before it cover, are put in place of the text between.
+    clipped = """select rid, list({'at': e, 'b': greatest(b, was), 'w': w, 'out': ''} order by b, e desc, o) l from (
+      select *, coalesce(max(e) over (partition by rid order by b, e desc, o rows between unbounded preceding and 1 preceding), 0) was from %s) where e > was group by rid"""
+    rewritten = """(list_reduce(list_prepend({'at': 0, 'b': 0, 'w': '', 'out': ''}, l), lambda s, x: {'at': x.at, 'b': x.b, 'w': '', 'out': s.out || substr(t, s.at + 1, x.b - s.at) || x.w}).out
+      || substr(t, l[len(l)].at + 1))"""
+    word = "case kind when 'remove' then '' when 'generalise' then '[TERM]' else '[' || upper(kind) || ']' end"
     return rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
-base as materialized (select cast(o as int) o, rid, kind, b, e, v from ({base})),
+base as materialized (select cast(o as int) o, rid, kind, cast(b as int) b, cast(e as int) e, v from ({base})),
+blanked as materialized (select rid, coalesce({rewritten}, t) blank from d left join
+  ({clipped % "(select *, repeat(' ', e - greatest(b, coalesce(max(e) over (partition by rid order by b, e desc, o rows between unbounded preceding and 1 preceding), 0))) w from base)"}) using (rid)),
 held as (select distinct rid, kind || ':' || case kind when 'email' then {_LOWER.format("v")} when 'ip' then v else {digits} end en from base),
 entities as (select en, count(*) n from held group by en having count(*) >= {pii.SUPPORT}),
 words as materialized ({term}),
-own as (select distinct rid, v from words w where not exists (select 1 from base b where b.rid = w.rid and b.b < w.e and w.b < b.e)),
-trip as (select own.rid, en, v from own join held using (rid) join entities using (en)),
-pairs as (select en, v, count(*) c from trip group by en, v having count(*) >= {pii.SUPPORT}),
-df as (select v, count(*) m from (select rid, unnest(list_distinct(regexp_extract_all({_LOWER.format("t")}, '\p{{L}}{{4,}}'))) v from d) group by v),
+own as (select distinct rid, v from words where rid in (select rid from held)),
+pairs as (select en, v, count(*) c from own join held using (rid) join entities using (en) group by en, v having count(*) >= {pii.SUPPORT}),
+df as (select v, count(*) m from (select rid, unnest(list_distinct(regexp_extract_all({_LOWER.format("t")}, '{pii.TERM}'))) v from d) group by v),
 total as (select count(*)::double n from d),
-told as (select en, v, ln(c * total.n / (m * entities.n)) / ln(total.n / entities.n) told from pairs join entities using (en) join df using (v), total where entities.n < total.n),
-chosen as (select distinct rid, v from trip join told using (en, v) where told >= {pii.GENERALISE}),
-terms as (select 4 o, w.* from words w join chosen using (rid, v) where not exists (select 1 from base b where b.rid = w.rid and b.b < w.e and w.b < b.e)),
+told as (select v, max(ln(c * total.n / (m * entities.n)) / ln(total.n / entities.n)) told from pairs join entities using (en) join df using (v), total where entities.n < total.n group by v),
+terms as (select case when told >= {pii.REMOVE} then 5 else 4 end o, rid, case when told >= {pii.REMOVE} then 'remove' else 'generalise' end kind, cast(b as int) b, cast(e as int) e, v
+  from words join told using (v) where told >= {pii.GENERALISE}),
 spans as (select * from base union all select * from terms),
+texts as (select rid, coalesce({rewritten}, t) sanitised from d left join ({clipped % f"(select *, {word} w from spans)"}) using (rid)),
 agg as (select rid, {counts}, string_agg(kind || ':' || b || ':' || e, ',' order by o, b) filter (o < 4) base, string_agg(kind || ':' || b || ':' || e, ',' order by o, b) spans from spans group by rid)
-select doc_id, {", ".join(f"coalesce(n_{k}, 0) n_{k}" for k in (*patterns, "term"))}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join agg using (rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0) n_{k}" for k in kinds)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, sha256(sanitised) sanitised_sha256
+from d left join agg using (rid) left join texts using (rid)
 """
 
 

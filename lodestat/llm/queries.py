@@ -51,9 +51,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(table(spark, sf_dir, "documents"))
     mark = lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    counts = [count(k).alias(f"n_{k}") for k in (*pii.KINDS, "term")]
-    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "term"), mark), ",")
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", mark), ",").alias("spans"))
+    counts = [count(k).alias(f"n_{k}") for k in (*pii.KINDS, *pii.ADDED)]
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS)), mark), ",")
+    all_ = F.array_join(F.transform("spans", mark), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), all_.alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
