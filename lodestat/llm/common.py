@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,35 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+class Shipped:
+    """Arrays in a file that each executor fetches once and its workers map into memory, so that a model may be larger than a worker's share.
+
+    The driver's file goes with the driver.
+    """
+
+    def __init__(self, spark: SparkSession, arrays: dict[str, np.ndarray]):
+        folder = tempfile.mkdtemp(prefix="shipped-")
+        atexit.register(shutil.rmtree, folder, True)
+        self._layout: dict[str, tuple[str, int, tuple[int, ...]]] = {}
+        self._file = f"arrays-{uuid.uuid4().hex}"
+        with open(f"{folder}/{self._file}", "wb") as out:
+            for name, array in arrays.items():
+                self._layout[name] = (array.dtype.str, out.tell(), array.shape)
+                out.write(np.ascontiguousarray(array).tobytes())
+                out.write(bytes(-out.tell() % 16 or 16))  # a file has some bytes though all arrays are empty
+        spark.sparkContext.addFile(f"{folder}/{self._file}")
+        self._raw: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_raw": None}
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if self._raw is None:
+            self._raw = np.memmap(SparkFiles.get(self._file), np.uint8, "r")
+        dtype, at, shape = self._layout[name]
+        return np.ndarray(shape, dtype, self._raw, at)
+
+
 def crc32_of(column: Column) -> Column:
     """Unsigned CRC32 of the UTF-8 bytes of a column as text; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8"))

@@ -2,14 +2,16 @@
 
 Each task turns a shard of the corpus (some MB of whole documents) into word numbers, sorts the suffixes
 that could hold a match into a suffix array, and binary-searches every suffix of the benchmark in it. Only
-the benchmark travels: in blocks of a checked size, each broadcast in turn. Documents are never shuffled.
+the benchmark travels: in blocks, each a file that an executor fetches once and its workers map into memory,
+so that a worker's memory doesn't grow with the benchmark. All blocks are searched in one pass; documents are
+never shuffled, and the words of a document are hashed once for all blocks.
 
 A training suffix is sorted only if the words that follow are benchmark words for at least as long as the
 shortest window, since no other suffix can hold one. This leaves out no match.
 
 Defined cases: a null or empty text has no words and is clean; a null `item_id` counts as the empty
 string; items of one text are all reported; repeated documents are judged row by row; extra columns of
-either table are ignored, or passed on by `decontaminate`.
+either table are ignored, or passed on by `decontaminate`; without a benchmark all documents are clean.
 """
 
 from __future__ import annotations
@@ -18,23 +20,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import ALNUM, LOWER, WordHasher, bounded_batches, pieces, text_bytes
-from lodestat.sources.shared import cut_lineage
+from lodestat.llm.common import ALNUM, LOWER, Shipped, WordHasher, bounded_batches, pieces, text_bytes
 
 #: Bytes of one shard.
-SHARD_BYTES = 500_000
-#: Bytes of benchmark text broadcast at once.
+SHARD_BYTES = 1_000_000
+#: Bytes of benchmark text in one block.
 BLOCK_BYTES = 16_000_000
 #: Hits that are looked at together, about.
 HITS = 200_000
 
-_FOUND = (
-    "n_words long, spans array<struct<begin:long,stop:long>>, items array<string>, "
-    "matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
-)
+_FOUND = ("long", "array<struct<begin:long,stop:long>>", "array<string>", "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>")
 
 
 def _searched(text: np.ndarray, text_at: np.ndarray, suffixes: np.ndarray, tests: np.ndarray, test_at: np.ndarray, length: np.ndarray, after: bool) -> np.ndarray:
@@ -55,32 +53,31 @@ def _searched(text: np.ndarray, text_at: np.ndarray, suffixes: np.ndarray, tests
     return low
 
 
+#: Numbers words alike for all blocks and documents.
+HASHER = WordHasher(ALNUM, LOWER)
+
+
 class SuffixSearch:
-    """One benchmark block, ready to be searched in suffix arrays of training shards."""
+    """One benchmark block, ready to be searched in suffix arrays of training shards.
+
+    Its arrays are read by name from `arrays`: a dict, or a file that is mapped into memory.
+    """
 
     def __init__(self, items: Iterable[tuple[str, str]], window: int):
-        self.hasher = WordHasher(ALNUM, LOWER)
-        self.ids, texts = [], []
+        ids, texts = [], []
         for item, text in items:
-            self.ids.append(item)
+            ids.append(item.encode())
             texts.append(text.encode())
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-        begin, end, counts = self.hasher.spans(data, offsets)
-        hashes = self.hasher.hashes(data, begin, end)
-        self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        lower = LOWER[data].tobytes()
-        self.words: list[bytes] = [b""] * (len(self.vocabulary) + 1)
-        for number, b, e in zip(numbers.tolist(), begin.tolist(), end.tolist(), strict=True):
-            self.words[number + 1] = lower[b:e]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), _offsets(texts)
+        begin, end, counts = HASHER.spans(data, offsets)
+        vocabulary, where, numbers = np.unique(HASHER.hashes(data, begin, end), return_index=True, return_inverse=True)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         # tests: the items' word numbers, each item followed by a 0
         first = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
-        self.tests = np.zeros(int(first[-1]) + 1, np.int64)
+        tests = np.zeros(int(first[-1]) + 1, np.int64)
         owner = np.repeat(np.arange(len(counts)), counts)
-        self.tests[np.arange(len(begin)) + owner] = numbers + 1
-        self.item_start = first[:-1]
+        tests[np.arange(len(begin)) + owner] = numbers + 1
         starts, lengths, owners = [], [], []
         for item, n in enumerate(counts.tolist()):
             if n:
@@ -89,12 +86,35 @@ class SuffixSearch:
                 lengths.append(np.full(k, min(n, window)))
                 owners.append(np.full(k, item))
         none = [np.zeros(0, np.int64)]
-        self.at, self.length, self.owner = (np.concatenate(x or none).astype(np.int64) for x in (starts, lengths, owners))
-        self.least = int(self.length.min()) if len(self.length) else 0
+        at, length, owner = (np.concatenate(x or none).astype(np.int64) for x in (starts, lengths, owners))
+        self.least = int(length.min()) if len(length) else 0
         self.deepest = int(counts.max()) if len(counts) else 0
+        self.arrays = {
+            "ids": np.frombuffer(b"".join(ids), np.uint8), "id_at": _offsets(ids), "vocabulary": vocabulary, "maybe": maybe,
+            "text": LOWER[data], "word_begin": begin[where], "word_end": end[where],
+            "tests": tests, "item_start": first[:-1], "at": at, "length": length, "owner": owner,
+        }
+
+    def shipped(self, spark: SparkSession) -> SuffixSearch:
+        """The same, with its arrays in a file for the executors."""
+        self.arrays = Shipped(spark, self.arrays)
+        return self
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name.startswith("_") or name == "arrays":
+            raise AttributeError(name)
+        return self.arrays[name]
+
+    def id_of(self, item: int) -> str:
+        at = self.id_at
+        return self.ids[at[item] : at[item + 1]].tobytes().decode()
+
+    def word(self, number: int) -> bytes:
+        """The bytes of a word by its number, from 1."""
+        return self.text[self.word_begin[number - 1] : self.word_end[number - 1]].tobytes()
 
     def _numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers from 1, and 0 for words that the benchmark doesn't have."""
+        """Word numbers from 1, and 0 for words that the block doesn't have."""
         out = np.zeros(len(hashes), np.int64)
         likely = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         if len(likely):
@@ -115,14 +135,13 @@ class SuffixSearch:
                 break
         return np.argsort(rank[at], kind="stable")
 
-    def shard(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list, list, list]:
-        """Of each row: its number of words, merged hit spans, items, and maximal matches."""
-        rows = len(offsets) - 1
-        begin, end, counts = self.hasher.spans(data, offsets)
-        spans, items, matches = [[] for _ in range(rows)], [[] for _ in range(rows)], [[] for _ in range(rows)]
+    def shard(self, words: Words, want_matches: bool) -> tuple[np.ndarray, list, list]:
+        """Which words of the shard are hit, (row, item id) pairs, and of each row its maximal matches if wanted."""
+        begin, end, counts, rows = words.begin, words.end, words.counts, len(words.counts)
+        matches, hit_words = [[] for _ in range(rows)], np.zeros(len(begin), bool)
         if not self.least or not len(begin):
-            return counts, spans, items, matches
-        numbers = self._numbers(self.hasher.hashes(data, begin, end))
+            return hit_words, [], matches
+        numbers = self._numbers(words.hashes)
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         inside = numbers > 0
         before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
@@ -134,7 +153,7 @@ class SuffixSearch:
         keep = run_to - run_from >= self.least
         run_from, size = run_from[keep], (run_to - run_from)[keep]
         if not len(size):
-            return counts, spans, items, matches
+            return hit_words, [], matches
         run = np.repeat(np.arange(len(size)), size)
         where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + run_from[run]  # word index in the shard
         spot = np.arange(len(where)) + run
@@ -144,155 +163,151 @@ class SuffixSearch:
         can = left >= self.least
         at, where = spot[can], where[can]
         suffixes = self._suffix_array(text, at)
-        # Only tests whose first words begin a suffix can be found; the others needn't be searched.
-        begins = np.zeros((2, len(self.vocabulary) + 1), bool)
-        begins[0, text[at]] = begins[1, text[at + 1]] = True
-        able = np.flatnonzero(begins[0, self.tests[self.at]] & (begins[1, self.tests[self.at + 1]] | (self.length < 2)))
-        low, n = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
-        low[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], False)
-        n[able] = _searched(text, at, suffixes, self.tests, self.at[able], self.length[able], True) - low[able]
+        tests, test_at, length, owner, item_start = self.tests, self.at, self.length, self.owner, self.item_start
+        low = _searched(text, at, suffixes, tests, test_at, length, False)
+        n = _searched(text, at, suffixes, tests, test_at, length, True) - low
         first_hit = np.cumsum(n) - n
-        lower = LOWER[data].tobytes()
         checked, wrong = np.zeros(len(numbers), bool), np.zeros(len(numbers), bool)
         mark, pairs = np.zeros(len(numbers) + 1, np.int64), [np.zeros(0, np.int64)]
         # Words that repeat give a hit for each pair of places: hits are expanded so many at a time.
-        for tests in np.split(np.arange(len(n)), np.flatnonzero(np.diff(first_hit // HITS)) + 1):
-            size = n[tests]
-            test = np.repeat(tests, size)
-            hit = suffixes[np.arange(len(test)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[tests], size)]
-            place, word, start = at[hit], where[hit], self.at[test]
-            longest = self.length[test].copy()
-            left_off = (start == self.item_start[self.owner[test]]) | (self.tests[start - 1] != text[place - 1]) | (place == 0)
-            growing = np.flatnonzero(left_off)  # of a longer match only its first hit is told
-            while len(growing):
-                mine, other = text[place[growing] + longest[growing]], self.tests[start[growing] + longest[growing]]
-                growing = growing[(mine == other) & (mine > 0)]
-                longest[growing] += 1
+        for chosen in np.split(np.arange(len(n)), np.flatnonzero(np.diff(first_hit // HITS)) + 1):
+            size = n[chosen]
+            test = np.repeat(chosen, size)
+            hit = suffixes[np.arange(len(test)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[chosen], size)]
+            place, word, start = at[hit], where[hit], test_at[test]
+            longest = length[test].copy()
+            left_off = np.zeros(len(test), bool)
+            if want_matches:
+                left_off = (start == item_start[owner[test]]) | (tests[start - 1] != text[place - 1]) | (place == 0)
+                growing = np.flatnonzero(left_off)  # of a longer match only its first hit is told
+                while len(growing):
+                    mine, other = text[place[growing] + longest[growing]], tests[start[growing] + longest[growing]]
+                    growing = growing[(mine == other) & (mine > 0)]
+                    longest[growing] += 1
             # Hashes stand for words: each word of a match is compared itself, once.
             touched = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(touched, word, 1)
             np.add.at(touched, word + longest, -1)
             for w in np.flatnonzero((np.cumsum(touched)[:-1] > 0) & ~checked).tolist():
-                checked[w], wrong[w] = True, lower[begin[w] : end[w]] != self.words[numbers[w]]
+                checked[w], wrong[w] = True, words.word(w) != self.word(numbers[w])
             bad = np.concatenate([[0], np.cumsum(wrong)])
-            exact = bad[word + self.length[test]] == bad[word]
+            exact = bad[word + length[test]] == bad[word]
             np.add.at(mark, word[exact], 1)
-            np.add.at(mark, (word + self.length[test])[exact], -1)
+            np.add.at(mark, (word + length[test])[exact], -1)
             row = np.searchsorted(first, word, side="right") - 1
-            pairs.append(np.unique(row[exact] * len(self.ids) + self.owner[test[exact]]))
+            pairs.append(np.unique(row[exact] * len(item_start) + owner[test[exact]]))
             for i in np.flatnonzero(left_off & (bad[word + longest] == bad[word])).tolist():
-                item = int(self.owner[test[i]])
-                matches[row[i]].append((self.ids[item], int(start[i] - self.item_start[item]), int(word[i] - first[row[i]]), int(longest[i])))
-        for r, item in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))), strict=True):
-            items[r].append(self.ids[item])
-        covered = np.concatenate([[False], np.cumsum(mark)[:-1] > 0, [False]])
-        edge = np.diff(covered.astype(np.int8))
+                item = int(owner[test[i]])
+                matches[row[i]].append((self.id_of(item), int(start[i] - item_start[item]), int(word[i] - first[row[i]]), int(longest[i])))
+        found = [(r, self.id_of(item)) for r, item in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), max(len(item_start), 1))), strict=True)]
+        return np.cumsum(mark)[:-1] > 0, found, matches
+
+
+class Words:
+    """The words of a shard: where they begin and end, their hashes, and how many each row has."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.begin, self.end, self.counts = HASHER.spans(data, offsets)
+        self.hashes, self._text = HASHER.hashes(data, self.begin, self.end), LOWER[data]
+
+    def word(self, number: int) -> bytes:
+        return self._text[self.begin[number] : self.end[number]].tobytes()
+
+    def spans(self, hit: np.ndarray) -> list[list[tuple[int, int]]]:
+        """Stretches of hit words of each row."""
+        out: list[list[tuple[int, int]]] = [[] for _ in self.counts]
+        first = np.concatenate([[0], np.cumsum(self.counts)])
+        edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
         for b, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             while b < e:  # a stretch of hits may run over the end of a row
                 r = int(np.searchsorted(first, b, side="right")) - 1
                 stop = min(e, int(first[r + 1]))
-                spans[r].append((b - int(first[r]), stop - int(first[r])))
+                out[r].append((b - int(first[r]), stop - int(first[r])))
                 b = stop
-        return counts, spans, [sorted(set(x)) for x in items], matches
+        return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
-    """The benchmark as broadcast blocks of at most BLOCK_BYTES, or of one item where that is longer."""
-    context = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null and t != ''")
+def _offsets(texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[SuffixSearch]:
+    """The benchmark as blocks of at most BLOCK_BYTES, or of one item where that is longer; the driver holds one at a time."""
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null and t != ''")
     block, size, out = [], 0, []
     for row in rows.toLocalIterator():
-        if block and size + len(row.t) > BLOCK_BYTES:
-            out.append(context.broadcast(SuffixSearch(block, window)))
+        more = len(row.t.encode())
+        if block and size + more > BLOCK_BYTES:
+            out.append(SuffixSearch(block, window).shipped(benchmark.sparkSession))
             block, size = [], 0
         block.append((row.i, row.t))
-        size += len(row.t)
-    return [*out, context.broadcast(SuffixSearch(block, window))]
-
+        size += more
+    return [*out, SuffixSearch(block, window).shipped(benchmark.sparkSession)]
 
-def _scan(search, columns: list[str]):
-    """Adds what one block finds to the columns of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for first, last in pieces(offsets, SHARD_BYTES):
-                at = offsets[first : last + 1]
-                counts, spans, items, matches = search.value.shard(data[at[0] : at[-1]], at - at[0])
-                part = batch.slice(first, last - first)
-                span, match = pa.struct([("begin", pa.int64()), ("stop", pa.int64())]), pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in columns),
-                        pa.array(counts.astype(np.int64)),
-                        pa.array([[{"begin": b, "stop": e} for b, e in x] for x in spans], pa.list_(span)),
-                        pa.array(items, pa.list_(pa.string())),
-                        pa.array([[dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in x] for x in matches], pa.list_(match)),
-                    ],
-                    names=[*columns, "n_words", "spans", "items", "matches"],
-                )
 
-    return run
-
-
-def _merged(one: Column, two: Column) -> Column:
-    """The union of two lists of spans, as sorted spans that neither touch nor overlap."""
-    spans = F.array_sort(F.concat(one, two))
-    empty = F.slice(spans, 1, 0)
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["stop"] < span["begin"])
-        return F.when(apart, F.concat(done, F.array(span))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer)))
-
-    return F.aggregate(spans, empty, add)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", matches: bool = True,
+) -> DataFrame:
     """What of the benchmark each document holds, word for word.
 
     A window is `window` consecutive words of an item, or a shorter item as a whole. Per row of `docs`: the
     columns `keep`, n_words, spans (word ranges inside occurrences of windows, merged), items (ids of items
-    with occurring windows, sorted) and matches (maximal verbatim matches: where in the item, where in the
-    document, how many words).
+    with occurring windows, sorted) and, unless left out, matches (maximal verbatim matches: where in the item,
+    where in the document, how many words).
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    out = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
     keys = [f"__k{i}" for i in range(len(keep))]
     blocks = _blocks(benchmark, item_col, item_text_col, window)
-    schema = ", ".join(f"{k} {out.schema[k].dataType.simpleString()}" for k in keys)
-    one = lambda df, extra, block: df.mapInArrow(_scan(block, [*keys, *extra]), schema + "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in extra) + ", " + _FOUND)
-    if len(blocks) == 1:
-        found = one(out, [], blocks[0])
-    else:  # a benchmark of more than one block: each pass adds what its block finds
-        found = out.select(*keys, "text", F.expr("cast(array() as array<struct<begin:long,stop:long>>)").alias("spans_"), F.expr("cast(array() as array<string>)").alias("items_"), F.expr("cast(array() as array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>)").alias("matches_"))
-        for block in blocks:
-            found = cut_lineage(
-                one(found, ["text", "spans_", "items_", "matches_"], block)
-                .withColumn("spans", _merged(F.col("spans_"), F.col("spans")))
-                .withColumn("items", F.array_sort(F.array_union("items_", "items")))
-                .withColumn("matches", F.concat("matches_", "matches"))
-                .select(*keys, "text", F.col("spans").alias("spans_"), F.col("items").alias("items_"), F.col("matches").alias("matches_"), "n_words")
-            )
-        found = found.select(*keys, "n_words", F.col("spans_").alias("spans"), F.col("items_").alias("items"), F.col("matches_").alias("matches"))
-    return found.select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)), "n_words", "spans", "items", "matches")
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
+    fields = ("item_id", "item_word", "doc_word", "n_words")
+    match = pa.list_(pa.struct([("item_id", pa.string()), *((f, pa.int64()) for f in fields[1:])]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for first, last in pieces(offsets, SHARD_BYTES):
+                at = offsets[first : last + 1]
+                words = Words(data[at[0] : at[-1]], at - at[0])
+                hit, items, found = np.zeros(len(words.begin), bool), [set() for _ in words.counts], [[] for _ in words.counts]
+                for block in blocks:
+                    new, pairs, longest = block.shard(words, matches)
+                    hit |= new
+                    for r, item in pairs:
+                        items[r].add(item)
+                    for mine, its in zip(found, longest, strict=True):
+                        mine += its
+                part = batch.slice(first, last - first)
+                columns = [
+                    *(part.column(c) for c in keys), pa.array(words.counts.astype(np.int64)),
+                    pa.array([[{"begin": b, "stop": e} for b, e in x] for x in words.spans(hit)], span), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                ]
+                if matches:
+                    columns.append(pa.array([[dict(zip(fields, m, strict=True)) for m in x] for x in found], match))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *named])
+
+    named = ["n_words", "spans", "items", *(["matches"] if matches else [])]
+    kinds = _FOUND[:3] + (_FOUND[3:] if matches else ())
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {k}" for n, k in zip(named, kinds, strict=True))])
+    return rows.mapInArrow(run, schema).select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)), *named)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no window of the benchmark, all columns as they were; no shuffle."""
-    for block in _blocks(benchmark, "item_id", "text", window):
-
-        def clean(batches: Iterator[pa.RecordBatch], search=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = text_bytes(batch.column(text_col))
-                keep = np.ones(batch.num_rows, bool)
-                for first, last in pieces(offsets, SHARD_BYTES):
-                    at = offsets[first : last + 1]
-                    spans = search.value.shard(data[at[0] : at[-1]], at - at[0])[1]
-                    keep[first:last] = [not x for x in spans]
-                yield batch.filter(pa.array(keep))
-
-        docs = bounded_batches(docs).mapInArrow(clean, docs.schema)
-    return docs
+    blocks = _blocks(benchmark, "item_id", "text", window)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(text_col))
+            keep = np.ones(batch.num_rows, bool)
+            for first, last in pieces(offsets, SHARD_BYTES):
+                at = offsets[first : last + 1]
+                words = Words(data[at[0] : at[-1]], at - at[0])
+                for block in blocks:
+                    for r, _ in block.shard(words, False)[1]:
+                        keep[first + r] = False
+            yield batch.filter(pa.array(keep))
+
+    return bounded_batches(docs).mapInArrow(clean, docs.schema)

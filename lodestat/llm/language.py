@@ -17,17 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, bounded_batches, byte_table, crc32_of, stable_key, text_bytes
+from lodestat.llm.common import LOWER, Shipped, bounded_batches, byte_table, crc32_of, stable_key, text_bytes
 
 #: Number of trigram hashes.
 BUCKETS = 1 << 15
 #: Documents of each language to learn from, about.
 PER_LANGUAGE = 1500
-#: Most languages of a model, which bounds what is broadcast (each takes 8 x BUCKETS bytes).
-MOST_LANGUAGES = 400
+#: Languages whose likelihoods are looked at together; a model of more goes block by block, so that a worker's memory
+#: doesn't grow with it.
+BLOCK = 256
 #: Log-likelihood per language and logarithm of the trigram count.
 PENALTY = 3.0
 ROUNDS = 12
@@ -49,24 +50,44 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
 
 
 class MixtureModel:
-    """Likelihoods of trigrams by language."""
+    """Likelihoods of trigrams by language, in blocks of languages: (trigram x language) each, in a dict or a file mapped into memory."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, penalty: float = PENALTY):
-        self.languages, self.penalty = languages, penalty
-        smooth = counts.astype(float) + 0.05
-        self.likelihood = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)  # trigram x language
+        self.languages, self.penalty, self.width = languages, penalty, BLOCK
+        self.blocks: dict[str, np.ndarray] | Shipped = {}
+        self.sizes = []
+        for at in range(0, len(counts), self.width):
+            smooth = counts[at : at + self.width].astype(float) + 0.05
+            self.blocks[str(len(self.sizes))] = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)
+            self.sizes.append(len(smooth))
+
+    def shipped(self, spark: SparkSession) -> MixtureModel:
+        """The same, with its likelihoods in a file for the executors."""
+        sent = MixtureModel(self.languages, np.zeros((0, BUCKETS)), self.penalty)
+        sent.width, sent.sizes, sent.blocks = self.width, self.sizes, Shipped(spark, self.blocks) if isinstance(self.blocks, dict) else self.blocks
+        return sent
+
+    def _columns(self, used: np.ndarray, which: np.ndarray | None = None) -> list[np.ndarray]:
+        """The rows `used` of the likelihoods: block by block, or of the languages `which` together."""
+        if which is None:
+            return [self.blocks[str(i)][used] for i in range(len(self.sizes))] if len(self.sizes) == 1 else _Lazy(self.blocks, used, len(self.sizes))
+        return [np.stack([self.blocks[str(i // self.width)][used, i % self.width] for i in which], axis=1)]
 
     @staticmethod
-    def _em(p: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """Shares of the columns of p, and the log-likelihood."""
-        shares, total = np.full(p.shape[1], 1 / p.shape[1]), counts.sum()
+    def _em(parts, counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """Shares of the columns of the parts, and the log-likelihood."""
+        widths = [p.shape[1] for p in parts]
+        cut = np.cumsum(widths)[:-1]
+        shares, total = np.full(sum(widths), 1 / sum(widths)), counts.sum()
+        mixed = lambda: sum(p @ s for p, s in zip(parts, np.split(shares, cut), strict=True))
         for _ in range(ROUNDS):
-            new = shares * ((counts / (p @ shares)) @ p) / total
+            ratio = counts / mixed()
+            new = shares * np.concatenate([ratio @ p for p in parts]) / total
             moved = np.abs(new - shares).max()
             shares = new
             if moved < 1e-3:
                 break
-        return shares, float(counts @ np.log(p @ shares))
+        return shares, float(counts @ np.log(mixed()))
 
     def infer(self, raw: np.ndarray) -> list[tuple[str, float]]:
         """Languages of a text and their shares, largest first."""
@@ -75,13 +96,13 @@ class MixtureModel:
             return []
         counts = np.bincount(hashed, minlength=BUCKETS)
         used = np.flatnonzero(counts)
-        counts, p = counts[used].astype(float), self.likelihood[used]
-        alone = counts @ np.log(p)
+        counts, parts = counts[used].astype(float), self._columns(used)
+        alone = np.concatenate([counts @ np.log(p) for p in parts])
         price = self.penalty * np.log(len(hashed) + 1.0)
         first = int(np.argmax(alone))
         if len(self.languages) == 1:
             return [(self.languages[0], 1.0)]
-        shares, best = self._em(p, counts)
+        shares, best = self._em(parts, counts)
         if best - alone[first] <= price:  # the mixture of all languages is likelier than that of any set
             return [(self.languages[first], 1.0)]
         order = np.argsort(-shares, kind="stable")
@@ -89,7 +110,7 @@ class MixtureModel:
         if alone[first] > alone[order[0]]:
             chosen, value = np.array([first]), float(alone[first]) - price
         for k in range(2, len(order) + 1):
-            part, likelihood = self._em(p[:, order[:k]], counts)
+            part, likelihood = self._em(self._columns(used, order[:k]), counts)
             if likelihood - k * price <= value:
                 break
             chosen, its, value = order[:k], part, likelihood - k * price
@@ -97,18 +118,28 @@ class MixtureModel:
         return [(self.languages[i], float(s)) for s, i in found]
 
 
+class _Lazy:
+    """Rows of the blocks of a model, read each time they are passed over."""
+
+    def __init__(self, blocks, used: np.ndarray, n: int):
+        self.blocks, self.used, self.n = blocks, used, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self.blocks[str(i)][self.used] for i in range(self.n))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, penalty: float = PENALTY) -> MixtureModel:
     """A model from rows with a label. Of a language with more rows than `per_language`, that many are expected to be read."""
     rows = bounded_batches(labelled).where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    sizes = rows.groupBy("l").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sizes = {r.l: r["count"] for r in sizes}
+    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().toLocalIterator()}  # what the model is made of
     languages = sorted(sizes)
     if not languages:
         return MixtureModel([], np.zeros((0, BUCKETS)), penalty)
-    cut = F.create_map(*(x for l in languages for x in (F.lit(l), F.lit(int(min(1.0, per_language / sizes[l]) * 2**60))))) if languages else None  # noqa: E741
-    sample = rows.where(stable_key(F.col("i")) <= F.element_at(cut, F.col("l"))).select("l", "t")
+    least = rows.sparkSession.createDataFrame([(x, int(min(1.0, per_language / sizes[x]) * 2**60)) for x in languages], "l string, cut long")
+    sample = rows.join(F.broadcast(least), "l").where(stable_key(F.col("i")) <= F.col("cut")).select("l", "t")  # a row for each language
     number = {l: i for i, l in enumerate(languages)}  # noqa: E741
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +153,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
             used = np.flatnonzero(grown)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), which, np.int32)), pa.array(used), pa.array(grown[used])], names=["l", "b", "n"])
 
-    counts = np.zeros((len(languages), BUCKETS), np.int64)
-    sums = sample.mapInArrow(count, "l int, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts[sums["l"].to_numpy(np.int64), sums["b"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    counts = np.zeros((len(languages), BUCKETS), np.int32)
+    for row in sample.mapInArrow(count, "l int, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).groupBy("l").agg(F.collect_list(F.struct("b", "n")).alias("x")).toLocalIterator():
+        counts[row.l, [x.b for x in row.x]] = [x.n for x in row.x]  # at most BUCKETS cells
     return MixtureModel(languages, counts, penalty)
 
 
@@ -139,7 +170,7 @@ def _inference(model, n_extra: int):
         for batch in batches:
             raw, at = text_bytes(batch.column("__text"))
             letters = batch.column("__letter").to_pylist()
-            found = [model.value.infer(raw[a:b]) if ok else [] for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), letters, strict=True)]
+            found = [model.infer(raw[a:b]) if ok else [] for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), letters, strict=True)]
             item = pa.struct([("lang", pa.string()), ("share", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -156,7 +187,7 @@ def _inference(model, n_extra: int):
 
 def identify(docs: DataFrame, model: MixtureModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row of `docs`: the columns `keep`, lang_pred, score (that language's share) and mixture (all its languages)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shipped(docs.sparkSession)
     rows = bounded_batches(docs).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("__text"), _has_letter(F.col(text_col).cast("string")).alias("__letter"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(keep)]) + "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
     out = rows.mapInArrow(_inference(shared, len(keep)), schema)
@@ -169,17 +200,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_known(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, as they were, in which one language makes up at least `least` of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of `docs`, as they were, in which one language makes up at least `least` of the text; all of them where the model has learnt none."""
+    if not model.languages:
+        return docs
+    shared, letter = model.shipped(docs.sparkSession), "__letter"
+    while letter in (c.lower() for c in docs.columns):
+        letter += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column(text_col))
-            letters = batch.column("__letter").to_pylist()
+            letters = batch.column(letter).to_pylist()
             keep = []
             for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), letters, strict=True):
-                found = shared.value.infer(raw[a:b]) if ok else []
+                found = shared.infer(raw[a:b]) if ok else []
                 keep.append(bool(found) and found[0][1] >= least)
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__letter"])
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([letter])
 
-    return bounded_batches(docs).withColumn("__letter", _has_letter(F.col(text_col))).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).withColumn(letter, _has_letter(F.col(text_col))).mapInArrow(run, docs.schema)

@@ -28,8 +28,8 @@ from lodestat.sources.shared import cut_lineage
 
 #: Grid of exponents.
 STEPS = 1 << 20
-#: Key ranges of a source: 2**RANGE_BITS.
-RANGE_BITS = 12
+#: Key ranges of a source: 2**RANGE_BITS at least, and so many more that one has about RANGE_ROWS of all rows at most.
+RANGE_BITS, RANGE_ROWS, MOST_BITS = 12, 100_000, 24
 _KEY_BITS = 60
 #: Sources up to this number are broadcast (some 60 bytes each); more are joined by shuffling.
 BROADCAST_SOURCES = 100_000
@@ -107,13 +107,14 @@ def _cut_keys(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     `rows` has (__id, source, tokens).
     """
+    bits = min(MOST_BITS, max(RANGE_BITS, (rows.count() // RANGE_ROWS).bit_length()))
     plan = plan.select("source", "weight", "passes", F.floor("passes").alias("whole"), F.floor((F.col("passes") - F.floor("passes")) * F.col("tokens")).alias("rest"))
     some = plan.where("rest > 0").select(F.col("source").alias("__s"), "whole", "rest")
     keyed = _with_plan(rows, some, F.col("source").eqNullSafe(F.col("__s"))).select("__s", "rest", "tokens", _block_key(F.col("whole")).alias("key"))
-    keyed = keyed.withColumn("range", F.shiftright("key", _KEY_BITS - RANGE_BITS))
+    keyed = keyed.withColumn("range", F.shiftright("key", _KEY_BITS - bits))
     sums = keyed.groupBy("__s", "rest", "range").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy("__s").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = cut_lineage(sums.withColumn("after", F.sum("t").over(upto)))  # at most 2**RANGE_BITS rows a source
+    ranges = cut_lineage(sums.withColumn("after", F.sum("t").over(upto)))  # at most 2**bits rows a source
     full = ranges.where("after <= rest").groupBy("__s").agg(F.max("range").alias("full"))
     last = ranges.where("after > rest and after - t <= rest").groupBy(F.col("__s").alias("__r"), F.col("rest").alias("__rest")).agg(F.min("range").alias("open"), F.min(F.col("after") - F.col("t")).alias("spent"))
     inside = _with_plan(keyed, last, F.col("__s").eqNullSafe(F.col("__r")) & (F.col("range") == F.col("open")))
@@ -121,7 +122,7 @@ def _cut_keys(rows: DataFrame, plan: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("__s").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = by_key.withColumn("sum", F.col("spent") + F.sum("t").over(so_far)).where("sum <= rest").groupBy("__s").agg(F.max("key").alias("key"))
     # All of the ranges before the open one are taken, whether or not they have rows.
-    ends = last.select(F.col("__r").alias("__s"), (F.shiftleft("open", _KEY_BITS - RANGE_BITS) - 1).alias("key")).unionByName(full.select("__s", (F.shiftleft(F.col("full") + 1, _KEY_BITS - RANGE_BITS) - 1).alias("key"))).unionByName(taken)
+    ends = last.select(F.col("__r").alias("__s"), (F.shiftleft("open", _KEY_BITS - bits) - 1).alias("key")).unionByName(full.select("__s", (F.shiftleft(F.col("full") + 1, _KEY_BITS - bits) - 1).alias("key"))).unionByName(taken)
     cut = ends.groupBy("__s").agg(F.max("key").alias("cut"))
     return cut_lineage(plan.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "weight", "passes", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")))
 

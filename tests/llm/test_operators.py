@@ -55,6 +55,47 @@ def test_language_of_pure_mixed_and_odd_texts(spark, model):
     assert kept.columns == docs(spark, rows).columns and {1, 2, 3, 7}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_models_of_many_languages_go_block_by_block(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, speech(rng, x, 40), "s", x) for i, x in enumerate(["aa", "bb", "cc"] * 30)] + [(1000 + i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{j}" for j in range(9)), "s", f"l{i:03}") for i in range(300)]
+    texts = docs(spark, [*ODD, (20, speech(rng, "bb", 30)), (21, speech(rng, "aa", 300) + " " + speech(rng, "cc", 150))])
+    got = {}
+    for block in (256, 7, 1000):
+        monkeypatch.setattr(language, "BLOCK", block)
+        found = language.identify(texts, language.fit(docs(spark, rows))).collect()
+        got[block] = sorted(((r.doc_id, r.lang_pred, round(r.score, 9), [m.lang for m in r.mixture]) for r in found), key=repr)
+        assert {r.doc_id: r.lang_pred for r in found}[20] == "bb"
+    assert got[256] == got[7] == got[1000]
+
+
+def plain_mixture(model, grams):
+    """Shares of all languages by plain loops over trigrams."""
+    import math
+
+    table = model.blocks["0"]
+    shares = [1 / len(model.languages)] * len(model.languages)
+    for _ in range(language.ROUNDS):
+        new = [0.0] * len(shares)
+        for g in grams:
+            parts = [s * table[g, k] for k, s in enumerate(shares)]
+            for k, part in enumerate(parts):
+                new[k] += part / sum(parts) / len(grams)
+        moved, shares = max(abs(a - b) for a, b in zip(new, shares, strict=True)), new
+        if moved < 1e-3:
+            break
+    return shares, sum(math.log(sum(s * table[g, k] for k, s in enumerate(shares))) for g in grams)
+
+
+def test_em_against_plain_loops(spark, model):
+    rng = random.Random(2)
+    text = speech(rng, "aa", 40) + " " + speech(rng, "bb", 20)
+    hashed = language.trigrams(np.frombuffer(text.encode(), np.uint8))
+    used = np.flatnonzero(counts := np.bincount(hashed, minlength=language.BUCKETS))
+    shares, likelihood = model._em(model._columns(used), counts[used].astype(float))
+    want, its = plain_mixture(model, hashed.tolist())
+    assert shares == pytest.approx(want, abs=1e-9) and likelihood == pytest.approx(its)
+
+
 def test_language_without_labels_or_rows(spark, model):
     nothing = language.fit(docs(spark, []))
     assert {r.lang_pred for r in language.identify(docs(spark, ODD), nothing).collect()} == {"und"}
@@ -66,7 +107,7 @@ def test_language_without_labels_or_rows(spark, model):
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(0)
     p, counts = rng.random((50, 3)) + 0.01, rng.integers(1, 9, 50).astype(float)
-    shares, value = language.MixtureModel._em(p, counts)
+    shares, value = language.MixtureModel._em([p], counts)
     assert abs(shares.sum() - 1) < 1e-9 and all(value >= float(counts @ np.log(p[:, k])) for k in range(3))
 
 
@@ -125,6 +166,34 @@ def test_steps_in_parts_learn_what_whole_steps_do(monkeypatch):
     assert np.allclose(whole.scores(x, bags)[0], parts.scores(x, bags)[0], atol=1e-6)
 
 
+def test_scores_against_plain_loops_over_passages(spark):
+    """Passage by passage, in plain Python: what the encoder, the gated attention and the unit make of a document."""
+    import math
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["good", "words", "x", "9", "$$"]) for _ in range(rng.randrange(1, 400)))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs(spark, rows), labels)
+    got = {r.doc_id: r for r in quality.score(docs(spark, rows), model).collect()}
+    k = {n: w.tolist() for n, w in model.weights.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda v, m, j: sum(a * row[j] for a, row in zip(v, m, strict=True))
+    for i, text in rows:
+        words, hs, raw = text.split(), [], []
+        for at in range(0, len(words), quality.PASSAGE_WORDS):
+            part = " ".join(words[at : at + quality.PASSAGE_WORDS]) + (" " if at + quality.PASSAGE_WORDS < len(words) else "")
+            x, bags = quality.Passages().describe(np.frombuffer(part.encode(), np.uint8), np.array([0, len(part)]))
+            assert bags.tolist() == [1]
+            v = ((x[0] - model.mean) / model.scale).tolist()
+            h = [math.tanh(dot(v, k["E"], j) + k["e"][j]) for j in range(len(k["e"]))]
+            hs.append(h)
+            raw.append(sum(math.tanh(dot(h, k["V"], j)) * sig(dot(h, k["U"], j)) * k["w"][j] for j in range(len(k["w"]))))
+        weights = [math.exp(r - max(raw)) for r in raw]
+        z = [sum(w * h[j] for w, h in zip(weights, hs, strict=True)) / sum(weights) for j in range(len(hs[0]))]
+        assert got[i].score == pytest.approx(sig(sum(a * b for a, b in zip(z, k["c"], strict=True)) + k["b"][0]), abs=1e-4)
+        assert got[i].n_passages == len(hs)
+
+
 def test_passages_of_many_texts_are_those_of_each():
     texts = [t.encode() for t in ("a b c", "", "w " * 200, "Ünï cödé " * 30, "  ", "tail")]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -496,3 +565,35 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.shard == plain_jump(int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), 40) for r in got)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    rng = random.Random(7)
+    a, b = speech(rng, "aa", 120), speech(rng, "aa", 120)
+    cases = {
+        "empty": ([], []),
+        # no label to learn from: no document is rejected for its language
+        "unlabelled": ([(1, a, "s", None, 1), (2, b, None, None, 1), (3, None, "s", None, 1)], [(1, a), (2, b), (3, None)]),
+        # ids that are null or repeat, of different texts and of one
+        "ids": ([(1, a, "s", None, 1), (1, b, "s", None, 1), (1, a, "s", None, 1), (None, speech(rng, "bb", 90), "s", None, 1), (None, speech(rng, "cc", 90), "s", None, 1)], None),
+    }
+    for name, (rows, want) in cases.items():
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        crcs = {zlib.crc32((t or "").encode()) for _, t, *_ in rows}
+        assert len(got) >= len(want or [])
+        assert {r.text_crc32 for r in got} == crcs, name
+
+
+def test_shards_of_rows_that_repeat(spark):
+    rows = [(7, f"t{i}") for i in range(60)] + [(7, "same")] * 50 + [(None, "x")] * 30 + [(i, "y") for i in range(100, 130)]
+    got = sharding.shard(docs(spark, rows), 4, range_rows=5).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got if r.doc_id == 7}) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    crc = zlib.crc32(b"same")
+    slots = sorted(r.slot for r in got if r.text_crc32 == crc)
+    assert slots == list(range(slots[0], slots[0] + 50))
