@@ -19,28 +19,43 @@ from lodestat.sources.shared import shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or of which no language makes up half, go."""
+    """Documents without a language, or of which no language makes up half, go.
+
+    Rows without a label aren't learnt from; where no row has one, no document is rejected. A null text, or one
+    without a letter, goes; repeated rows are judged alike; an empty table gives no rows.
+    """
     model = language.fit(docs.where(~language.held_out()))
     return language.keep_known(docs, model, least=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
+    """One document of each SimHash component stays, the one with the smallest id.
+
+    Rows are told apart by a number of their own: null and repeated ids cost no other row its place. Empty and
+    null texts are one component; extra columns pass.
+    """
     return keep_representatives(docs, distance=4, shingle=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go.
+
+    Null and empty texts stay, and so do all where the benchmark is empty; repeated rows are judged alike.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scarce sources are repeated, up to half as often again as the most plentiful one; no document is left out."""
+    """Scarce sources are repeated, up to half as often again as the most plentiful one; no document is left out.
+
+    A null source is a source of its own; rows with equal ids are taken together; without any tokens all rows
+    are read once.
+    """
     return mixing.mix(docs, entropy=0.998, repeats=1.5)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each row in forty shards."""
+    """The place of each row in forty shards, by its id; rows with null or equal ids are in one shard, each in a place of its own."""
     return sharding.shard(docs, shards=40)
 
 
