@@ -186,7 +186,7 @@ own as (select distinct rid, v from words where rid in (select rid from held)),
 pairs as (select en, v, count(*) c from own join held using (rid) join entities using (en) group by en, v having count(*) >= {pii.SUPPORT}),
 df as (select v, count(*) m from (select rid, unnest(list_distinct(regexp_extract_all({_LOWER.format("t")}, '{pii.TERM}'))) v from d) group by v),
 total as (select count(*)::double n from d),
-told as (select v, max(ln(c * total.n / (m * entities.n)) / ln(total.n / entities.n)) told from pairs join entities using (en) join df using (v), total where entities.n < total.n group by v),
+told as (select v, max(ln(least(c, m) * total.n / (m * entities.n)) / ln(total.n / entities.n)) told from pairs join entities using (en) join df using (v), total where entities.n < total.n group by v),
 terms as (select case when told >= {pii.REMOVE} then 5 else 4 end o, rid, case when told >= {pii.REMOVE} then 'remove' else 'generalise' end kind, cast(b as int) b, cast(e as int) e, v
   from words join told using (v) where told >= {pii.GENERALISE}),
 spans as (select * from base union all select * from terms),

@@ -35,6 +35,8 @@ ADDED = ("generalise", "remove")
 SUPPORT, GENERALISE, REMOVE = 1, 0.8, 0.95
 #: A term: a longest run of letters and digits, A-Z lower-cased.
 TERM = r"[\p{L}\p{N}]+"
+#: A term with all since the one before; it begins where the last one ended, so that what no term follows is tried once.
+PIECE = r"\G[^\p{L}\p{N}]*+[\p{L}\p{N}]++"
 #: Code points of the blocks that texts are cut into, so that a place in a long text is reached at once.
 BLOCK = 1024
 #: Tables of terms up to this many rows are broadcast (some 100 bytes each), and tables of marks up to so many spans.
@@ -102,6 +104,28 @@ def _located(text: Column, pattern: Column, kind: str) -> Column:
     return _folded(pairs, add, _SPAN)
 
 
+def _word_ends(text: Column, words: Column) -> Column:
+    """Where each of some words of a text ends, by their numbers in order of the text.
+
+    A piece is a word and all since the word before. Lengths of pieces are summed in chunks of about the square
+    root of the words, so that a word's place needs the sum of the chunks before and of a part of its own.
+    """
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.length)
+    added = lambda sizes: F.aggregate(sizes, F.lit(0), lambda n, x: n + x)
+
+    def ends(sizes: Column, chunk: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int"))
+        sums = F.aggregate(numbers, F.array(F.lit(0)), lambda done, c: F.concat(done, F.array(F.element_at(done, -1) + added(F.slice(sizes, c * chunk + 1, chunk)))))
+
+        def end(starts: Column, word: Column) -> Column:
+            of = F.floor(word / chunk).cast("int")
+            return F.get(starts, of) + added(F.slice(sizes, of * chunk + 1, word % chunk + 1))
+
+        return _let(sums, lambda starts: F.transform(words, lambda word: end(starts, word)))
+
+    return _let(lengths, lambda sizes: _let(F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(sizes))).cast("int")), lambda chunk: ends(sizes, chunk)))
+
+
 def _rewritten(text: Column, spans: Column, word: Callable[[Column], Column]) -> Column:
     """The text with `word` in place of each span; what spans share is left to the one that begins first, then to the longer."""
 
@@ -217,24 +241,25 @@ def disclosures(private: DataFrame, sizes: DataFrame, documents: int, support: i
     terms = private.select(*_TEXT_KEY, "copies", F.explode("terms").alias("term")).join(rare, "term")
     met = terms.join(held, _TEXT_KEY).where(F.col("m") <= bound(F.col("n")))
     together = met.groupBy("class", "term", "n", "m").agg(F.sum("copies").alias("c")).where(F.col("c") >= support)
-    told = F.log(F.col("c") * total / (F.col("m") * F.col("n"))) / F.log(total / F.col("n"))
+    # A base value may end within a word, whose rest is a term of fewer whole texts than there are with both.
+    told = F.log(F.least("c", "m") * total / (F.col("m") * F.col("n"))) / F.log(total / F.col("n"))
     return together.groupBy("term").agg(F.max(told).alias("told")).where(F.col("told") >= generalise)
 
 
 def _hits(rows: DataFrame, telling: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(text key, hits): of each distinct text with telling terms, the numbers of those words and whether they are removed."""
+    """(text key, hits): of each distinct text with telling terms, the numbers of those words, their lengths and whether they are removed."""
     words = rows.select(*_TEXT_KEY, F.posexplode(_words(_blanked(F.col("__text"), F.col("spans")))).alias("i", "term"))
     few = _bounded(telling, BROADCAST_TERMS)
     if few is telling:
         # Too many to be sent: the words of most places, few and frequent ones that don't tell, are left out before the shuffle.
         frequent = sizes.orderBy(F.desc("m"), "term").limit(BROADCAST_TERMS).select("term").join(telling, "term", "left_anti")
         words = words.join(F.broadcast(cut_lineage(frequent)), "term", "left_anti")  # at most BROADCAST_TERMS rows
-    found = words.join(few, "term").select(*_TEXT_KEY, "i", "remove").distinct()
-    return found.groupBy(*_TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("i", "remove"))).alias("hits"))
+    found = words.join(few, "term").select(*_TEXT_KEY, "i", F.length("term").alias("n"), "remove").distinct()
+    return found.groupBy(*_TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("i", "n", "remove"))).alias("hits"))
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: id_col, spans (kind, begin, stop, value; base kinds, then `generalise`, then `remove`) and sanitised (the text)."""
+    """Per row of `docs`: id_col, spans (kind, begin, stop, and the value of base kinds; then those of the kinds `generalise` and `remove`) and sanitised (the text)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), *_keyed(text))
     documents = docs.select(F.lit(1)).count()
@@ -252,14 +277,14 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     # Up to so many spans travel to the texts; with more, the texts are shuffled to their spans.
     out = rows.join(F.broadcast(marks) if (spans_of or 0) <= BROADCAST_SPANS else marks.hint("merge"), _TEXT_KEY, "left")
     out = out.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)")))
-    places = _located(ascii_lower(_blanked(F.col("__text"), F.col("spans"))), F.lit(TERM), "")
+    ends = _word_ends(_blanked(F.col("__text"), F.col("spans")), F.transform("hits", lambda h: h["i"]))
 
-    def added(kind: str) -> Column:
-        of_kind = F.filter("hits", lambda h: h["remove"] == F.lit(kind == "remove"))
-        at = lambda h: F.get(F.col("places"), h["i"])
-        return F.transform(of_kind, lambda h: F.struct(F.lit(kind).alias("kind"), at(h)["begin"].alias("begin"), at(h)["stop"].alias("stop"), at(h)["value"].alias("value")))
+    def span(hit: Column, stop: Column) -> Column:
+        kind = F.when(hit["remove"], "remove").otherwise("generalise")
+        return F.struct(kind.alias("kind"), (stop - hit["n"]).alias("begin"), stop.alias("stop"), kind.alias("value"))
 
-    out = out.withColumn("places", F.when(F.col("hits").isNotNull(), places))
-    out = out.withColumn("spans", F.when(F.col("hits").isNull(), F.col("spans")).otherwise(F.concat("spans", *(added(k) for k in ADDED))))
+    out = out.withColumn("added", F.when(F.col("hits").isNotNull(), F.zip_with("hits", ends, span)))
+    of_kinds = [F.filter("added", lambda x: x["kind"] == ADDED[0]), F.filter("added", lambda x: x["kind"] == ADDED[1])]
+    out = out.withColumn("spans", F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.concat("spans", *of_kinds)))
     word = lambda x: F.when(x["kind"] == "remove", "").when(x["kind"] == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     return out.select(F.col("__id").alias(id_col), "spans", _rewritten(F.col("__text"), F.col("spans"), word).alias("sanitised"))
