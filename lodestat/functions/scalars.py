@@ -86,6 +86,16 @@ def round_sig3(value: Column) -> Column:
     return F.when(value == 0, 0.0).otherwise(F.round(value / scale) * scale)
 
 
+def relative_delta(now: Column, before: Column) -> Column:
+    """the change as a part of what was; null without a base or with a base of 0."""
+    return F.when(before != 0, (now - before) / before)
+
+
+def pp_delta(now: Column, before: Column) -> Column:
+    """F35 of rates: the change in percentage points; null where either rate is missing."""
+    return (now - before) * 100
+
+
 # --- time -------------------------------------------------------------------------------------------------
 def at(ms: Column) -> Column:
     """Epoch milliseconds as a timestamp."""
@@ -173,6 +183,22 @@ def message_text(variant: Column) -> Column:
 
 
 REASONING_CHARS, TOOL_CHARS = 100_000, 200_000
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|\{\}|\[\]|[{}\[\],:]|[^{}\[\],:"]++'
+
+
+def pretty_json(variant: Column) -> Column:
+    """F17 as searched: a variant as JSON over lines, each level two blanks further in; null where there is none."""
+    tokens = F.regexp_extract_all(F.to_json(variant), F.lit(_TOKEN), F.lit(0))
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def add(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        shown = F.when(t.isin("{", "[", ","), F.concat(t, line(depth))).when(t.isin("}", "]"), F.concat(line(depth), t)).when(t == ":", ": ").otherwise(t)
+        return F.struct(depth.alias("depth"), F.concat(s["out"], F.array(shown)).alias("out"))
+
+    text = F.array_join(F.aggregate(tokens, start, add, lambda s: s["out"]), "")
+    return F.when(variant.isNotNull() & (kind_of(variant) != "VOID"), text)
 
 
 def searchable_text(variant: Column, type_: Column) -> Column:
@@ -181,7 +207,7 @@ def searchable_text(variant: Column, type_: Column) -> Column:
 
     def of(p: Column) -> Column:
         kind = json_text(p, "$.type")
-        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.left(F.coalesce(json_text(p, "$.state.input"), F.lit("")), F.lit(TOOL_CHARS)), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
+        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.left(F.coalesce(pretty_json(F.try_variant_get(p, "$.state.input", "variant")), F.lit("")), F.lit(TOOL_CHARS)), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
         return F.when(kind == "reasoning", F.left(F.coalesce(json_text(p, "$.text"), F.lit("")), F.lit(REASONING_CHARS))).when(kind == "tool", tool).otherwise("")
 
     extra = F.when(type_ == "assistant", F.transform(parts, of))
@@ -194,9 +220,13 @@ def model_switch_detail(old: Column, new: Column) -> Column:
 
 
 # --- search -----------------------------------------------------------------------------------------------
+#: Letters match in any case, those beyond ASCII too.
+ANY_CASE = "(?iu)"
+
+
 def literal_pattern(text: str, ignore_case: bool = True) -> str:
     """a pattern that matches the text itself."""
-    return ("(?i)" if ignore_case else "") + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", text)
+    return (ANY_CASE if ignore_case else "") + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", text)
 
 
 def count_matches(text: Column, pattern: str) -> Column:
@@ -212,35 +242,44 @@ def escaped_html(text: Column) -> Column:
 
 
 def snippet(text: Column, pattern: str, width: int = 120) -> Column:
-    """some `width` characters around the first match, which is marked; the three pieces are escaped one by one.
+    """`width` characters around the first match, which is marked; the three pieces are escaped one by one.
 
-    A match of no width or longer than the window is shown whole, without surroundings.
+    The window begins so far before the match that it is in the middle, or at the text's start, and what of the
+    match is beyond its end is left out. Of a match longer than the window, the window begins within the match.
     """
     match = F.regexp_extract(text, f"({pattern})", 1)
-    begin, size = F.regexp_instr(text, F.lit(pattern)) - 1, F.length(match)
-    radius = F.greatest(F.floor((F.lit(width) - size) / 2), F.lit(0)).cast("int")
-    low = F.greatest(begin - radius, F.lit(0))
-    high = F.least(begin + size + radius, F.length(text))
-    before = F.concat(F.when(low > 0, "…").otherwise(""), escaped_html(F.substring(text, low + 1, begin - low)))
-    after = F.concat(escaped_html(F.substring(text, begin + size + 1, high - begin - size)), F.when(high < F.length(text), "…").otherwise(""))
-    return F.concat(before, F.lit("<mark>"), escaped_html(match), F.lit("</mark>"), after)
+    begin, size, length = F.regexp_instr(text, F.lit(pattern)) - 1, F.length(match), F.length(text)
+    low = F.greatest(begin - F.floor((F.lit(width) - size) / 2).cast("int"), F.lit(0))
+    high = F.least(low + width, length)
+    stop = F.least(begin + size, high)
+    part = lambda a, b: escaped_html(F.substring(text, a + 1, F.greatest(b - a, F.lit(0))))
+    return F.concat(
+        F.when(low > 0, "…").otherwise(""), part(low, begin), F.lit("<mark>"), part(begin, stop), F.lit("</mark>"), part(stop, high), F.when(high < length, "…").otherwise("")
+    )
 
 
 # --- export -----------------------------------------------------------------------------------------------
+# What a spreadsheet takes for the start of a formula; characters that names of files can't have.
+FORMULA = r"^[=+\-@\t\r]"
+NOT_IN_NAMES = r'[\\/:*?"<>|\x00-\x1f]'
+
+
 def csv_field(text: Column) -> Column:
     """F33, first half: a quote before text that a spreadsheet would run; the writer does the quoting."""
-    return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(text.rlike(FORMULA), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def slug(title: Column, most: int = 60) -> Column:
-    """lower-case words joined by hyphens, at most `most` characters."""
-    words = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "-")
-    return F.coalesce(F.nullif(F.regexp_replace(F.left(F.regexp_replace(words, "^-+|-+$", ""), F.lit(most)), "-+$", ""), F.lit("")), F.lit("session"))
+    """the title with one blank for each white space, hyphens for what names of files can't have, at most `most` characters and no dot or blank at the end; `untitled-session` where nothing is left."""
+    blanks = F.regexp_replace(title, r"[\t\n\r\f\x0b]+", " ")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(blanks, NOT_IN_NAMES, "-"), r"\s+", " "))
+    return F.coalesce(F.nullif(F.regexp_replace(F.left(clean, F.lit(most)), "[. ]+$", ""), F.lit("")), F.lit("untitled-session"))
 
 
 def download_name(created_ms: Column, title: Column, extension: str) -> Column:
-    """<created date>-<slug>.<extension>"""
-    return F.concat(local_date_key(created_ms), F.lit("-"), slug(title), F.lit(f".{extension}"))
+    """<created date>-<slug>.<extension>; `unknown-date` where there is no date."""
+    day = F.coalesce(F.nullif(local_date_key(created_ms), F.lit("")), F.lit("unknown-date"))
+    return F.concat(day, F.lit("-"), slug(title), F.lit(f".{extension}"))
 
 
 def md_escape(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestat.functions import scalars as S
 from lodestat.operators.views import anchored
 
+# Categories of content, and types of messages that a report counts.
 CATEGORIES = ("assistantText", "toolOutput", "toolInput", "reasoning", "userText", "other")
 TYPES = ("user", "assistant", "system", "model-switched", "compaction")
 

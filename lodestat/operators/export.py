@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
 from lodestat.operators.replay import visible
 from lodestat.operators.sessions import filtered, session_tokens
 from lodestat.operators.views import anchored
+from lodestat.sources.shared import cut_lineage
 
 CSV_COLUMNS = ("id", "title", "modelId", "agent", "directory", "timeCreated", "timeUpdated", "tokens", "cost")
 
@@ -27,6 +28,22 @@ def write_sessions_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=False, emptyValue="", nullValue="")
 
 
+def sessions_csv_text(rows: DataFrame) -> DataFrame:
+    """K1 as the lines of one file, (line, text): the mark of UTF-8 and the header in line 0, then a record each, with CR LF after every one.
+
+    Lines are numbered by their order, so that however many files are written can be put together.
+    """
+    quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    fields = [quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in CSV_COLUMNS]
+    # Records are numbered within ranges of the order; a range's first number is what all before it have.
+    ranged = rows.repartitionByRange(F.desc("timeUpdated"), "id").withColumn("part", F.spark_partition_id())
+    ranged = cut_lineage(ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("timeUpdated"), "id"))))
+    starts = ranged.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    lines = ranged.join(F.broadcast(starts.select("part", "before")), "part").select((F.col("before") + F.col("place")).alias("line"), F.concat(F.concat_ws(",", *fields), F.lit("\r\n")).alias("text"))
+    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("line"), F.lit("\ufeff" + ",".join(CSV_COLUMNS) + "\r\n").alias("text"))
+    return head.unionByName(lines).orderBy("line")
+
+
 def _passage(text: Column) -> Column:
     return F.when(F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), F.length)), F.lit(0)) >= 3, S.md_fence(text)).otherwise(text)
 

@@ -22,25 +22,29 @@ def pattern_error(spark: SparkSession, pattern: str) -> str | None:
     return None
 
 
-def _searched(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    rows = anchored(messages.where(F.col("type").isin("user", "assistant")), sessions)
-    return rows.withColumn("text", S.searchable_text(F.try_parse_json("data"), F.col("type"))).dropDuplicates(["id"])
-
-
 def search_messages(messages: DataFrame, sessions: DataFrame, query: str, mode: str = "substring", limit: int = MOST_HITS) -> DataFrame:
     """User and assistant messages with the text (any case) or a regular expression, newest first, then by id.
 
-    Each hit has its session's title, a snippet, its number of matches, and the number of all hits. An empty
-    query has none; a pattern that can't be used raises ValueError with the reason.
+    Each hit has its session's title, a snippet, its number of matches, the number of all hits, and no error. An
+    empty query has none; of a pattern that can't be used there is one row, with the reason as its error.
     """
-    pattern = S.literal_pattern(query) if mode == "substring" else f"(?i){query}"
+    pattern = S.literal_pattern(query) if mode == "substring" else f"{S.ANY_CASE}{query}"
     if query and (why := pattern_error(messages.sparkSession, pattern)):
-        raise ValueError(why)
-    rows = _searched(messages, sessions).where(F.col("text").rlike(pattern) & F.lit(bool(query)))
-    first = rows.orderBy(F.desc("time_created"), F.desc("id")).limit(limit)
-    total = rows.agg(F.count("*").alias("total"))  # one row
+        empty = search_messages(messages, sessions, "", mode, limit).drop("error").limit(0)
+        told = messages.sparkSession.range(1).select(F.lit(0).cast("long").alias("total"), F.lit(why).alias("error"))
+        return empty.unionByName(told, allowMissingColumns=True)
+    rows = anchored(messages.where(F.col("type").isin("user", "assistant")), sessions)
+    rows = rows.withColumn("text", S.searchable_text(F.try_parse_json("data"), F.col("type")))
+    # Only hits are shuffled to find those that repeat.
+    found = rows.where(F.col("text").rlike(pattern) & F.lit(bool(query))).dropDuplicates(["id"])
+    first = found.orderBy(F.desc("time_created"), F.desc("id")).limit(limit)
+    total = found.agg(F.count("*").alias("total"))  # one row
     hits = first.join(sessions.select(F.col("id").alias("session_id"), "title"), "session_id", "left").crossJoin(total)
-    return hits.select("id", "session_id", F.coalesce("title", F.lit("")).alias("title"), "type", "time_created", S.snippet(F.col("text"), pattern).alias("snippet"), S.count_matches(F.col("text"), pattern).alias("matches"), "total").orderBy(F.desc("time_created"), F.desc("id"))
+    text = F.col("text")
+    return hits.select(
+        "id", "session_id", F.coalesce("title", F.lit("")).alias("title"), "type", "time_created", S.snippet(text, pattern).alias("snippet"),
+        S.count_matches(text, pattern).alias("matches"), "total", F.lit(None).cast("string").alias("error"),
+    ).orderBy(F.desc("time_created"), F.desc("id"))
 
 
 def session_find(messages: DataFrame, sessions: DataFrame, needle: str) -> DataFrame:

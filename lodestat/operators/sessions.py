@@ -53,6 +53,11 @@ def session_list(sessions: DataFrame, as_of_ms: int, sort: str = "time_updated",
     return _listed(rows.orderBy(key.asc() if order == "asc" else key.desc(), "id").offset(max(offset, 0)).limit(max(1, min(limit, 500))))
 
 
+def scan_sessions(sessions: DataFrame) -> DataFrame:
+    """The list's eleven columns of every session."""
+    return _listed(sessions.withColumn("tokens", session_tokens()))
+
+
 def session_summary(sessions: DataFrame, id_: str) -> DataFrame:
     """The list's columns of one session, wherever in the list it is."""
     return _listed(sessions.where(F.col("id") == id_).withColumn("tokens", session_tokens()))
@@ -144,8 +149,9 @@ def directory_stats(sessions: DataFrame, messages: DataFrame, limit: int = 10) -
     rows = sessions.where("directory is not null and directory != ''").join(per, "id", "left")
     z = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     sums = rows.groupBy("directory").agg(F.count("*").alias("sessions"), z("steps"), z("tokens_input"), z("tokens_output"), z("tokens_cache_read"), F.max("time_updated").alias("last_active"))
-    all_ = Window.partitionBy()  # over a row for each directory
-    return sums.select("*", F.count("*").over(all_).alias("total_directories"), F.sum("sessions").over(all_).alias("total_sessions"), S.last_segment(F.col("directory")).alias("name")).orderBy(F.desc("steps"), F.desc("sessions"), "directory").limit(max(1, min(limit, 50)))
+    totals = sums.agg(F.count("*").alias("total_directories"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("total_sessions"))
+    named = sums.withColumn("name", S.last_segment(F.col("directory"))).crossJoin(totals)  # totals: one row
+    return named.orderBy(F.desc("steps"), F.desc("sessions"), "directory").limit(max(1, min(limit, 50)))
 
 
 # --- distributions ----------------------------------------------------------------------------------------

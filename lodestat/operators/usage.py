@@ -145,4 +145,4 @@ def trend_pivot(trend: DataFrame) -> DataFrame:
 
 def deltas(now: DataFrame, key: str = "model_id") -> DataFrame:
     """F35 over A5: relative change of tokens; null without a base or with a base of 0."""
-    return now.withColumn("relative_delta", F.when(F.col("previous_tokens") != 0, (F.col("tokens") - F.col("previous_tokens")) / F.col("previous_tokens")))
+    return now.withColumn("relative_delta", S.relative_delta(F.col("tokens"), F.col("previous_tokens")))

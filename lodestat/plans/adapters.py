@@ -76,7 +76,7 @@ class Tables:
         error = F.when((k % 29 == 0) & (k % 4 == 0), '"error":null,').when(k % 29 == 0, j('"error":{"type":"', F.when(k % 3 == 0, "").when(k % 3 == 1, "aborted").otherwise("rate_limit"), '","message":"x"},')).otherwise("")
         agent = F.when(k % 23 == 0, "").when(k % 3 == 0, "build").when(k % 3 == 1, "plan").otherwise("general")
         step = F.when(k % 53 == 0, "not json").when(k % 59 == 0, "[]").otherwise(j('{"agent":"', agent, '",', F.when(k % 41 == 0, "").otherwise(model), F.when(k % 47 == 0, "").otherwise(tokens), error, '"content":[', F.coalesce("content", F.lit("")), "]}"))
-        kind = F.when(k % 11 == 0, "user").when(k % 11 == 1, "compaction").when(k % 11 == 2, "model-switched").when(k % 11 == 3, "system").otherwise("assistant")
+        kind = F.when(k % 61 == 5, "idle").when(k % 61 == 6, "synthetic").when(k % 11 == 0, "user").when(k % 11 == 1, "compaction").when(k % 11 == 2, "model-switched").when(k % 11 == 3, "system").otherwise("assistant")
         data = (
             F.when(kind == "user", j('{"text":"', F.col("o_orderpriority"), " order ", s, '"}')).when(kind == "system", j('{"text":"system note ', s, '"}'))
             .when(kind == "compaction", j('{"status":"done","reason":"', F.when(k % 3 == 0, "auto").when(k % 3 == 1, "manual").otherwise(""), '","summary":"s"}'))
@@ -108,14 +108,15 @@ class Tables:
     @cached_property
     def instruction_state(self) -> DataFrame:
         k = F.col("c_custkey")
-        values = lambda n: F.concat(F.lit('{"a":"h'), ((k + n) % 7).cast("string"), F.lit('","b":"h'), ((k + n) % 90).cast("string"), F.lit('"}'))
+        # hashes of all parts, and of keys beyond the last one
+        values = lambda n: F.concat(F.lit('{"a":"h'), (k + n).cast("string"), F.lit('","b":"h'), (2 * k + n).cast("string"), F.lit('"}'))
         rows = self.raw("customer").withColumn("n", F.explode(F.array(F.lit(0), F.lit(3))))
         return rows.select(k.cast("string").alias("session_id"), (k + F.col("n") * F.when(k % 2 == 0, 1).otherwise(-1)).alias("epoch_start"), values(F.col("n")).alias("current_values"))
 
     @cached_property
     def instruction_blob(self) -> DataFrame:
         k = F.col("p_partkey")
-        return self.raw("part").where(k <= 60).select(F.concat(F.lit("h"), k.cast("string")).alias("hash"), F.when(k % 5 == 0, '""').otherwise(_quoted(F.col("p_name"))).alias("value"))
+        return self.raw("part").select(F.concat(F.lit("h"), k.cast("string")).alias("hash"), F.when(k % 5 == 0, '""').otherwise(_quoted(F.col("p_name"))).alias("value"))
 
     @cached_property
     def event_stream(self) -> DataFrame:

@@ -19,7 +19,7 @@ sessions as (
 quantities as (select l_orderkey, cast(sum(l_quantity) as bigint) quantity from lineitem join part on l_partkey = p_partkey group by 1),
 messages as (
   select cast(k as varchar) id, k, case when k % 97 = 0 then 'gone' else cast(o_custkey as varchar) end session_id,
-    case k % 11 when 0 then 'user' when 1 then 'compaction' when 2 then 'model-switched' when 3 then 'system' else 'assistant' end type, k seq,
+    case when k % 61 = 5 then 'idle' when k % 61 = 6 then 'synthetic' when k % 11 = 0 then 'user' when k % 11 = 1 then 'compaction' when k % 11 = 2 then 'model-switched' when k % 11 = 3 then 'system' else 'assistant' end type, k seq,
     epoch_ms(o_orderdate) + (k % 86400) * 1000 time_created, make_timestamp((epoch_ms(o_orderdate) + (k % 86400) * 1000) * 1000) ts,
     o_orderpriority, o_orderstatus, cast(floor(o_totalprice) as bigint) % 5000 price, cast(floor(o_totalprice / 7) as bigint) % 9000 price7, coalesce(quantity, 0) quantity
   from (select o_orderkey k, * from orders) left join quantities on l_orderkey = k),
@@ -91,15 +91,27 @@ events as (select session_id, id event_id, k, seq, time_created, type kind,
 _PROMPT = """
 states as (select cast(c_custkey as varchar) session_id, n, c_custkey k, c_custkey + n * case when c_custkey % 2 = 0 then 1 else -1 end epoch from customer, (values (0), (3)) x(n)),
 latest as (select * from states qualify row_number() over (partition by session_id order by epoch desc) = 1),
-keyed as (select session_id, 'a' key, (k + n) % 7 h from latest union all select session_id, 'b', (k + n) % 90 from latest),
-prompts as (select session_id, key, p_name "text" from keyed join part on p_partkey = h where p_partkey <= 60 and p_partkey % 5 <> 0)"""
+keyed as (select session_id, 'a' key, k + n h from latest union all select session_id, 'b', 2 * k + n from latest),
+prompts as (select session_id, key, p_name "text" from keyed join part on p_partkey = h where p_partkey % 5 <> 0)"""
 
 _TEXTS = """
 bodies as (select m.id, m.session_id, m.type, m.seq, m.time_created, m.k, case when type = 'user' then o_orderpriority || ' order ' || k end user_text from kept m),
-part_texts as (select message_id, pos, case kind when 'text' then p_name end own, case when kind = 'reasoning' then p_type when kind = 'tool' then case when p % 50 = 49 then 'unknown' else base_tool end || chr(10) || chr(10) || '{"path":"' || path || '"}' || chr(10) || chr(10) || p_name end extra from parts),
+part_texts as (select message_id, pos, case kind when 'text' then p_name end own, case when kind = 'reasoning' then p_type when kind = 'tool' then case when p % 50 = 49 then 'unknown' else base_tool end || chr(10) || chr(10) || '{' || chr(10) || '  "path": "' || path || '"' || chr(10) || '}' || chr(10) || chr(10) || p_name end extra from parts),
 step_texts as (select message_id, array_to_string(list_filter([string_agg(own, chr(10) || chr(10) order by pos), string_agg(extra, chr(10) || chr(10) order by pos)], lambda x: x is not null), chr(10) || chr(10)) txt from part_texts group by 1),
 texts as (select b.id, b.session_id, b.type, b.seq, b.time_created, case when b.type in ('user', 'system') then coalesce(user_text, 'system note ' || b.k) else coalesce(txt, '') end txt from bodies b left join step_texts on message_id = b.id)"""
 
+def _search(pattern: str) -> tuple[list[str], str]:
+    """X1 from its rule, for a pattern without groups."""
+    html = lambda t: f"replace(replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+    return [_TEXTS], rf"""select id, session_id, title, type, time_created,
+      case when low > 0 then '…' else '' end || {html("substr(txt, low + 1, spot - low)")} || '<mark>' || {html("substr(txt, spot + 1, least(spot + size, high) - spot)")} || '</mark>'
+      || {html("substr(txt, least(spot + size, high) + 1, high - least(spot + size, high))")} || case when high < length(txt) then '…' else '' end snippet, matches, total, cast(null as varchar) error
+    from (select *, least(low + 120, length(txt)) high from (select *, greatest(spot - (120 - size) // 2, 0) low from (
+      select t.id, session_id, coalesce(title, '') title, type, t.time_created, txt, length(regexp_extract(txt, '(?i){pattern}')) size, length(string_split_regex(txt, '(?i){pattern}')[1]) spot,
+        len(regexp_extract_all(txt, '(?i){pattern}')) matches, count(*) over () total
+      from texts t left join sessions s on s.id = session_id where type in ('user', 'assistant') and regexp_matches(txt, '(?i){pattern}') order by t.time_created desc, t.id desc limit 200)))"""
+
+
 _FOREST = """
 nodes as (select s.id, case when s.parent_id = s.id or p.id is null then null else s.parent_id end parent, coalesce(s.parent_id = s.id, false) self_parent, s.parent_id is not null and p.id is null orphan from sessions s left join sessions p on p.id = s.parent_id),
 walk(start, here, path, looped) as (
@@ -132,27 +144,29 @@ _PLAIN: dict[str, str] = {
     "s01_scan_steps": "select message_id, session_id, seq, time_created, agent, model_id, raw_model_id, provider_id, variant, input, output, reasoning, cache_read, cache_write, has_error, error_type from steps",
     "s03_unnest_parts": "select message_id, session_id, pos, kind from parts",
     "s04_unnest_tool_parts": "select message_id, pos, tool, status from tool_parts",
-    "s02_scan_sessions": "select id, title, agent, directory, time_created, time_updated from sessions",
+    "s02_scan_sessions": "select id, title, launch model_id, launch_provider provider_id, coalesce(nullif(agent, ''), 'unknown') agent, directory, time_created, time_updated, case when time_updated > time_created then time_updated - time_created end duration_ms, tokens, cost from sessions",
     "p02_anchored_messages": "select id, session_id, type from kept",
     "p03_session_scope": "select message_id, session_id, seq from steps where session_id = '7'",
     "p07_window": "select message_id, time_created from steps, as_of where day >= today - 29",
     "f05_step_rates": "select message_id, case when cache_read + input > 0 then cache_read / (cache_read + input) else 0 end hit_rate, case when cache_read + input + cache_write > 0 then cache_read / (cache_read + input + cache_write) else 0 end strict_hit_rate, input + output + cache_read usage_tokens, input + cache_read + cache_write context_tokens from steps",
     "f09_local_times": "select message_id, strftime(ts, '%Y-%m-%d') day_key, dayofweek(ts) weekday, hour(ts) as hour from steps",
-    "f13_redacted_paths": "select id, case when directory = '/n/FRANCE' then '~' when starts_with(directory, '/n/FRANCE/') then '~' || substr(directory, 10) else directory end path from sessions",
+    "f13_redacted_paths": "select id, case when directory = '/n/NATION_2' then '~' when starts_with(directory, '/n/NATION_2/') then '~' || substr(directory, 12) else directory end path from sessions",
     "f33_csv_fields": "select doc_id, sha256(case when left(text, 1) in ('=', '+', '-', '@', chr(9), chr(13)) then '''' || text else text end) field_sha256 from documents",
     "f38_wall_durations": "select id, case when time_updated > time_created then time_updated - time_created end duration_ms from sessions",
     "s05_session_messages": "select id, session_id, type, seq, time_created from kept where session_id = '7'",
     "s06_session_todos": "select session_id, content, status, position from todos where session_id = '7' and session_id in (select id from sessions)",
     "s08_session_exists": "select id from sessions where id in (select session_id from messages)",
     "k01_sessions_csv": "select id, title, launch \"modelId\", coalesce(nullif(agent, ''), 'unknown') agent, coalesce(directory, '') directory, time_created \"timeCreated\", time_updated \"timeUpdated\", tokens, cost from sessions",
-    "p04_directory_filter": "select id, directory from sessions where directory = '/n/FRANCE/BUILDING'",
+    "p04_directory_filter": "select id, directory from sessions where directory = '/n/NATION_2/BUILDING'",
     "p05_range_filter": "select id, time_updated from sessions where time_updated >= 788918400000 + 1400 * 3600000::bigint - 30 * 86400000::bigint",
     "p06_day_filter": "select id, time_updated from sessions where cast(make_timestamp(time_updated * 1000) as date) = date '1995-01-11'",
     "p08_previous_window": "select message_id, time_created from steps, as_of where day between today - 59 and today - 30",
     "p14_model_drill_down": "select id session_id, ids model_ids from (select s.id, array_to_string(list_sort(list_distinct(list_append(coalesce(m, []), launch))), ',') ids from sessions s left join (select session_id, list(model_id) m from steps where raw_model_id is not null group by 1) on session_id = s.id) where list_contains(string_split(ids, ','), '2-HIGH')",
-    "p15_visible_messages": "select type, count(*) n from messages group by 1",
+    "p15_visible_messages": "select type, count(*) n from messages where type not in ('idle', 'synthetic') group by 1",
     "f11_last_segment": "select id, case when directory is null then null when directory = '' then '' else list_last(string_split(directory, '/')) end segment from sessions",
-    "f34_download_names": "select id, strftime(make_timestamp(time_created * 1000), '%Y-%m-%d') || '-' || replace(lower(title), '#', '-') || '.md' name from sessions",
+    # the rule of names: blanks, forbidden characters, trim, 60 characters, no dot or blank at the end
+    "f34_download_names": r"""select id, strftime(make_timestamp(time_created * 1000), '%Y-%m-%d') || '-' ||
+      regexp_replace(left(trim(regexp_replace(regexp_replace(' a/b: ' || title || '  <' || coalesce(agent, '') || '> and some more words, so that it is cut. .', '[\\/:*?"<>|]', '-', 'g'), '\s+', ' ', 'g')), 60), '[. ]+$', '') || '.md' name from sessions""",
     "a01_overview": "select coalesce(sum(input + output + cache_read) filter (day >= today), 0) today_tokens, coalesce(sum(input + output + cache_read), 0) total_tokens, case when coalesce(sum(cache_read + input) filter (day >= today), 0) > 0 then sum(cache_read) filter (day >= today) / sum(cache_read + input) filter (day >= today) else 0 end today_hit_rate, count(*) step_count, (select count(*) from sessions) session_count, (select sum(cost) from sessions) total_cost from steps, as_of",
     "a06_agent_stats": "select agent, coalesce(n, 0) sessions, coalesce(steps, 0) steps, coalesce(tokens, 0) tokens, coalesce(tools, '') tools from (select agent, count(*) n from (select agent, id from sessions where agent <> '' union select agent, session_id from steps) group by 1) full join (select agent, count(*) steps, sum(input + output + cache_read) tokens from steps group by 1) using (agent) left join (select agent, string_agg(tool || '=' || n, ',' order by n desc, tool) tools from (select s.agent, tool, count(*) n from tool_parts join steps s using (message_id) group by 1, 2) group by 1) using (agent)",
     "a07_tool_health": "select tool, count(*) filter (status = 'completed') completed, count(*) filter (status = 'error') error, count(*) filter (status = 'running') running, count(*) total, count(*) filter (status = 'error') / count(*)::double error_rate from tool_parts group by 1",
@@ -176,7 +190,7 @@ _PLAIN: dict[str, str] = {
     "w05_model_changes": "select session_id, message_id, seq, coalesce(m, '') model, coalesce(m <> last_value(m ignore nulls) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding), false) model_changed from (select *, nullif(raw_model_id, '') m from steps)",
     "w06_turn_costs": "select session_id, message_id, seq, cache_read, input, output, case when t > 0 then cache_read / t end read_share, case when t > 0 then input / t end paid_share, case when t > 0 then output / t end output_share from (select *, input + output + cache_read t from steps)",
     "t01_session_list": "select id, title, launch model_id, launch_provider provider_id, coalesce(nullif(agent, ''), 'unknown') agent, directory, time_created, time_updated, case when time_updated > time_created then time_updated - time_created end duration_ms, tokens, cost from sessions order by tokens desc, id limit 100 offset 5",
-    "s07_session_summary_by_id": "select * from (select id, title, launch model_id, launch_provider provider_id, coalesce(nullif(agent, ''), 'unknown') agent, directory, time_created, time_updated, case when time_updated > time_created then time_updated - time_created end duration_ms, tokens, cost from sessions order by time_updated desc nulls last, id limit 500) where id = '1499'",
+    "s07_session_summary_by_id": "select id, title, launch model_id, launch_provider provider_id, coalesce(nullif(agent, ''), 'unknown') agent, directory, time_created, time_updated, case when time_updated > time_created then time_updated - time_created end duration_ms, tokens, cost from sessions where id = '1499'",
     "t05_todo_view": "select session_id, content, status, position, cast(place as int) place, cast((place - 1) // 4 as int) page from (select *, row_number() over (partition by session_id order by r, position, content) place, min(r) over (partition by session_id) lowest from (select *, case status when 'in_progress' then 0 when 'pending' then 1 when 'completed' then 2 end r from todos) where r is not null) where lowest < 2",
     "t06_preferred_tools": "select * from (select s.agent, tool, count(*) calls, row_number() over (partition by s.agent order by count(*) desc, tool) place from tool_parts join steps s using (message_id) group by 1, 2) where place <= 3",
 }
@@ -269,8 +283,10 @@ def _exact() -> dict[str, str]:
         "j08_system_prompt": ([_PROMPT], "select session_id, key, \"text\" from prompts"),
         "w09_session_events": ([_EVENTS], "select session_id, event_id, seq, time_created, kind, detail from events"),
         "j09_pinned_events": ([_EVENTS, "ordered as (select *, lag(input + cache_read + cache_write) over (partition by session_id order by seq) context_before from steps)"], "select e.session_id, event_id, kind, message_id step_id, o.seq step_seq, context_before from events e asof join ordered o on e.session_id = o.session_id and e.seq <= o.seq where kind <> 'system'"),
-        "x01_search_messages": ([_TEXTS], "select t.id, session_id, coalesce(title, '') title, type, t.time_created, case when strpos(lower(txt), 'urgent') - 1 > 57 then '…' else '' end || substr(txt, greatest(strpos(lower(txt), 'urgent') - 1 - 57, 0) + 1, least(strpos(lower(txt), 'urgent') - 1, 57)) || '<mark>' || substr(txt, strpos(lower(txt), 'urgent'), 6) || '</mark>' || substr(txt, strpos(lower(txt), 'urgent') + 6, 57) || case when length(txt) > strpos(lower(txt), 'urgent') + 5 + 57 then '…' else '' end snippet, len(regexp_extract_all(lower(txt), 'urgent')) matches, count(*) over () total from texts t left join sessions s on s.id = session_id where type in ('user', 'assistant') and contains(lower(txt), 'urgent') order by t.time_created desc, t.id desc limit 200"),
-        "x02_session_find": ([_TEXTS, "placed as (select *, row_number() over (partition by session_id order by seq) - 1 place from texts)"], "select session_id, id, place from placed where contains(lower(txt), 'note 1')"),
+        # the window: 120 characters from so far before the match that it is in the middle, or from the start
+        "x01_search_messages": _search("urgent"),
+        "x01_search_inputs": _search(r'\{\s+"path": "/srv/1\d"'),
+        "x02_session_find": ([_TEXTS, "placed as (select *, row_number() over (partition by session_id order by seq) - 1 place from texts where type not in ('idle', 'synthetic'))"], "select session_id, id, place from placed where contains(lower(txt), 'note 1')"),
         "g01_lineage_normalized": ([_FOREST], "select id, parent, self_parent, orphan from nodes"),
         "g02_lineage_forest": ([_FOREST], "select id, parent, cut from trees"),
         "g03_lineage": ([_FOREST], "select id, parent, depth, subtree_size, children from shape"),

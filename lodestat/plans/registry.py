@@ -33,7 +33,7 @@ def _steps_of(t: Tables) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "s01_scan_steps": _steps_of,
-    "s02_scan_sessions": lambda t: t.sessions.select("id", "title", "agent", "directory", "time_created", "time_updated"),
+    "s02_scan_sessions": lambda t: sessions.scan_sessions(t.sessions),
     "s03_unnest_parts": lambda t: t.parts.select("message_id", "session_id", F.col("pos").cast("long").alias("pos"), "kind"),
     "s04_unnest_tool_parts": lambda t: t.tool_parts.select("message_id", F.col("pos").cast("long").alias("pos"), "tool", "status"),
     "s05_session_messages": lambda t: views.session_messages(t.messages, t.sessions, "7").select("id", "session_id", "type", "seq", "time_created"),
@@ -45,7 +45,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "k03_session_report": lambda t: content.session_report(t.messages, t.sessions, sessions.system_prompt(t.instruction_state, t.instruction_blob)),
     "p02_anchored_messages": lambda t: views.anchored(t.messages, t.sessions).select("id", "session_id", "type"),
     "p03_session_scope": lambda t: views.in_sessions(t.steps, "7").select("message_id", "session_id", "seq"),
-    "p04_directory_filter": lambda t: sessions.filtered(t.sessions, t.as_of, directory="/n/FRANCE/BUILDING").select("id", "directory"),
+    "p04_directory_filter": lambda t: sessions.filtered(t.sessions, t.as_of, directory="/n/NATION_2/BUILDING").select("id", "directory"),
     "p05_range_filter": lambda t: sessions.filtered(t.sessions, 788_918_400_000 + 1400 * 3_600_000, range_="30d").select("id", "time_updated"),
     "p06_day_filter": lambda t: sessions.filtered(t.sessions, t.as_of, day="1995-01-11").select("id", "time_updated"),
     "p07_window": lambda t: views.since_day(t.steps, t.as_of, 30).select("message_id", "time_created"),
@@ -55,11 +55,11 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "f05_step_rates": lambda t: t.steps.select("message_id", S.hit_rate(F.col("cache_read"), F.col("input")).alias("hit_rate"), S.strict_hit_rate(F.col("cache_read"), F.col("input"), F.col("cache_write")).alias("strict_hit_rate"), S.usage_tokens(F.col("input"), F.col("output"), F.col("cache_read")).alias("usage_tokens"), S.context_tokens(F.col("input"), F.col("cache_read"), F.col("cache_write")).alias("context_tokens")),
     "f09_local_times": lambda t: t.steps.select("message_id", S.local_date_key(F.col("time_created")).alias("day_key"), S.local_weekday(F.col("time_created")).alias("weekday"), S.local_hour(F.col("time_created")).alias("hour")),
     "f11_last_segment": lambda t: t.sessions.select("id", S.last_segment(F.col("directory")).alias("segment")),
-    "f13_redacted_paths": lambda t: t.sessions.select("id", S.redacted_home(S.normal_path(F.col("directory")), "/n/FRANCE").alias("path")),
+    "f13_redacted_paths": lambda t: t.sessions.select("id", S.redacted_home(S.normal_path(F.col("directory")), "/n/NATION_2").alias("path")),
     "f18_estimate_tokens": lambda t: content.estimated_tokens(t.raw("documents"), "source"),
     "f32_redact_documents": lambda t: content.redact_messages(t.raw("documents"), "doc_id").select("doc_id", "hits", F.sha2("redacted", 256).alias("redacted_sha256")),
     "f33_csv_fields": lambda t: t.raw("documents").select("doc_id", F.sha2(S.csv_field(F.col("text")), 256).alias("field_sha256")),
-    "f34_download_names": lambda t: t.sessions.select("id", S.download_name(F.col("time_created"), F.col("title"), "md").alias("name")),
+    "f34_download_names": lambda t: t.sessions.select("id", S.download_name(F.col("time_created"), F.concat(F.lit(" a/b:\t"), "title", F.lit("  <"), F.coalesce("agent", F.lit("")), F.lit("> and some more words, so that it is cut. .")), "md").alias("name")),
     "f35_relative_delta": lambda t: usage.deltas(usage.model_leaderboard_comparison(t.steps, t.as_of, 30)).select("model_id", "provider_id", "variant", "tokens", "previous_tokens", "relative_delta"),
     "f38_wall_durations": lambda t: t.sessions.select("id", S.wall_duration_ms(F.col("time_created"), F.col("time_updated")).alias("duration_ms")),
     "a01_overview": lambda t: usage.overview(t.steps, t.sessions, t.as_of),
@@ -116,6 +116,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "t05_todo_view": lambda t: sessions.todo_view(t.todos),
     "t06_preferred_tools": lambda t: usage.preferred_tools(t.steps, t.tool_parts).withColumn("place", F.col("place").cast("long")),
     "x01_search_messages": lambda t: search.search_messages(t.messages, t.sessions, "urgent"),
+    "x01_search_inputs": lambda t: search.search_messages(t.messages, t.sessions, r'\{\s+"PATH": "/srv/1\d"', "regex"),
     "x02_session_find": lambda t: search.session_find(t.messages, t.sessions, "note 1").withColumn("place", F.col("place").cast("long")),
     "g01_lineage_normalized": lambda t: graph.normalized(t.sessions),
     "g02_lineage_forest": lambda t: _forest(t)[1],
@@ -136,6 +137,11 @@ STREAMS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def over(tables: Tables, name: str) -> DataFrame:
+    """A registered batch query over session tables that are there."""
+    return _ratios(OPERATORS[name](tables))
+
+
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _ratios(build(Tables(spark, sf_dir)))
 

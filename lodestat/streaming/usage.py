@@ -16,19 +16,29 @@ from lodestat.sources.shared import shared_folder
 LATE = "2 days"
 
 
+def _by(steps: DataFrame, unit: str) -> DataFrame:
+    """`steps` with `begin`, the start of a local day or hour in the session's time zone, whatever its length, as the event time.
+
+    State of a day goes when a day begins that is LATE after it.
+    """
+    return steps.withColumn("begin", F.date_trunc(unit, "ts")).withWatermark("begin", LATE)
+
+
 def daily_usage(steps: DataFrame) -> DataFrame:
-    """Steps and tokens by local day and model. Days are windows of the session's time zone with whole days; where days differ in length, group by `to_date(ts)` in a batch."""
-    return steps.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day").alias("w"), "model_id").agg(F.count("*").alias("steps"), F.sum("tokens").alias("tokens")).select(F.to_date("w.start").alias("day"), "model_id", "steps", "tokens")
+    """Steps and tokens by local day and model."""
+    sums = _by(steps, "day").groupBy("begin", "model_id").agg(F.count("*").alias("steps"), F.sum("tokens").alias("tokens"))
+    return sums.select(F.to_date("begin").alias("day"), "model_id", "steps", "tokens")
 
 
 def hourly_steps(steps: DataFrame) -> DataFrame:
-    """R2: steps by hour."""
-    return steps.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("steps")).select(F.col("w.start").alias("hour_start"), "steps")
+    """R2: steps by local hour."""
+    return _by(steps, "hour").groupBy("begin").agg(F.count("*").alias("steps")).select(F.col("begin").alias("hour_start"), "steps")
 
 
 def tool_errors(tool_parts: DataFrame) -> DataFrame:
-    """Calls and errors by day."""
-    return tool_parts.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("tool_calls"), F.count_if(F.col("status") == "error").alias("errors")).select(F.to_date("w.start").alias("day"), "tool_calls", "errors")
+    """Calls and errors by local day."""
+    sums = _by(tool_parts, "day").groupBy("begin").agg(F.count("*").alias("tool_calls"), F.count_if(F.col("status") == "error").alias("errors"))
+    return sums.select(F.to_date("begin").alias("day"), "tool_calls", "errors")
 
 
 def session_status(steps: DataFrame) -> DataFrame:

@@ -61,13 +61,86 @@ def test_markdown_and_csv(spark):
     assert each(spark, ["=1", "a", "-x", "@", None], S.csv_field) == ["'=1", "a", "'-x", "'@", None]
     assert each(spark, ["x", "a ``` b", "````"], S.md_fence) == ["```\nx\n```", "````\na ``` b\n````", "`````\n````\n`````"]
     assert each(spark, ["a\nb", ""], S.md_quote) == ["> a\n> b", ">"]
-    assert each(spark, ["Hello, World!", "---", "É x"], S.slug) == ["hello-world", "session", "é-x"]
+    assert each(spark, ["Hello, World!", "---", "É x"], S.slug) == ["Hello, World!", "---", "É x"]
     assert each(spark, ["a*b"], S.md_escape) == ["a\\*b"]
 
 
 def test_search_pieces(spark):
-    assert S.literal_pattern("a.b(") == "(?i)a\\.b\\("
+    assert S.literal_pattern("a.b(") == "(?iu)a\\.b\\("
     assert each(spark, ["a<b Needle & c"], lambda c: S.snippet(c, "(?i)needle")) == ["a&lt;b <mark>Needle</mark> &amp; c"]
     long = "x" * 100 + "needle" + "y" * 100
     assert each(spark, [long], lambda c: S.snippet(c, "needle", 20)) == ["…" + "x" * 7 + "<mark>needle</mark>" + "y" * 7 + "…"]
     assert each(spark, ["abab", "x"], lambda c: S.count_matches(c, "ab")) == [2, 0]
+
+
+def test_snippets_follow_the_window_rule(spark):
+    def plain(text, start, size, width=120):
+        low = max(0, start - (width - size) // 2)
+        high = min(len(text), low + width)
+        stop = min(start + size, high)
+        return ("…" if low else "") + text[low:start] + "<mark>" + text[start:stop] + "</mark>" + text[stop:high] + ("…" if high < len(text) else "")
+
+    for text in ("needle" + "x" * 300, "x" * 300 + "needle", "y" * 100 + "needle" + "z" * 100, "needle", "a" * 20 + "needle" + "b" * 200):
+        assert each(spark, [text], lambda c: S.snippet(c, "needle")) == [plain(text, text.index("needle"), 6)]
+    long = "a" * 10 + "n" * 200 + "b" * 50  # a match beyond the window
+    assert each(spark, [long], lambda c: S.snippet(c, "n+"))[0].endswith("…")
+    assert each(spark, ["<a & ÉMILE>"], lambda c: S.snippet(c, S.literal_pattern("émile"))) == ["&lt;a &amp; <mark>ÉMILE</mark>&gt;"]
+
+
+def test_names_of_files(spark):
+    titles = ["A b/c:d", "  many\t\nblanks  ", "", "...", "x" * 70, "ends. .", "日本 語", "a" * 59 + " b"]
+    assert each(spark, titles, S.slug) == ["A b-c-d", "many blanks", "untitled-session", "untitled-session", "x" * 60, "ends", "日本 語", "a" * 59]
+    assert each(spark, [None], lambda c: S.download_name(c, F.lit("t"), "md"), "long") == ["unknown-date-t.md"]
+
+
+def test_indented_json(spark):
+    values = [{"path": "/a", "n": [1, {"x": 'q:{,}\\"'}], "e": {}, "l": []}, "text", [1, 2], {}, None]
+    got = each(spark, [json.dumps(v) for v in values], lambda c: S.pretty_json(F.try_parse_json(c)))
+    for v, text in zip(values, got, strict=True):
+        assert text == (None if v is None else json.dumps(v if not isinstance(v, dict) else dict(sorted(v.items())), indent=2, ensure_ascii=False))
+
+
+def test_deltas_and_precision(spark):
+    from lodestat.functions import precision
+
+    one = spark.range(1).select(S.relative_delta(F.lit(3.0), F.lit(2.0)).alias("relative_delta"), S.relative_delta(F.lit(3.0), F.lit(0.0)).alias("zero"), S.pp_delta(F.lit(0.5), F.lit(0.25)).alias("pp_delta"), S.pp_delta(F.lit(0.5), F.lit(None)).alias("none"))
+    assert tuple(one.first()) == (0.5, None, 25.0, None)
+    marked = precision.tagged(one)
+    assert marked.schema["relative_delta"].metadata == {"precision": "exact", "missing": precision.MISSING["no_comparison_baseline"]} and marked.schema["zero"].metadata == {"precision": "exact"}
+
+
+@pytest.mark.parametrize("zone", ["Asia/Shanghai", "America/New_York", "Asia/Kolkata"])
+def test_streams_count_local_days_and_hours(spark, zone):
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    from lodestat.streaming import usage
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = [datetime(2026, 3, 7, 20, tzinfo=timezone.utc) + timedelta(minutes=37 * i) for i in range(90)]  # over a change of clocks in New York
+        rows = spark.createDataFrame([(int(t.timestamp()), "m", 1, "error" if i % 3 else "ok") for i, t in enumerate(at)], "s long, model_id string, tokens long, status string").select(F.timestamp_seconds("s").alias("ts"), "model_id", "tokens", "status")
+        want: dict = {}
+        for t in at:
+            day = t.astimezone(ZoneInfo(zone)).date()
+            want[day] = want.get(day, 0) + 1
+        assert {r.day: r.steps for r in usage.daily_usage(rows).collect()} == want
+        assert {r.day: r.tool_calls for r in usage.tool_errors(rows).collect()} == want
+        hours = {r.h for r in usage.hourly_steps(rows).select(F.date_format("hour_start", "mm:ss").alias("h")).collect()}
+        assert hours == {"00:00"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_sessions_as_lines_of_one_csv_file(spark):
+    import csv
+    import io
+
+    from lodestat.operators import export
+
+    rows = spark.createDataFrame([(f"s{i}", 'say "hi", now' if i % 2 else "'=1+1", "m", "a", "/d", 1, 1000 - i, 5, 0.5) for i in range(50)], "id string, title string, modelId string, agent string, directory string, timeCreated long, timeUpdated long, tokens long, cost double")
+    text = "".join(r.text for r in export.sessions_csv_text(rows).collect())
+    assert text.startswith("\ufeffid,title,") and text.count("\r\n") == 51
+    read = list(csv.reader(io.StringIO(text[1:], newline="")))
+    assert read[0] == list(export.CSV_COLUMNS) and [r[0] for r in read[1:]] == [f"s{i}" for i in range(50)] and read[2][1] == 'say "hi", now'

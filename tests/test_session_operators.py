@@ -167,8 +167,9 @@ def test_content_search_and_export(tables):
     hits = search.search_messages(msg, sess, "needle").collect()
     assert [(r.id, r.matches, r.total) for r in hits] == [("m1", 1, 2), ("u1", 1, 2)] and "<mark>Needle</mark>" in hits[1].snippet
     assert search.search_messages(msg, sess, "").count() == 0
-    with pytest.raises(ValueError):
-        search.search_messages(msg, sess, "(", "regex")
+    bad = search.search_messages(msg, sess, "(", "regex").collect()
+    assert len(bad) == 1 and bad[0].total == 0 and bad[0].error and bad[0].id is None
+    assert [r.id for r in search.search_messages(msg, sess, "N[E]+dle", "regex").collect()] == ["m1", "u1"]
     assert [(r.id, r.place) for r in search.session_find(msg, sess, "needle").collect()] == [("u1", 0), ("m1", 1)]
     rows = export.sessions_csv_rows(sess, NOW).collect()
     assert rows[0].title in ("One", "'=Two") and rows[0].__fields__ == list(export.CSV_COLUMNS)
