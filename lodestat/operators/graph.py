@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.sources.shared import cut_lineage
@@ -72,25 +72,27 @@ def forest(nodes: DataFrame) -> DataFrame:
     return nodes.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
-def closure(trees: DataFrame) -> DataFrame:
-    """(ancestor, id, distance) of every session with each session above it and with itself."""
-    edges = cut_lineage(trees.select("id", "parent"))
-    pairs = edges.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
-    jumps, reach = edges.where("parent is not null").select("id", F.col("parent").alias("to")), 1
-    while not jumps.isEmpty():
-        over = jumps.select(F.col("id").alias("ancestor"), "to")
-        pairs = cut_lineage(pairs.unionByName(pairs.join(over, "ancestor").select(F.col("to").alias("ancestor"), "id", (F.col("distance") + reach).alias("distance"))))
-        jumps, reach = cut_lineage(_jumped(jumps).where("to is not null")), reach * 2
-    return pairs
+def sums_along(trees: DataFrame, value: Column, start: Column) -> DataFrame:
+    """(id, up, down): `value` summed over a session and all above it, `start` over it and all below it.
+
+    Doubling: a round takes in the next 2 ** k levels, from the session that far above (up) and from those that far
+    below (down). A session has one pointer, so that a round moves each row once, whatever the depth of its tree.
+    """
+    now = cut_lineage(trees.select("id", F.col("parent").alias("to"), value.cast("long").alias("up"), start.cast("long").alias("down")))
+    while not now.where("to is not null").isEmpty():
+        above = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("up").alias("more_up"))
+        below = now.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum("down").alias("more_down"))
+        sums = now.join(above, "to", "left").join(below, "id", "left").na.fill(0, ["more_up", "more_down"])
+        now = cut_lineage(sums.select("id", F.col("far").alias("to"), (F.col("up") + F.col("more_up")).alias("up"), (F.col("down") + F.col("more_down")).alias("down")))
+    return now.select("id", "up", "down")
 
 
 def lineage(trees: DataFrame) -> DataFrame:
     """(id, parent, depth, subtree_size, children); depth 0 is a root, a subtree has its root."""
-    pairs = closure(trees)
-    depth = pairs.groupBy("id").agg(F.max("distance").alias("depth"))
-    size = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("subtree_size"))
+    sums = sums_along(trees, F.col("parent").isNotNull().cast("int"), F.lit(1))
     children = trees.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-    return trees.select("id", "parent").join(depth, "id").join(size, "id").join(children, "id", "left").na.fill(0, ["children"])
+    sized = trees.select("id", "parent").join(sums, "id").join(children, "id", "left").na.fill(0, ["children"])
+    return sized.select("id", "parent", F.col("up").cast("int").alias("depth"), F.col("down").alias("subtree_size"), "children")
 
 
 def lineage_summary(nodes: DataFrame, trees: DataFrame, shape: DataFrame) -> DataFrame:
@@ -102,8 +104,8 @@ def lineage_summary(nodes: DataFrame, trees: DataFrame, shape: DataFrame) -> Dat
 
 def focus(trees: DataFrame, shape: DataFrame, id_: str) -> DataFrame:
     """Of the shape, a session with all above and below it; all where there is no such session."""
-    pairs = closure(trees)
-    near = pairs.where(F.col("id") == id_).select(F.col("ancestor").alias("id")).unionByName(pairs.where(F.col("ancestor") == id_).select("id")).distinct()
+    own = (F.col("id") == id_).cast("int")
+    near = sums_along(trees, own, own).where("up + down > 0").select("id")
     return shape if near.isEmpty() else shape.join(near, "id", "left_semi")
 
 

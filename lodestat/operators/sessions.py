@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
+from lodestat.operators.ranks import nearest_ranks
 from lodestat.operators.views import anchored, days_spine, since_day
+from lodestat.sources.shared import cut_lineage
 
 DAY_MS = 86_400_000
 RANGES = {"7d": 7, "30d": 30, "90d": 90}
 SORTS = ("time_updated", "time_created", "tokens", "cost", "title")
 SHORT_MS = 300_000
+TIERS = {"p50": 50, "p90": 90, "p99": 99}
 TOLERANCE = 0.02
 
 
@@ -108,10 +111,11 @@ def hour_heatmap(steps: DataFrame, as_of_ms: int, days: int = 90) -> DataFrame:
 def session_survival(sessions: DataFrame) -> DataFrame:
     """Sessions, median duration in seconds (nearest rank, halves up), and the share of those under five minutes."""
     d = F.greatest(F.coalesce(F.col("time_updated") - F.col("time_created"), F.lit(0)), F.lit(0))
-    rows = sessions.select(d.alias("d"))
-    median = F.expr("percentile_disc(0.5) within group (order by d)")
-    n = F.count("*")
-    return rows.agg(n.alias("total"), F.coalesce(F.floor(median / 1000 + 0.5), F.lit(0)).alias("median_seconds"), F.when(n > 0, F.count_if(F.col("d") < SHORT_MS) / n).otherwise(0.0).alias("short_share"))
+    counts = cut_lineage(sessions.groupBy(d.alias("d")).agg(F.count("*").alias("n")))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    sums = counts.agg(n.alias("total"), F.when(n > 0, F.sum(F.when(F.col("d") < SHORT_MS, F.col("n")).otherwise(0)) / n).otherwise(0.0).alias("short_share"))
+    median = F.coalesce(F.floor(F.col("median") / 1000 + 0.5), F.lit(0)).alias("median_seconds")
+    return sums.crossJoin(nearest_ranks(counts, [], "d", "n", {"median": 50})).select("total", median, "short_share")  # one row each
 
 
 def idle_outcomes(sessions: DataFrame) -> DataFrame:
@@ -169,11 +173,13 @@ def bucket_edges(largest: float) -> list[float]:
 def distribution(values: DataFrame, column: str) -> DataFrame:
     """Positive values in buckets [from, to), the last one open; with n, p50, p90, p99 (nearest rank), mean and max in each row; no rows without values."""
     rows = values.select(F.col(column).cast("double").alias("x")).where((F.col("x") > 0) & (F.col("x") < float("inf")))
-    rank = lambda p, n: F.expr(f"percentile_disc({p}) within group (order by x)").alias(n)
-    whole = rows.agg(F.count("*").alias("n"), rank(0.5, "p50"), rank(0.9, "p90"), rank(0.99, "p99"), F.avg("x").alias("mean"), F.max("x").alias("largest"))
-    edges = bucket_edges(whole.first().largest or 1.0)
+    counts = cut_lineage(rows.groupBy("x").agg(F.count("*").alias("k")))
+    mean = F.sum(F.col("x") * F.col("k")) / F.sum("k")
+    whole = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), mean.alias("mean"), F.max("x").alias("largest"))
+    whole = whole.crossJoin(nearest_ranks(counts, [], "x", "k", TIERS)).select("n", *TIERS, "mean", "largest")  # one row each
+    edges = bucket_edges(counts.agg(F.max("x")).first()[0] or 1.0)
     place = sum((F.when(F.col("x") >= e, 1).otherwise(0) for e in edges[1:]), F.lit(0))
-    sums = rows.groupBy(place.alias("bucket")).agg(F.count("*").alias("count"))
+    sums = counts.groupBy(place.alias("bucket")).agg(F.sum("k").alias("count"))
     spine = values.sparkSession.createDataFrame([(i, e, edges[i + 1] if i + 1 < len(edges) else None) for i, e in enumerate(edges)], "bucket int, low double, high double")
     return spine.join(sums, "bucket", "left").na.fill(0, ["count"]).crossJoin(whole).where("n > 0").orderBy("bucket")  # whole: one row
 
@@ -196,8 +202,8 @@ def duration_distribution(sessions: DataFrame) -> DataFrame:
 def percentile_tier(sessions: DataFrame) -> DataFrame:
     """The highest percentile of all sessions' tokens (A17) that a session reaches."""
     rows = sessions.select("id", session_tokens().cast("double").alias("x"))
-    rank = lambda p, n: F.expr(f"percentile_disc({p}) within group (order by x)").alias(n)
-    marks = rows.where("x > 0").agg(rank(0.5, "p50"), rank(0.9, "p90"), rank(0.99, "p99"))
+    counts = cut_lineage(rows.where("x > 0").groupBy("x").agg(F.count("*").alias("k")))
+    marks = nearest_ranks(counts, [], "x", "k", TIERS)
     tier = F.when(F.col("x") >= F.col("p99"), "p99").when(F.col("x") >= F.col("p90"), "p90").when(F.col("x") >= F.col("p50"), "p50").otherwise("below")
     return rows.crossJoin(marks).select("id", F.col("x").alias("tokens"), tier.alias("tier"))  # marks: one row
 

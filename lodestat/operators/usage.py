@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
+from lodestat.operators.ranks import nearest_ranks
 from lodestat.operators.views import clamp_days, days_spine, since_day, window_before
+from lodestat.sources.shared import cut_lineage
 
 TOP_MODELS = 7
 CENTS_PER_MILLION = 0.13
@@ -52,11 +54,17 @@ def model_leaderboard(steps: DataFrame, as_of_ms: int | None = None, days: int |
     rows = since_day(steps, as_of_ms, clamp_days(days)) if days and clamp_days(days) else steps
     rows = rows.withColumn("context", S.context_tokens(F.col("input"), F.col("cache_read"), F.col("cache_write")))
     key = ["model_id", "provider_id", "variant"]
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by context)")
-    sums = rows.groupBy(*key).agg(
-        F.count("*").alias("steps"), F.sum(_usage()).alias("tokens"), F.sum("input").alias("i"), F.sum("cache_read").alias("r"), F.sum("output").alias("o"), F.sum("reasoning").alias("why"),
-        F.avg("context").alias("context_avg"), rank(0.5).alias("context_median"), rank(0.95).alias("context_p95"), F.min("time_created").alias("first_seen"), F.max("time_created").alias("last_seen"),
+    counts = cut_lineage(rows.groupBy(*key, "context").agg(
+        F.count("*").alias("n"), F.sum(_usage()).alias("tokens"), *(F.sum(c).alias(c) for c in ("input", "cache_read", "output", "reasoning")),
+        F.min("time_created").alias("first_seen"), F.max("time_created").alias("last_seen"),
+    ))
+    sums = counts.groupBy(*key).agg(
+        F.sum("n").alias("steps"), F.sum("tokens").alias("tokens"), F.sum("input").alias("i"), F.sum("cache_read").alias("r"), F.sum("output").alias("o"), F.sum("reasoning").alias("why"),
+        (F.sum(F.col("context") * F.col("n")) / F.sum(F.when(F.col("context").isNotNull(), F.col("n")))).alias("context_avg"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
+    ranks = nearest_ranks(counts, key, "context", "n", {"context_median": 50, "context_p95": 95}).withColumnsRenamed({k: f"_{k}" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    sums = sums.join(ranks, same, "left").drop(*(f"_{k}" for k in key))
     total = F.sum("tokens").over(Window.partitionBy())  # over a row for each model
     return sums.select(
         *key, "steps", "tokens", F.when(total > 0, F.col("tokens") / total).otherwise(0.0).alias("token_share"), S.hit_rate(F.col("r"), F.col("i")).alias("hit_rate"),
