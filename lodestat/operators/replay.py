@@ -14,17 +14,48 @@ from lodestat.operators.views import anchored
 PACK_ROWS, PACK_CHARS = 200, 300_000
 _IN_ORDER = ("seq", "time_created", "message_id")
 
+#: A piece of a session: this many numbers of messages, or this many milliseconds of messages without a number.
+PIECE, PIECE_MS = 4096, 3_600_000
+_PIECE = ("session_id", "_span", "_hour")
+_LOWEST = -(1 << 62)
 
-def _session() -> Window:
-    return Window.partitionBy("session_id").orderBy(*_IN_ORDER)
+
+def _in_pieces(rows: DataFrame) -> DataFrame:
+    """`rows` with the piece of its session that each is in. Pieces are in order as the rows are, so that windows are of
+    pieces, and what earlier pieces come to is carried over from one row for each: no session is a task of its own.
+    """
+    hour = F.when(F.col("seq").isNull(), F.floor(F.col("time_created") / PIECE_MS)).otherwise(F.lit(0).cast("long"))
+    span = F.floor(F.col("seq") / PIECE)
+    return rows.withColumn("_span", F.coalesce(span, F.lit(_LOWEST))).withColumn("_hour", F.coalesce(hour, F.lit(_LOWEST)))
+
+
+def _of_piece(first: int, last: int) -> Window:
+    return Window.partitionBy(*_PIECE).orderBy(*_IN_ORDER).rowsBetween(first, last)
+
+
+def _earlier_pieces() -> Window:
+    return Window.partitionBy("session_id").orderBy("_span", "_hour").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried_to(rows: DataFrame, carried: DataFrame, keys: tuple[str, ...] = _PIECE) -> DataFrame:
+    """`rows` with the other columns of `carried`, which has a row for each piece."""
+    other = carried.select(*(F.col(k).alias(f"_of{k}") if k in keys else F.col(k) for k in carried.columns))
+    same = [rows[k].eqNullSafe(other[f"_of{k}"]) for k in keys]
+    return rows.join(other, same).drop(*(f"_of{k}" for k in keys))
 
 
 def token_curve(steps: DataFrame) -> DataFrame:
     """Per step: delta (output + reasoning), their running sum, context (F8) and its peak so far in the session; negative counts as 0."""
     n = lambda c: S.non_negative(F.col(c))
-    rows = steps.select("session_id", *_IN_ORDER, (n("output") + n("reasoning")).alias("delta"), S.context_tokens(n("input"), n("cache_read"), n("cache_write")).alias("context"))
-    upto = _session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("session_id", "message_id", "seq", "delta", F.sum("delta").over(upto).alias("running"), "context", F.max("context").over(upto).alias("peak_so_far"))
+    context = S.context_tokens(n("input"), n("cache_read"), n("cache_write"))
+    rows = _in_pieces(steps.select("session_id", *_IN_ORDER, (n("output") + n("reasoning")).alias("delta"), context.alias("context")))
+    upto, earlier = _of_piece(Window.unboundedPreceding, Window.currentRow), _earlier_pieces()
+    pieces = rows.groupBy(*_PIECE).agg(F.sum("delta").alias("_sum"), F.max("context").alias("_peak"))
+    carried = pieces.select(*_PIECE, F.sum("_sum").over(earlier).alias("_sum"), F.max("_peak").over(earlier).alias("_peak"))
+    own = rows.withColumn("_own", F.sum("delta").over(upto)).withColumn("_high", F.max("context").over(upto))
+    running = F.coalesce(F.col("_sum") + F.col("_own"), "_own", "_sum")
+    both = _carried_to(own, carried)
+    return both.select("session_id", "message_id", "seq", "delta", running.alias("running"), "context", F.greatest("_peak", "_high").alias("peak_so_far"))
 
 
 def peak_context(steps: DataFrame) -> DataFrame:
@@ -35,9 +66,14 @@ def peak_context(steps: DataFrame) -> DataFrame:
 def model_changes(steps: DataFrame) -> DataFrame:
     """Whether a step's model is another than the last one named before it."""
     model = F.nullif(F.coalesce("raw_model_id", F.lit("")), F.lit(""))
-    before = F.last(F.col("model"), ignorenulls=True).over(_session().rowsBetween(Window.unboundedPreceding, -1))
-    rows = steps.withColumn("model", model).withColumn("before", before)
-    return rows.select("session_id", "message_id", "seq", F.coalesce("model", F.lit("")).alias("model"), (F.col("model").isNotNull() & F.col("before").isNotNull() & (F.col("model") != F.col("before"))).alias("model_changed"))
+    rows = _in_pieces(steps.select("session_id", *_IN_ORDER, model.alias("model")))
+    named = F.when(F.col("model").isNotNull(), F.struct(*_IN_ORDER))
+    pieces = rows.groupBy(*_PIECE).agg(F.max_by("model", named).alias("_last"))
+    carried = pieces.select(*_PIECE, F.last("_last", ignorenulls=True).over(_earlier_pieces()).alias("_last"))
+    own = rows.withColumn("_own", F.last("model", ignorenulls=True).over(_of_piece(Window.unboundedPreceding, -1)))
+    changed = F.coalesce(F.col("model") != F.coalesce("_own", "_last"), F.lit(False))
+    both = _carried_to(own, carried)
+    return both.select("session_id", "message_id", "seq", F.coalesce("model", F.lit("")).alias("model"), changed.alias("model_changed"))
 
 
 def turn_costs(steps: DataFrame) -> DataFrame:
@@ -65,26 +101,44 @@ def session_events(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", F.col("id").alias("event_id"), "seq", "time_created", kind.alias("kind"), detail.alias("detail")).orderBy("session_id", "seq", "time_created", "event_id")
 
 
+def _with_context_before(steps: DataFrame) -> DataFrame:
+    """(session_id, seq, time_created, message_id, context_before): the context of the step before each."""
+    context = S.context_tokens(F.col("input"), F.col("cache_read"), F.col("cache_write"))
+    rows = _in_pieces(steps.select("session_id", *_IN_ORDER, context.alias("context")))
+    in_order = Window.partitionBy(*_PIECE).orderBy(*_IN_ORDER)
+    pieces = rows.groupBy(*_PIECE).agg(F.max_by("context", F.struct(*_IN_ORDER)).alias("_last"))
+    carried = pieces.select(*_PIECE, F.lag("_last").over(Window.partitionBy("session_id").orderBy("_span", "_hour")).alias("_last"))
+    own = rows.withColumn("_place", F.row_number().over(in_order)).withColumn("_own", F.lag("context").over(in_order))
+    before = F.when(F.col("_place") == 1, F.col("_last")).otherwise(F.col("_own"))
+    return _carried_to(own, carried).select("session_id", *_IN_ORDER, before.alias("context_before"))
+
+
 def pinned_events(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Each event (not of system kind) with the first step at or after it, by seq, and the context before that step; events without one are left out.
 
     An as-of join as one sorted pass over events and steps together. An event without a seq goes by time: it
     takes the seq that the first step at or after its time has.
     """
-    context = S.context_tokens(F.col("input"), F.col("cache_read"), F.col("cache_write"))
-    before = F.lag(context).over(_session())
-    own = steps.select("session_id", "seq", "time_created", F.struct(F.col("message_id").alias("step_id"), F.col("seq").alias("step_seq"), before.alias("context_before")).alias("step"))
+    step = F.struct(F.col("message_id").alias("step_id"), F.col("seq").alias("step_seq"), "context_before", F.col("time_created").alias("time"))
+    own = _with_context_before(steps).select("session_id", "seq", "time_created", step.alias("step"))
     rows = events.where("kind != 'system'").select("session_id", "event_id", "seq", "time_created", "kind")
-    by_seq = _as_of(rows.where("seq is not null"), own, "seq")
-    by_time = _as_of(rows.where("seq is null"), own, "time_created")
+    by_seq = _as_of(rows.where("seq is not null"), own, "seq", PIECE)
+    by_time = _as_of(rows.where("seq is null"), own, "time_created", PIECE_MS)
     return by_seq.unionByName(by_time)
 
 
-def _as_of(events: DataFrame, steps: DataFrame, at: str) -> DataFrame:
+def _as_of(events: DataFrame, steps: DataFrame, at: str, width: int) -> DataFrame:
+    """Each event with the first step at or after it: in its own piece of the session, of `width`, or the first of a later piece."""
     e = events.select("session_id", F.col(at).alias("at"), F.lit(0).alias("side"), "event_id", "kind", F.lit(None).cast(steps.schema["step"].dataType).alias("step"))
     s = steps.select("session_id", F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("kind"), "step")
-    later = Window.partitionBy("session_id").orderBy("at", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = e.unionByName(s).withColumn("next", F.first("step", ignorenulls=True).over(later)).where("side = 0 and next is not null")
+    rows = e.unionByName(s).withColumn("_span", F.coalesce(F.floor(F.col("at") / width), F.lit(_LOWEST)))
+    keys, order = ("session_id", "_span"), ("at", "step.step_seq", "step.time", "step.step_id")
+    pieces = rows.groupBy(*keys).agg(F.min_by("step", F.when(F.col("side") == 1, F.struct(*order))).alias("_first"))
+    later = Window.partitionBy("session_id").orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
+    carried = pieces.select(*keys, F.first("_first", ignorenulls=True).over(later).alias("_first"))
+    here = Window.partitionBy(*keys).orderBy(order[0], "side", *order[1:]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = rows.withColumn("_own", F.first("step", ignorenulls=True).over(here)).where("side = 0").drop("step")
+    found = _carried_to(own, carried, keys).withColumn("next", F.coalesce("_own", "_first")).where("next is not null")
     return found.select("session_id", "event_id", "kind", "next.step_id", "next.step_seq", "next.context_before")
 
 

@@ -160,6 +160,41 @@ def test_replay(tables):
     assert sorted(one_each)[0] == 0 and max(one_each) >= 5
 
 
+def test_sessions_in_many_pieces_are_as_in_one(spark, monkeypatch):
+    """A session with gaps, unnumbered steps, steps without a model and events beyond the last step, held against plain loops."""
+    rows = []
+    for i in range(60):
+        seq = None if i % 11 == 3 else i * 3 - 20
+        rows.append(("s" if i % 5 else "t", f"m{i:03}", seq, NOW + i * 1000 * (i % 4), (None, "a", "", "b")[i * i % 4], i % 7, i % 3, i * 13 % 29, i % 2, 0))
+    st = spark.createDataFrame(rows, "session_id string, message_id string, seq long, time_created long, raw_model_id string, output long, reasoning long, input long, cache_read long, cache_write long")
+    marks = [("s", f"e{i}", None if i % 4 == 1 else i * 7 - 30, NOW + i * 9000, "compaction" if i % 5 else "system") for i in range(32)]
+    events = spark.createDataFrame(marks, "session_id string, event_id string, seq long, time_created long, kind string")
+
+    curve, changes, before = {}, {}, {}
+    for s in ("s", "t"):
+        total, peak, last, context = 0, 0, None, None
+        for _, m, _, _, model, out, think, given, read, write in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[1])):
+            before[m], context = context, given + read + write
+            total, peak = total + out + think, max(peak, context)
+            curve[m] = (total, peak)
+            changes[m] = bool(model and last and model != last)
+            last = model or last
+    pinned = set()
+    for s, e, seq, time, kind in marks:
+        at = 2 if seq is not None else 3
+        after = sorted(((r[at], r[2] if r[2] is not None else -(10**9), r[3], r[1]), r) for r in rows if r[0] == s and r[at] is not None and r[at] >= (seq if at == 2 else time))
+        if kind != "system" and after:
+            pinned.add((e, after[0][1][1], after[0][1][2], before[after[0][1][1]]))
+
+    for piece, piece_ms in ((4096, 3_600_000), (7, 5000), (1, 1)):
+        monkeypatch.setattr(replay, "PIECE", piece)
+        monkeypatch.setattr(replay, "PIECE_MS", piece_ms)
+        assert {r.message_id: (r.running, r.peak_so_far) for r in replay.token_curve(st).collect()} == curve
+        assert {r.message_id: r.model_changed for r in replay.model_changes(st).collect()} == changes
+        assert {(r.event_id, r.step_id, r.step_seq, r.context_before) for r in replay.pinned_events(events, st).collect()} == pinned
+    assert replay.token_curve(st.limit(0)).count() == replay.pinned_events(events, st.limit(0)).count() == 0
+
+
 def test_content_search_and_export(tables):
     sess, msg, st, parts = tables
     comp = {r.category: r.chars for r in content.content_composition(msg, sess, parts).collect()}
