@@ -29,8 +29,17 @@ def _in_pieces(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_span", F.coalesce(span, F.lit(_LOWEST))).withColumn("_hour", F.coalesce(hour, F.lit(_LOWEST)))
 
 
-def _of_piece(first: int, last: int) -> Window:
-    return Window.partitionBy(*_PIECE).orderBy(*_IN_ORDER).rowsBetween(first, last)
+def _piece() -> Window:
+    return Window.partitionBy(*_PIECE).orderBy(*_IN_ORDER)
+
+
+def _upto() -> Window:
+    return _piece().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """The last row of each piece. It is found by the window that `rows` were made with, whose shuffle is read twice, but made once."""
+    return rows.withColumn("_more", F.lead(F.lit(1)).over(_piece())).where("_more is null")
 
 
 def _earlier_pieces() -> Window:
@@ -49,10 +58,9 @@ def token_curve(steps: DataFrame) -> DataFrame:
     n = lambda c: S.non_negative(F.col(c))
     context = S.context_tokens(n("input"), n("cache_read"), n("cache_write"))
     rows = _in_pieces(steps.select("session_id", *_IN_ORDER, (n("output") + n("reasoning")).alias("delta"), context.alias("context")))
-    upto, earlier = _of_piece(Window.unboundedPreceding, Window.currentRow), _earlier_pieces()
-    pieces = rows.groupBy(*_PIECE).agg(F.sum("delta").alias("_sum"), F.max("context").alias("_peak"))
-    carried = pieces.select(*_PIECE, F.sum("_sum").over(earlier).alias("_sum"), F.max("_peak").over(earlier).alias("_peak"))
-    own = rows.withColumn("_own", F.sum("delta").over(upto)).withColumn("_high", F.max("context").over(upto))
+    earlier = _earlier_pieces()
+    own = rows.withColumn("_own", F.sum("delta").over(_upto())).withColumn("_high", F.max("context").over(_upto()))
+    carried = _ends(own).select(*_PIECE, F.sum("_own").over(earlier).alias("_sum"), F.max("_high").over(earlier).alias("_peak"))
     running = F.coalesce(F.col("_sum") + F.col("_own"), "_own", "_sum")
     both = _carried_to(own, carried)
     return both.select("session_id", "message_id", "seq", "delta", running.alias("running"), "context", F.greatest("_peak", "_high").alias("peak_so_far"))
@@ -67,10 +75,9 @@ def model_changes(steps: DataFrame) -> DataFrame:
     """Whether a step's model is another than the last one named before it."""
     model = F.nullif(F.coalesce("raw_model_id", F.lit("")), F.lit(""))
     rows = _in_pieces(steps.select("session_id", *_IN_ORDER, model.alias("model")))
-    named = F.when(F.col("model").isNotNull(), F.struct(*_IN_ORDER))
-    pieces = rows.groupBy(*_PIECE).agg(F.max_by("model", named).alias("_last"))
-    carried = pieces.select(*_PIECE, F.last("_last", ignorenulls=True).over(_earlier_pieces()).alias("_last"))
-    own = rows.withColumn("_own", F.last("model", ignorenulls=True).over(_of_piece(Window.unboundedPreceding, -1)))
+    own = rows.withColumn("_own", F.last("model", ignorenulls=True).over(_piece().rowsBetween(Window.unboundedPreceding, -1)))
+    named = own.withColumn("_named", F.last("model", ignorenulls=True).over(_upto()))
+    carried = _ends(named).select(*_PIECE, F.last("_named", ignorenulls=True).over(_earlier_pieces()).alias("_last"))
     changed = F.coalesce(F.col("model") != F.coalesce("_own", "_last"), F.lit(False))
     both = _carried_to(own, carried)
     return both.select("session_id", "message_id", "seq", F.coalesce("model", F.lit("")).alias("model"), changed.alias("model_changed"))
@@ -105,10 +112,8 @@ def _with_context_before(steps: DataFrame) -> DataFrame:
     """(session_id, seq, time_created, message_id, context_before): the context of the step before each."""
     context = S.context_tokens(F.col("input"), F.col("cache_read"), F.col("cache_write"))
     rows = _in_pieces(steps.select("session_id", *_IN_ORDER, context.alias("context")))
-    in_order = Window.partitionBy(*_PIECE).orderBy(*_IN_ORDER)
-    pieces = rows.groupBy(*_PIECE).agg(F.max_by("context", F.struct(*_IN_ORDER)).alias("_last"))
-    carried = pieces.select(*_PIECE, F.lag("_last").over(Window.partitionBy("session_id").orderBy("_span", "_hour")).alias("_last"))
-    own = rows.withColumn("_place", F.row_number().over(in_order)).withColumn("_own", F.lag("context").over(in_order))
+    own = rows.withColumn("_place", F.row_number().over(_piece())).withColumn("_own", F.lag("context").over(_piece()))
+    carried = _ends(own).select(*_PIECE, F.lag("context").over(Window.partitionBy("session_id").orderBy("_span", "_hour")).alias("_last"))
     before = F.when(F.col("_place") == 1, F.col("_last")).otherwise(F.col("_own"))
     return _carried_to(own, carried).select("session_id", *_IN_ORDER, before.alias("context_before"))
 
@@ -132,13 +137,14 @@ def _as_of(events: DataFrame, steps: DataFrame, at: str, width: int) -> DataFram
     e = events.select("session_id", F.col(at).alias("at"), F.lit(0).alias("side"), "event_id", "kind", F.lit(None).cast(steps.schema["step"].dataType).alias("step"))
     s = steps.select("session_id", F.col(at).alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("kind"), "step")
     rows = e.unionByName(s).withColumn("_span", F.coalesce(F.floor(F.col("at") / width), F.lit(_LOWEST)))
-    keys, order = ("session_id", "_span"), ("at", "step.step_seq", "step.time", "step.step_id")
-    pieces = rows.groupBy(*keys).agg(F.min_by("step", F.when(F.col("side") == 1, F.struct(*order))).alias("_first"))
+    # Events come last in the order to no effect but this: both readers of the shuffle ask for the same columns, so that it is made once.
+    keys, order = ("session_id", "_span"), ("at", "side", "step.step_seq", "step.time", "step.step_id", "event_id", "kind")
+    here = Window.partitionBy(*keys).orderBy(*order)
+    following = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = rows.withColumn("_own", F.first("step", ignorenulls=True).over(following)).withColumn("_place", F.row_number().over(here))
     later = Window.partitionBy("session_id").orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
-    carried = pieces.select(*keys, F.first("_first", ignorenulls=True).over(later).alias("_first"))
-    here = Window.partitionBy(*keys).orderBy(order[0], "side", *order[1:]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    own = rows.withColumn("_own", F.first("step", ignorenulls=True).over(here)).where("side = 0").drop("step")
-    found = _carried_to(own, carried, keys).withColumn("next", F.coalesce("_own", "_first")).where("next is not null")
+    carried = own.where("_place = 1").select(*keys, F.first("_own", ignorenulls=True).over(later).alias("_first"))
+    found = _carried_to(own.where("side = 0"), carried, keys).withColumn("next", F.coalesce("_own", "_first")).where("next is not null")
     return found.select("session_id", "event_id", "kind", "next.step_id", "next.step_seq", "next.context_before")
 
 
