@@ -53,6 +53,14 @@ def _carried_to(rows: DataFrame, carried: DataFrame, keys: tuple[str, ...] = _PI
     return rows.join(other, same).drop(*(f"_of{k}" for k in keys))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """`rows` with `place`, from 0 in the order of their session."""
+    own = _in_pieces(rows).withColumn("_place", F.row_number().over(_piece()))
+    carried = _ends(own).select(*_PIECE, F.sum("_place").over(_earlier_pieces()).alias("_before"))
+    place = F.coalesce("_before", F.lit(0)) + F.col("_place") - 1
+    return _carried_to(own, carried).select(*rows.columns, place.alias("place"))
+
+
 def token_curve(steps: DataFrame) -> DataFrame:
     """Per step: delta (output + reasoning), their running sum, context (F8) and its peak so far in the session; negative counts as 0."""
     n = lambda c: S.non_negative(F.col(c))

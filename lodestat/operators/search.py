@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
-from lodestat.operators.replay import visible
+from lodestat.operators.replay import placed, visible
 from lodestat.operators.views import anchored
 
 MOST_HITS = 200
@@ -49,7 +49,8 @@ def search_messages(messages: DataFrame, sessions: DataFrame, query: str, mode:
 
 def session_find(messages: DataFrame, sessions: DataFrame, needle: str) -> DataFrame:
     """X2, for all sessions: the places (from 0, among visible messages) of messages that hold a text, any case."""
-    rows = visible(anchored(messages, sessions))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "time_created", "id")) - 1
-    rows = rows.withColumn("place", place).withColumn("text", S.searchable_text(F.try_parse_json("data"), F.col("type")))
-    return rows.where(F.col("text").rlike(S.literal_pattern(needle)) & F.lit(bool(needle))).select("session_id", "id", "place").orderBy("session_id", "place")
+    text = S.searchable_text(F.try_parse_json("data"), F.col("type"))
+    hit = text.rlike(S.literal_pattern(needle)) & F.lit(bool(needle))
+    # Ids and a mark for hits are put in order, not texts.
+    rows = visible(anchored(messages, sessions)).select("session_id", F.col("id").alias("message_id"), "seq", "time_created", hit.alias("hit"))
+    return placed(rows).where("hit").select("session_id", F.col("message_id").alias("id"), "place").orderBy("session_id", "place")

@@ -170,10 +170,12 @@ def test_sessions_in_many_pieces_are_as_in_one(spark, monkeypatch):
     marks = [("s", f"e{i}", None if i % 4 == 1 else i * 7 - 30, NOW + i * 9000, "compaction" if i % 5 else "system") for i in range(32)]
     events = spark.createDataFrame(marks, "session_id string, event_id string, seq long, time_created long, kind string")
 
-    curve, changes, before = {}, {}, {}
+    curve, changes, before, places = {}, {}, {}, {}
     for s in ("s", "t"):
         total, peak, last, context = 0, 0, None, None
-        for _, m, _, _, model, out, think, given, read, write in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[1])):
+        in_order = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[1]))
+        places |= {r[1]: i for i, r in enumerate(in_order)}
+        for _, m, _, _, model, out, think, given, read, write in in_order:
             before[m], context = context, given + read + write
             total, peak = total + out + think, max(peak, context)
             curve[m] = (total, peak)
@@ -191,6 +193,7 @@ def test_sessions_in_many_pieces_are_as_in_one(spark, monkeypatch):
         monkeypatch.setattr(replay, "PIECE_MS", piece_ms)
         assert {r.message_id: (r.running, r.peak_so_far) for r in replay.token_curve(st).collect()} == curve
         assert {r.message_id: r.model_changed for r in replay.model_changes(st).collect()} == changes
+        assert {r.message_id: r.place for r in replay.placed(st).collect()} == places
         assert {(r.event_id, r.step_id, r.step_seq, r.context_before) for r in replay.pinned_events(events, st).collect()} == pinned
     assert replay.token_curve(st.limit(0)).count() == replay.pinned_events(events, st.limit(0)).count() == 0
 
