@@ -198,3 +198,25 @@ from d left join agg using (rid) left join texts using (rid)
 
 
 SQL |= {"op3_licenses": _licence_sql(), "op4_urls": _url_sql(), "op6_sharding": OP6, "op7_pii": _pii_sql(), "op8_mixing": OP8, "op9_exact_dedup": OP9}
+
+
+OP12 = rf"""
+with docs as (select row_number() over () rid, coalesce(lang, 'und') lang, {_LOWER.format("coalesce(text, '')")} t from documents),
+pieces as (select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w from docs),
+grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from pieces, (values (1), (2), (3), (4)) s(k) where len(w) >= k)),
+f as materialized (select lang, k, phrase, count(*) f from grams group by all),
+totals as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1 and f >= 30),
+inner_ as (select lang, a, array_to_string(w[i : i + m - 1], ' ') phrase from (select *, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from c where k > 2))),
+kept as (select c.* from c left join (select lang, phrase, max(a) longer from inner_ group by all) x on c.lang = x.lang and c.phrase = x.phrase
+  where longer is null or 100 * longer::hugeint < 80 * a::hugeint),
+cuts as (select lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') head, array_to_string(w[cut + 1 : k], ' ') rest from (select *, unnest(range(1, k)) cut from kept)),
+scored as (select cuts.*, x.f l, y.f r, (2000000::hugeint * a // (x.f::hugeint + y.f))::bigint score
+  from cuts join f x on cuts.lang = x.lang and cuts.head = x.phrase join f y on cuts.lang = y.lang and cuts.rest = y.phrase),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from lowest) join totals using (lang) where rank <= 2000
+"""
+
+SQL |= {"op12_phrases": OP12}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import language, licenses, mixing, oracles, pii, quality, sharding, urls
+from lodestat.llm import language, licenses, mixing, oracles, phrases, pii, quality, sharding, urls
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
 from lodestat.llm.exact_dedup import DigestIndex, deduplicate_all
@@ -76,8 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000, explained=80)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash, op12_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
