@@ -220,3 +220,18 @@ from (select *, row_number() over (partition by lang order by score desc, a desc
 """
 
 SQL |= {"op12_phrases": OP12}
+
+OP13 = rf"""
+with docs as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents),
+wanted as materialized (select distinct item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+totals as (select count(*)::bigint n_docs, sum(len(t))::bigint n_terms from docs where len(t) > 0),
+tf as materialized (select rid, term, count(*)::bigint tf from (select rid, unnest(t) term from docs) semi join wanted using (term) group by rid, term),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint w from (select term, count(*) df from tf group by term), totals),
+sizes as (select rid, doc_id, 100 - 90 + (90 * len(t)::bigint * n_docs) // n_terms m from docs, totals where len(t) > 0),
+scores as (select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from wanted join tf using (term) join weights using (term) join sizes using (rid) group by all having score > 0)
+select item_id, rank::int rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) rank from scores) where rank <= 10
+"""
+
+SQL |= {"op13_search": OP13}

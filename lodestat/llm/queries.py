@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import language, licenses, mixing, oracles, phrases, pii, quality, sharding, urls
+from lodestat.llm import language, licenses, mixing, oracles, phrases, pii, quality, ranked, sharding, urls
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
 from lodestat.llm.exact_dedup import DigestIndex, deduplicate_all
@@ -80,8 +80,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000, explained=80)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash, op12_phrases)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash, op12_phrases, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
