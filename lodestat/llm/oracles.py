@@ -200,6 +200,26 @@ from d left join agg using (rid) left join texts using (rid)
 SQL |= {"op3_licenses": _licence_sql(), "op4_urls": _url_sql(), "op6_sharding": OP6, "op7_pii": _pii_sql(), "op8_mixing": OP8, "op9_exact_dedup": OP9}
 
 
+def _secret_sql() -> str:
+    from lodestat.llm import secrets
+
+    kinds = " union all ".join(
+        f"""select {n} o, rid, '{r.kind}' kind, b, b + length(v) e from (select rid, m[i] v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) b
+      from (select rid, string_split_regex(t, {_quote(r.pattern)}) g, regexp_extract_all(t, {_quote(r.pattern)}) m from d where regexp_matches(t, {_quote(r.hint.replace("(?=[PpSsTtAa])", ""))})), unnest(range(1, len(m) + 1)) u(i))
+      where length(regexp_extract(v, {_quote(r.pattern)}, {r.group})) >= {r.least}"""
+        for n, r in enumerate(secrets.RULES)
+    )
+    base = ", ".join(_quote(r.kind) for r in secrets.BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}')::bigint n_{r.kind}" for r in secrets.RULES)
+    shown = ", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in secrets.RULES)
+    return rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+s as (select o, rid, kind, cast(b as int) b, cast(e as int) e from ({kinds})),
+agg as (select rid, {counts}, string_agg(kind || ':' || b || ':' || e, ',' order by b, o) filter (kind in ({base})) base, string_agg(kind || ':' || b || ':' || e, ',' order by b, o) spans from s group by rid)
+select doc_id, {shown}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, sha256(t) blob from d left join agg using (rid)
+"""
+
+
 OP12 = rf"""
 with docs as (select row_number() over () rid, coalesce(lang, 'und') lang, {_LOWER.format("coalesce(text, '')")} t from documents),
 pieces as (select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w from docs),
@@ -219,7 +239,7 @@ select lang, rank, phrase, a, l, r, n, score
 from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from lowest) join totals using (lang) where rank <= 2000
 """
 
-SQL |= {"op12_phrases": OP12}
+SQL |= {"op11_secrets": _secret_sql(), "op12_phrases": OP12}
 
 OP13 = rf"""
 with docs as (select row_number() over () rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents),

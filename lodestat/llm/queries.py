@@ -11,6 +11,7 @@ from lodestat.llm import language, licenses, mixing, oracles, phrases, pii, qual
 from lodestat.llm.common import table
 from lodestat.llm.decontamination import contamination
 from lodestat.llm.exact_dedup import DigestIndex, deduplicate_all
+from lodestat.llm.secrets import ADDED, BASE, BlobLedger, scan_all
 from lodestat.llm.simhash import near_duplicates
 
 
@@ -76,6 +77,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table comes to a ledger of its own, which goes when the result is written."""
+    ledger = BlobLedger(spark, f"blob_ledger_{uuid.uuid4().hex}")
+    try:
+        found = scan_all(table(spark, sf_dir, "documents"), ledger)
+    finally:
+        ledger.drop(files=True)
+    mark = lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE))), mark), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(r.kind).alias(f"n_{r.kind}") for r in (*BASE, *ADDED)]
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", mark), ",").alias("spans"), "blob")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000, explained=80)
 
@@ -85,7 +100,7 @@ def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash, op12_phrases, op13_search)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_licenses, op4_urls, op5_language, op6_sharding, op7_pii, op8_mixing, op9_exact_dedup, op10_simhash, op11_secrets, op12_phrases, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
