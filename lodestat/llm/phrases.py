@@ -9,8 +9,8 @@ Counts lie in a log, a row for each phrase and shard, bucketed by phrase, so tha
 the threshold without a shuffle. A phrase's count in a shard is whole or not there, hence a sum over the shards
 seen is never too high, and a phrase that completed its cycle has its exact count.
 
-Scanning tasks know the phrases that reached the threshold by a Bloom filter of fixed size. What it lets through wrongly is counted in vain and changes nothing. Phrases are told apart by their
-text, never by a hash.
+Scanning tasks know the phrases that reached the threshold by a Bloom filter of fixed size. What it lets through
+wrongly is counted in vain and changes nothing. Phrases are told apart by their text, never by a hash.
 
 Then, for each candidate (two words and more, at the threshold): the score of a cut is
 floor(2000000 a / (l + r)), of which the lowest counts; candidates that a longer one explains go; each language's
@@ -38,7 +38,7 @@ from lodestat.sources.shared import cut_lineage, shared_folder
 #: Words of the longest phrase; occurrences that a candidate has at least; rows of a language that are told.
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Parts of the texts between which new phrases may become active.
-SHARDS = 4
+SHARDS = 2
 #: A longer candidate with this many hundredths of a candidate's occurrences explains it.
 EXPLAINED = 80
 #: Bits of each of the two filters (16 MB): a power of two. Some ten for each phrase that reaches the threshold keep what is
@@ -105,21 +105,24 @@ class Filter:
     """A Bloom filter of phrases; its size is fixed, whatever is in it."""
 
     def __init__(self, bits: int):
-        self.words, self.mask, self.longest = np.zeros(bits // 64, np.int64), np.uint64(bits - 1), 0
+        self.words, self.mask, self.lengths = np.zeros(bits // 64, np.int64), np.uint64(bits - 1), set()
 
     @staticmethod
     def places(keys: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         return keys & mask, (keys >> np.uint64(32)) & mask
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bits, found = self.words.view(np.uint8), np.ones(len(keys), bool)
-        for place in self.places(keys, self.mask):
-            found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        bits = self.words.view(np.uint8)
+        set_ = lambda place: (bits[(place >> np.uint64(3)).view(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        first, second = self.places(keys, self.mask)
+        found = set_(first)
+        some = np.flatnonzero(found)
+        found[some] = set_(second[some])
         return found
 
     def join(self, other: Filter) -> None:
         self.words |= other.words
-        self.longest = max(self.longest, other.longest)
+        self.lengths |= other.lengths
 
     @classmethod
     def of(cls, rows: DataFrame, bits: int) -> Filter:
@@ -134,10 +137,11 @@ class Filter:
                 k = batch.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(6)).astype(np.int64)), pa.array(bit), pa.array(np.concatenate([k, k]))], names=["word", "bits", "k"])
 
-        table = rows.select("lang", "k", "phrase").mapInArrow(place, "word long, bits long, k int").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.max("k").alias("k")).toArrow()
+        table = rows.select("lang", "k", "phrase").mapInArrow(place, "word long, bits long, k int").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.bit_or(F.expr("shiftleft(1L, k)")).alias("lengths")).toArrow()
         if len(table):
             made.words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
-            made.longest = pc.max(table.column("k")).as_py()
+            lengths = int(np.bitwise_or.reduce(table.column("lengths").to_numpy()))
+            made.lengths = {k for k in range(64) if lengths >> k & 1}
         return made
 
 
@@ -192,62 +196,73 @@ def _scan(reached, counted_words: bool, deepest: int):
     """
     splitter, hashes = WordHasher(_WORD, LOWER), Hashes()
 
+    def active(word: np.ndarray, lang: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Lengths, and the places where an active phrase of that length begins; from hashes of each place's word and language."""
+        all_, fresh = reached.value
+        # of each place: the chained hash of the k words that begins there, and whether they are in one piece
+        chain, whole = word, np.ones(len(word), bool)
+        for k in range(2, min(deepest, len(word)) + 1):
+            n = len(word) - k + 1
+            both = whole[:n] & linked[k - 2 : k - 2 + n]
+            if k - 1 in fresh.lengths:
+                keys, new = _key(chain, lang[: n + 1], k - 1), np.zeros(n + 1, bool)
+                some = np.flatnonzero(whole)
+                new[some[fresh.has(keys[some])]] = True
+                there = np.flatnonzero(both & (new[:-1] | new[1:]))
+                there = there[all_.has(keys[there])]
+                yield k, there[all_.has(keys[there + 1])]
+            chain, whole = _chained(chain[:n], word[k - 1 :]), both
+
     def count(langs: pa.Array, raw: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin, end, per_row = splitter.spans(raw, at)
         if not len(begin):
             return
-        row = np.repeat(np.arange(len(per_row)), per_row)
-        ended = np.cumsum(_BREAK[raw], dtype=np.int32)
-        linked = (row[1:] == row[:-1]) & (ended[begin[1:]] == ended[begin[:-1]])
-        words = _strings(LOWER[raw][_WORD[raw]], np.concatenate([[0], np.cumsum(end - begin)])).dictionary_encode()
-        code = words.indices.to_numpy().astype(np.int64)
         of_lang = langs.dictionary_encode()
+        lang = of_lang.indices.to_numpy()[np.repeat(np.arange(len(per_row)), per_row)].astype(np.int64)
+        found = []
+        if reached is not None:
+            row, ended = np.repeat(np.arange(len(per_row)), per_row), np.cumsum(_BREAK[raw], dtype=np.int32)
+            linked = (row[1:] == row[:-1]) & (ended[begin[1:]] == ended[begin[:-1]])
+            found = list(active(splitter.hashes(raw, begin, end), hashes.langs(of_lang.dictionary)[lang], linked))
+        # numbers of the words that are in any phrase to count, by language: a word of one is another than that of the next
+        used = np.full(len(begin), counted_words)
+        for k, places in found:
+            for j in range(k):
+                used[places + j] = True
+        used = np.flatnonzero(used)
+        if not len(used):
+            return
+        if len(used) == len(begin):
+            kept = raw[_WORD[raw]]
+        else:
+            inside = np.zeros(len(raw) + 1, np.int8)
+            inside[begin[used]] += 1
+            inside[end[used]] -= 1  # no word ends where another begins, but for rows
+            kept = raw[np.cumsum(inside[:-1]).astype(bool)]
+        words = _strings(LOWER[kept], np.concatenate([[0], np.cumsum((end - begin)[used])])).dictionary_encode()
         n_words = len(words.dictionary)
-        # a word of one language is another than that of the next
-        known, number = _numbered(of_lang.indices.to_numpy()[row] * n_words + code, len(of_lang.dictionary) * n_words)
-        word, lang = known % n_words, known // n_words
+        known, of_used = _numbered(lang[used] * n_words + words.indices.to_numpy(), len(of_lang.dictionary) * n_words)
+        number = np.zeros(len(begin), np.int64)
+        number[used] = of_used
 
-        def rows(k: int, first: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            """first: numbers of the words of each phrase, k arrays."""
-            text = [words.dictionary.take(pa.array(word[x])) for x in first]
-            phrase = text[0] if k == 1 else pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_utf8()))
-            return pa.RecordBatch.from_arrays([of_lang.dictionary.take(pa.array(lang[first[0]])).cast(pa.utf8()), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.utf8()), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+        def rows(first: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+            """first: the numbers of the words of each phrase."""
+            text = [words.dictionary.take(pa.array(known[x] % n_words)) for x in first]
+            phrase = text[0] if len(first) == 1 else pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_utf8()))
+            its = of_lang.dictionary.take(pa.array(known[first[0]] // n_words))
+            return pa.RecordBatch.from_arrays([its.cast(pa.utf8()), pa.array(np.full(len(n), len(first), np.int32)), phrase.cast(pa.utf8()), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
         if counted_words:
-            yield rows(1, [np.arange(len(known))], np.bincount(number))
-        if reached is None:
-            return
-        all_, fresh = reached.value
-        hashed, of = hashes.words(words.dictionary)[word], hashes.langs(of_lang.dictionary)[lang]
-        keys = _key(hashed, of, 1)
-        there = all_.has(keys)
-        new = there & fresh.has(keys)
-        # of each place: whether the phrase of k words that begins there has reached the threshold, and lately
-        place = np.flatnonzero(there[number])
-        chain, in_place, is_new = hashed[number[place]], there[number], new[number]
-        for k in range(2, deepest + 1):
-            on = in_place[place + 1 - (place + 1 == len(number))] & (place + k - 1 < len(number))
-            on[on] &= linked[place[on] + k - 2]
-            place, chain = place[on], _chained(chain[on], hashed[number[place[on] + k - 1]])
-            active = place[is_new[place] | is_new[place + 1]]
-            if len(active):
-                key, below = number[active], len(known)
+            yield rows([np.arange(len(known))], np.bincount(of_used))
+        for k, places in found:
+            if len(places):
+                key = number[places]
                 for j in range(1, k):
                     if j > 1:  # numbers of the distinct ones, so that the product stays small
-                        seen, key = np.unique(key, return_inverse=True)
-                        below = len(seen)
-                    key = key * len(known) + number[active + j]
-                _, at_first, n = np.unique(key, return_index=True, return_counts=True)
-                yield rows(k, [number[active[at_first] + j] for j in range(k)], n)
-            if k == deepest or not len(place):
-                return
-            keys = _key(chain, of[number[place]], k)
-            there = all_.has(keys)
-            new = there & fresh.has(keys)
-            in_place, is_new = np.zeros(len(number) + 1, bool), np.zeros(len(number) + 1, bool)
-            is_new[place[new]] = True
-            place, chain = place[there], chain[there]
-            in_place[place] = True
+                        key = np.unique(key, return_inverse=True)[1]
+                    key = key * len(known) + number[places + j]
+                _, at_first, times = np.unique(key, return_index=True, return_counts=True)
+                yield rows([number[places[at_first] + j] for j in range(k)], times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _in_chunks(batches):
@@ -280,11 +295,12 @@ class PhraseCounts:
         return bounded_batches(rows.where(F.col("shard") == number)).select("lang", "text")
 
     def _reached(self, step: int, longest: int) -> DataFrame:
-        """(lang, k, phrase) that reach the threshold with this step."""
-        seen = lambda condition: sum(F.coalesce(F.max(F.when((F.col("shard") == s) & condition, F.col("n"))), F.lit(0)) for s in range(self.shards))
+        """(lang, k, phrase) that reach the threshold with this step, of those that it counted."""
         live = F.col("k").between(max(1, step // self.shards + 1), longest)  # shorter ones have all completed their cycles
-        sums = self.spark.table(self.log).where(live).groupBy("lang", "k", "phrase").agg(seen(F.lit(True)).alias("now"), seen(F.col("step") < step).alias("before"))
-        return sums.where((F.col("now") >= self.least) & (F.col("before") < self.least)).select("lang", "k", "phrase")
+        now, before, last = F.sum("n"), F.sum(F.when(F.col("step") < step, F.col("n"))), F.max("step")
+        sums = self.spark.table(self.log).where(live).groupBy("lang", "k", "phrase").agg(now.alias("now"), before.alias("before"), last.alias("last"))
+        # What was counted in vain may be there twice for a shard; a phrase that is taken for frequent here is so in no result.
+        return sums.where((F.col("last") == step) & (F.col("now") >= self.least) & (F.coalesce("before", F.lit(0)) < self.least)).select("lang", "k", "phrase")
 
     def _cycle(self, bits: int) -> None:
         all_, reached = Filter(bits), []  # reached: of the last steps, as many as there are shards
@@ -294,11 +310,11 @@ class PhraseCounts:
             fresh = Filter(bits)
             for x in reached:
                 fresh.join(x)
-            if step >= self.shards and not fresh.longest:
+            if step >= self.shards and not fresh.lengths:
                 break
-            sent = self.spark.sparkContext.broadcast((all_, fresh)) if fresh.longest else None
+            sent = self.spark.sparkContext.broadcast((all_, fresh)) if fresh.lengths else None
             shard = step % self.shards
-            counted = self._shard(shard).mapInArrow(_scan(sent, step < self.shards, min(self.longest, fresh.longest + 1)), "lang string, k int, phrase string, n long")
+            counted = self._shard(shard).mapInArrow(_scan(sent, step < self.shards, min(self.longest, max(fresh.lengths, default=0) + 1)), "lang string, k int, phrase string, n long")
             self._append(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.lit(shard).alias("shard"), F.lit(step).alias("step")))
             if sent is not None:
                 sent.destroy()
@@ -312,8 +328,8 @@ class PhraseCounts:
 
     @property
     def counts(self) -> DataFrame:
-        shards = self.spark.table(self.log).groupBy("lang", "k", "phrase", "shard").agg(F.max("n").alias("n"))
-        return shards.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least)
+        shards = [F.coalesce(F.max(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)) for s in range(self.shards)]
+        return self.spark.table(self.log).groupBy("lang", "k", "phrase").agg(sum(shards, F.lit(0).cast("long")).alias("n")).where(F.col("n") >= self.least)
 
     @property
     def totals(self) -> DataFrame:
