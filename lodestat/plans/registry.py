@@ -132,8 +132,8 @@ STREAMS: dict[str, Callable[[Tables], DataFrame]] = {
     "r01_stream_daily_usage": lambda t: streams.latest(streams.daily_usage(t.event_stream), ["day", "model_id"]),
     "r02_stream_hourly_steps": lambda t: streams.latest(streams.hourly_steps(t.event_stream), ["hour_start"]),
     "r03_stream_tool_errors": lambda t: streams.latest(streams.tool_errors(t.event_stream), ["day"]),
-    "r04_stream_session_status": lambda t: streams.latest(streams.session_status(t.event_stream), ["session_id"]),
-    "r05_stream_active_sessions": lambda t: streams.latest(streams.active_sessions(t.event_stream), ["session_id", "begin", "until"], mode="complete"),
+    "r04_stream_session_status": lambda t: streams.session_status(streams.latest(streams.session_stretches(t.event_stream), ["session_id", "begin"])),
+    "r05_stream_active_sessions": lambda t: streams.closed(t.event_stream, streams.active_sessions, ["session_id", "begin"], 5 * 60_000),
 }
 
 

@@ -28,3 +28,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def _store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, on whatever store it is; none where there is no such folder."""
+    path, store = _store(spark, folder)
+    return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, store = _store(spark, folder)
+    store.delete(path, True)
