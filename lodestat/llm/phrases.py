@@ -45,7 +45,7 @@ EXPLAINED = 80
 #: counted in vain at a few hundredths; with fewer, counts stay right.
 BITS = 1 << 27
 #: Bytes of texts that a task looks at together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _BREAK = byte_table((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 _WORD = ~(_BREAK | byte_table((0x09, 0x09), (0x20, 0x20)))
