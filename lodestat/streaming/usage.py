@@ -155,5 +155,5 @@ def closed(steps: DataFrame, of: Callable[[DataFrame], DataFrame], keys: list[st
         end = last + F.expr(f"interval {LATE}") + F.make_dt_interval(secs=F.lit(longest_ms / 1000 + 1))
         row = spark.range(1).select(*(end.alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in steps.schema))
         row.write.mode("append").parquet(clock)
-        _run(stream, "append", folder, lambda batch, number: kept.merge(batch.where(F.col("begin") <= last), number))  # what begins later is the clock's
+        _run(stream, "append", folder, lambda batch, number: kept.merge(batch.where(F.col("begin") < last + F.expr("interval 1 second")), number))  # what begins later is the clock's
     return kept.read()
