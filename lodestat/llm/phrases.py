@@ -297,6 +297,7 @@ class PhraseCounts:
     def _reached(self, step: int, longest: int) -> DataFrame:
         """(lang, k, phrase) that reach the threshold with this step, of those that it counted."""
         live = F.col("k").between(max(1, step // self.shards + 1), longest)  # shorter ones have all completed their cycles
+        live = live & (F.col("step") > step - self.shards)  # those it counted became active later than that
         now, before, last = F.sum("n"), F.sum(F.when(F.col("step") < step, F.col("n"))), F.max("step")
         sums = self.spark.table(self.log).where(live).groupBy("lang", "k", "phrase").agg(now.alias("now"), before.alias("before"), last.alias("last"))
         # What was counted in vain may be there twice for a shard; a phrase that is taken for frequent here is so in no result.
@@ -315,7 +316,8 @@ class PhraseCounts:
             sent = self.spark.sparkContext.broadcast((all_, fresh)) if fresh.lengths else None
             shard = step % self.shards
             counted = self._shard(shard).mapInArrow(_scan(sent, step < self.shards, min(self.longest, max(fresh.lengths, default=0) + 1)), "lang string, k int, phrase string, n long")
-            self._append(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.lit(shard).alias("shard"), F.lit(step).alias("step")))
+            # shuffled by what the log is bucketed by, so that a bucket's rows are in one task
+            self._append(counted.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).select("lang", "k", "phrase", "n", F.lit(shard).alias("shard"), F.lit(step).alias("step")))
             if sent is not None:
                 sent.destroy()
             reached.append(Filter.of(self._reached(step, self.longest - 1), bits))
@@ -323,7 +325,7 @@ class PhraseCounts:
             self.steps = step + 1
 
     def _append(self, rows: DataFrame) -> None:
-        writer = rows.repartition(self.buckets, "lang", "phrase").write.format("parquet").mode("append").bucketBy(self.buckets, "lang", "phrase").sortBy("k")
+        writer = rows.write.format("parquet").mode("append").bucketBy(self.buckets, "lang", "phrase").sortBy("k")
         writer.option("path", f"{self.folder}/log").saveAsTable(self.log)
 
     @property
