@@ -1,17 +1,13 @@
-"""Sessions step by step: curves, model changes, costs of turns, events, packs."""
+"""Sessions step by step: curves, model changes, costs of turns, events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
 from lodestat.operators.views import anchored
 
-PACK_ROWS, PACK_CHARS = 200, 300_000
 _IN_ORDER = ("seq", "time_created", "message_id")
 
 #: A piece of a session: this many numbers of messages, or this many milliseconds of messages without a number.
@@ -207,28 +203,3 @@ def message_chars(data: Column, type_: Column) -> Column:
     user = _units(F.coalesce(_string(v, "$.text"), _block_texts(v, "$.content")))
     cost = F.when(type_ == "user", user).when(type_ == "assistant", F.coalesce(parts, F.lit(0).cast("long"))).otherwise(200)
     return F.when(S.kind_of(v) == "OBJECT", cost).otherwise(0).cast("long")
-
-
-def pack_messages(messages: DataFrame, rows: int = PACK_ROWS, chars: int = PACK_CHARS) -> DataFrame:
-    """A session's visible messages in greedy packs of at most `rows` messages and `chars` characters, one message at least.
-
-    A session's ids and sizes pass in order through one task, which holds only the running pack's counts.
-    """
-    sized = visible(messages).select("session_id", "seq", "time_created", "id", message_chars(F.col("data"), F.col("type")).alias("chars"))
-    in_order = sized.repartition("session_id").sortWithinPartitions("session_id", "seq", "time_created", "id").select("session_id", "id", "chars")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, pack, n, size, begun = None, 0, 0, 0, False
-        for batch in batches:
-            packs = []
-            for s, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not begun or s != session:
-                    session, pack, n, size, begun = s, 0, 0, 0, True
-                elif n >= rows or size + c > chars:
-                    pack, n, size = pack + 1, 0, 0
-                n, size = n + 1, size + c
-                packs.append(pack)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packs, pa.int32())], names=["session_id", "id", "pack"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
-    return in_order.mapInArrow(run, f"session_id {kinds['session_id']}, id {kinds['id']}, pack int")

@@ -70,6 +70,26 @@ exact as (select *, t * case when w > 0 then weight / w else 1.0::double / n end
 placed as (select *, row_number() over (partition by message_id order by e - floor(e) desc, tool) place, t - sum(floor(e)) over (partition by message_id) rest from exact),
 tool_tokens as (select tool, cast(sum(floor(e) + case when place <= rest then 1 else 0 end) as bigint) tokens, count(*) steps from placed group by 1)"""
 
+# A tool's input is an object of one path: 16 characters more when it is indented.
+_SIZED = """
+costs as (select l_orderkey k, sum(case
+    when l_partkey % 31 = 0 or l_partkey % 37 = 0 then 0 when l_linenumber % 4 = 0 then length(p_name) when l_linenumber % 4 = 3 then length(p_type) + 200
+    else length(case when l_partkey % 9 = 8 then '' when l_partkey % 3 = 0 then '/home/u//d' || (l_partkey % 25) || '/' else '/srv/' || (l_partkey % 40) end) + 16 + length(p_name) + 200 end) c
+  from lineitem join part on l_partkey = p_partkey group by 1),
+sized as (select session_id, id, row_number() over (partition by session_id order by m.k) - 1 i,
+    case when type = 'user' then length(o_orderpriority || ' order ' || m.k) when type <> 'assistant' then 200 when m.k % 53 = 0 or m.k % 59 = 0 then 0 else coalesce(c, 0) end c
+  from messages m left join costs on costs.k = m.k where type not in ('idle', 'synthetic'))"""
+
+
+def _packs(rows: int, chars: int) -> tuple[list[str], str]:
+    packed = f"""packed(session_id, i, pack, n, size) as (
+  select session_id, i, 0, 1, c from sized where i = 0
+  union all
+  select s.session_id, s.i, case when fits then pack else pack + 1 end, case when fits then n + 1 else 1 end, case when fits then size + s.c else s.c end
+  from (select p.pack, p.n, p.size, s.session_id, s.i, s.c, n < {rows} and size + s.c <= {chars} fits from packed p join sized s on s.session_id = p.session_id and s.i = p.i + 1) s)"""
+    return [_SIZED, packed], "select s.session_id, id, pack from sized s join packed p on s.session_id = p.session_id and s.i = p.i"
+
+
 _LAST = "last as (select * from steps qualify row_number() over (partition by session_id order by seq desc, time_created desc, message_id desc) = 1)"
 
 _COMPACTIONS = "compactions as (select *, case k % 3 when 0 then 'auto' when 1 then 'manual' else 'unknown' end reason from kept where type = 'compaction')"
@@ -294,7 +314,8 @@ def _exact() -> dict[str, str]:
         "g04_lineage_focus": ([_FOREST], "select * from shape where id in (select ancestor from up where id = '7' union select id from up where ancestor = '7')"),
         "g05_lineage_graph": ([_FOREST, _GRAPH], "select id, parent, cast(position as int) position, depth, subtree_size, (select count(*) from shape) - (select count(*) from taken) omitted from taken"),
         "g05_lineage_edges": ([_FOREST, _GRAPH], "select parent, id from taken where parent in (select id from taken)"),
-        "w08_pack_messages": None,
+        "w08_pack_messages": _packs(200, 300_000),
+        "w08_small_packs": _packs(5, 700),
         "f18_estimate_tokens": ([], "select source, chars, octets, greatest(chars - greatest((octets - chars) / 2.0, 0), 0) / 4.0 + greatest((octets - chars) / 2.0, 0) tokens from (select source, cast(sum(length(coalesce(text, ''))) as bigint) chars, cast(sum(octet_length(encode(coalesce(text, '')))) as bigint) octets from documents group by 1)"),
     }
     comparison = more["a05_model_comparison"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions import scalars as S
-from lodestat.operators import content, export, graph, replay, search, sessions, tools, usage, views
+from lodestat.operators import content, export, graph, packs, replay, search, sessions, tools, usage, views
 from lodestat.plans import oracles
 from lodestat.plans.adapters import Tables
 from lodestat.streaming import usage as streams
@@ -109,7 +109,8 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "w04_peak_context": lambda t: replay.peak_context(t.steps),
     "w05_model_changes": lambda t: replay.model_changes(t.steps),
     "w06_turn_costs": lambda t: replay.turn_costs(t.steps),
-    "w08_pack_messages": lambda t: replay.pack_messages(t.messages),
+    "w08_pack_messages": lambda t: packs.pack_messages(t.messages),
+    "w08_small_packs": lambda t: packs.pack_messages(t.messages, rows=5, chars=700, width=16),
     "w09_session_events": lambda t: replay.session_events(t.messages, t.sessions),
     "t01_session_list": lambda t: sessions.session_list(t.sessions, t.as_of, "tokens", "desc", 100, 5),
     "t03_top_token_tools": lambda t: tools.top_token_tools(tools.tool_tokens(t.steps, t.tool_parts)),

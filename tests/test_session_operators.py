@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestat.operators import content, export, graph, replay, search, sessions, tools, usage, views
+from lodestat.operators import packs as packing
 from lodestat.plans import registry
 from lodestat.sources.conform import conform, schema
 
@@ -141,7 +142,7 @@ def test_packs_of_a_large_session_break_at_the_shown_size(spark):
     reasoning = json.dumps({"content": [{"type": "reasoning", "text": "r" * 149_900}]})
     rows = [("a", f"{i:04}", "assistant", i, NOW, reasoning) for i in range(5)] + [("b", f"{i:04}", "user", i, NOW, json.dumps({"text": "t"})) for i in range(1000)]
     msg = spark.createDataFrame(rows, "session_id string, id string, type string, seq long, time_created long, data string").repartition(3)
-    packs = {(r.session_id, r.id): r.pack for r in replay.pack_messages(msg).collect()}
+    packs = {(r.session_id, r.id): r.pack for r in packing.pack_messages(msg).collect()}
     assert len(packs) == 1005 and [packs["a", f"{i:04}"] for i in range(5)] == [0, 0, 1, 1, 2]
     assert all(packs["b", f"{i:04}"] == i // 200 for i in range(1000))
 
@@ -154,9 +155,9 @@ def test_replay(tables):
     assert {(r.event_id, r.detail) for r in events.collect()} == {("c1", "unknown"), ("x1", "unknown → m2")}
     pinned = replay.pinned_events(events, st).collect()
     assert [(r.event_id, r.step_id, r.context_before) for r in pinned] == [("x1", "m2", 157)]
-    packs = {r.id: r.pack for r in replay.pack_messages(msg, rows=2).where("session_id = 's1'").collect()}
+    packs = {r.id: r.pack for r in packing.pack_messages(msg, rows=2).where("session_id = 's1'").collect()}
     assert "i1" not in packs and packs["u1"] == packs["m1"] == 0 and packs["m2"] == packs["x1"] == 1
-    one_each = [r.pack for r in replay.pack_messages(msg, chars=0).where("session_id = 's1'").collect()]
+    one_each = [r.pack for r in packing.pack_messages(msg, chars=0).where("session_id = 's1'").collect()]
     assert sorted(one_each)[0] == 0 and max(one_each) >= 5
 
 
