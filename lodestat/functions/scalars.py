@@ -183,22 +183,40 @@ def message_text(variant: Column) -> Column:
 
 
 REASONING_CHARS, TOOL_CHARS = 100_000, 200_000
-_TOKEN = r'"(?:[^"\\]++|\\.)*+"|\{\}|\[\]|[{}\[\],:]|[^{}\[\],:"]++'
+# A text that is cut off is a token too.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"?|\{\}|\[\]|[{}\[\],:]|[^{}\[\],:"]++'
 
 
-def pretty_json(variant: Column) -> Column:
-    """F17 as searched: a variant as JSON over lines, each level two blanks further in; null where there is none."""
-    tokens = F.regexp_extract_all(F.to_json(variant), F.lit(_TOKEN), F.lit(0))
+def _over_lines(tokens: Column, chunk: Column) -> Column:
+    """JSON tokens as text over lines. The depth goes from token to token; arrays are grown in chunks of about the cube root of the tokens, since each append copies what it is added to."""
     line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
-    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def add(s: Column, t: Column) -> Column:
         depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
         shown = F.when(t.isin("{", "[", ","), F.concat(t, line(depth))).when(t.isin("}", "]"), F.concat(line(depth), t)).when(t == ":", ": ").otherwise(t)
         return F.struct(depth.alias("depth"), F.concat(s["out"], F.array(shown)).alias("out"))
 
-    text = F.array_join(F.aggregate(tokens, start, add, lambda s: s["out"]), "")
-    return F.when(variant.isNotNull() & (kind_of(variant) != "VOID"), text)
+    def add_chunk(s: Column, number: Column) -> Column:
+        start = F.struct(s["depth"].alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+        ended = lambda e: F.struct(e["depth"].alias("depth"), F.concat(s["out"], F.array(F.array_join(e["out"], ""))).alias("out"))
+        return F.aggregate(F.slice(tokens, number * chunk + 1, chunk), start, add, ended)
+
+    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / chunk).cast("int"))
+    return F.array_join(F.aggregate(numbers, start, add_chunk, lambda s: s["out"]), "")
+
+
+def pretty_json(variant: Column, most: int | None = None) -> Column:
+    """F17 as searched: a variant as JSON over lines, each level two blanks further in; null where there is none.
+
+    With `most`, its first so many characters: no more of the JSON is looked at, since lines only make it longer.
+    """
+    text = F.to_json(variant)
+    text = F.left(text, F.lit(most)) if most else text
+    sized = lambda tokens: F.get(F.transform(F.array(F.greatest(F.lit(16), F.ceil(F.cbrt(2 * F.size(tokens))).cast("int"))), lambda chunk: _over_lines(tokens, chunk)), 0)
+    # worked out once, then used by name
+    whole = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))), lambda tokens: F.when(F.size(tokens) > 0, sized(tokens)).otherwise("")), 0)
+    return F.when(variant.isNotNull() & (kind_of(variant) != "VOID"), F.left(whole, F.lit(most)) if most else whole)
 
 
 def searchable_text(variant: Column, type_: Column) -> Column:
@@ -207,7 +225,7 @@ def searchable_text(variant: Column, type_: Column) -> Column:
 
     def of(p: Column) -> Column:
         kind = json_text(p, "$.type")
-        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.left(F.coalesce(pretty_json(F.try_variant_get(p, "$.state.input", "variant")), F.lit("")), F.lit(TOOL_CHARS)), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
+        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.coalesce(pretty_json(F.try_variant_get(p, "$.state.input", "variant"), TOOL_CHARS), F.lit("")), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
         return F.when(kind == "reasoning", F.left(F.coalesce(json_text(p, "$.text"), F.lit("")), F.lit(REASONING_CHARS))).when(kind == "tool", tool).otherwise("")
 
     extra = F.when(type_ == "assistant", F.transform(parts, of))

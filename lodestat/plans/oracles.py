@@ -305,6 +305,7 @@ def _exact() -> dict[str, str]:
         "j09_pinned_events": ([_EVENTS, "ordered as (select *, lag(input + cache_read + cache_write) over (partition by session_id order by seq) context_before from steps)"], "select e.session_id, event_id, kind, message_id step_id, o.seq step_seq, context_before from events e asof join ordered o on e.session_id = o.session_id and e.seq <= o.seq where kind <> 'system'"),
         # the window: 120 characters from so far before the match that it is in the middle, or from the start
         "x01_search_messages": _search("urgent"),
+        "x01_indexed_search": _search("urgent"),
         "x01_search_inputs": _search(r'\{\s+"path": "/srv/1\d"'),
         "x02_session_find": ([_TEXTS, "placed as (select *, row_number() over (partition by session_id order by seq) - 1 place from texts where type not in ('idle', 'synthetic'))"], "select session_id, id, place from placed where contains(lower(txt), 'note 1')"),
         "g01_lineage_normalized": ([_FOREST], "select id, parent, self_parent, orphan from nodes"),

@@ -118,6 +118,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "t06_preferred_tools": lambda t: usage.preferred_tools(t.steps, t.tool_parts).withColumn("place", F.col("place").cast("long")),
     "x01_search_messages": lambda t: search.search_messages(t.messages, t.sessions, "urgent"),
     "x01_search_inputs": lambda t: search.search_messages(t.messages, t.sessions, r'\{\s+"PATH": "/srv/1\d"', "regex"),
+    "x01_indexed_search": lambda t: search.search_indexed(t.messages, t.sessions, "urgent"),
     "x02_session_find": lambda t: search.session_find(t.messages, t.sessions, "note 1").withColumn("place", F.col("place").cast("long")),
     "g01_lineage_normalized": lambda t: graph.normalized(t.sessions),
     "g02_lineage_forest": lambda t: _forest(t)[1],
