@@ -1,7 +1,7 @@
 """Language identification as inference in a multilingual mixture.
 
 Fit: byte trigrams of the letters are counted per language over a sample of labelled texts, of about
-`per_language` documents per language chosen by a hash of the id, and smoothed into a likelihood per
+`per_language` different texts per language chosen by a hash of the text, and smoothed into a likelihood per
 language. Inference, per document: expectation-maximisation estimates which share of its trigrams each
 language made. Languages enter the set in the order of those shares as long as the likelihood, less a
 penalty for each language and the logarithm of the number of trigrams, grows. Documents are never shuffled.
@@ -26,6 +26,8 @@ from lodestat.llm.common import LOWER, Shipped, bounded_batches, byte_table, crc
 BUCKETS = 1 << 15
 #: Documents of each language to learn from, about.
 PER_LANGUAGE = 1500
+#: Languages that are learned; each takes 128 KB of counts and 256 KB of likelihoods of the driver.
+MOST_LANGUAGES = 1000
 #: Languages whose likelihoods are looked at together; a model of more goes block by block, so that a worker's memory
 #: doesn't grow with it.
 BLOCK = 256
@@ -131,15 +133,22 @@ class _Lazy:
         return (self.blocks[str(i)][self.used] for i in range(self.n))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, penalty: float = PENALTY) -> MixtureModel:
-    """A model from rows with a label. Of a language with more rows than `per_language`, that many are expected to be read."""
-    rows = bounded_batches(labelled).where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    sizes = {r.l: r["count"] for r in rows.groupBy("l").count().toLocalIterator()}  # what the model is made of
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, penalty: float = PENALTY, most_languages: int = MOST_LANGUAGES) -> MixtureModel:
+    """A model from rows with a label.
+
+    Of a language with more different texts than `per_language`, that many are expected to be read, chosen by a hash
+    of the text; equal texts of a language are read once, ids don't matter. Of more than `most_languages` labels the
+    most frequent ones are learned.
+    """
+    key = stable_key(F.col(text_col))
+    rows = bounded_batches(labelled).where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"), key.alias("k"))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("k", 0.02).alias("texts")).orderBy(F.desc("n"), "l").limit(most_languages)
+    sizes = {r.l: r.texts for r in sizes.collect()}  # what the model is made of
     languages = sorted(sizes)
     if not languages:
         return MixtureModel([], np.zeros((0, BUCKETS)), penalty)
-    least = rows.sparkSession.createDataFrame([(x, int(min(1.0, per_language / sizes[x]) * 2**60)) for x in languages], "l string, cut long")
-    sample = rows.join(F.broadcast(least), "l").where(stable_key(F.col("i")) <= F.col("cut")).select("l", "t")  # a row for each language
+    least = rows.sparkSession.createDataFrame([(x, int(min(1.0, per_language / max(sizes[x], 1)) * 2**60)) for x in languages], "l string, cut long")
+    sample = rows.join(F.broadcast(least), "l").where(F.col("k") <= F.col("cut")).groupBy("l", "k").agg(F.first("t").alias("t")).select("l", "t")  # least has a row for each language
     number = {l: i for i, l in enumerate(languages)}  # noqa: E741
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

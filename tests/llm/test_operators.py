@@ -602,3 +602,62 @@ def test_shards_of_rows_that_repeat(spark):
     crc = zlib.crc32(b"same")
     slots = sorted(r.slot for r in got if r.text_crc32 == crc)
     assert slots == list(range(slots[0], slots[0] + 50))
+
+
+def test_rows_without_ids_and_of_one_id_are_learned_from(spark):
+    rng = random.Random(5)
+    rows = [(None if lang == "aa" else 7 if lang == "bb" else i, speech(rng, lang, 25), "s", lang) for i, lang in enumerate(["aa", "bb", "cc"] * 300)]
+    rows += [(None, speech(rng, "aa", 25), "s", "cc")] * 500  # one text many times, with a wrong label
+    model = language.fit(docs(spark, rows), per_language=60)
+    texts = [(i, speech(rng, lang, 30), "s", lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs(spark, texts), model).collect()}
+    assert got == {i: lang for i, _, _, lang in texts}
+
+
+def test_the_sample_is_bounded_and_whole_where_small(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "MixtureModel", lambda languages, counts, penalty: seen.append((languages, counts.sum(axis=1).tolist())))
+    trigrams = 3 * 4  # of each text below
+    rows = [(None, f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} qqqqqqq", "s", "many") for i in range(4000)] + [(i, "abcde vwxyz", "s", "copies") for i in range(3000)] + [(1, "abcde vwxyz", "s", "one")]
+    language.fit(docs(spark, rows), per_language=100)
+    languages, counts = seen[0]
+    counts = dict(zip(languages, counts, strict=True))
+    assert counts["copies"] == counts["one"] and 60 * trigrams < counts["many"] < 140 * trigrams
+    language.fit(docs(spark, rows), per_language=100, most_languages=2)
+    assert seen[1][0] == ["copies", "many"]
+
+
+def test_the_set_of_languages_is_the_best_penalised_prefix(spark, model):
+    """Languages enter in the order of their shares in the mixture of all, while likelihood less penalty grows; by plain loops."""
+    import math
+
+    def em(table, grams, which):
+        shares = [1 / len(which)] * len(which)
+        for _ in range(language.ROUNDS):
+            new = [0.0] * len(which)
+            for g in grams:
+                parts = [s * table[g, k] for s, k in zip(shares, which, strict=True)]
+                for j, p in enumerate(parts):
+                    new[j] += p / sum(parts) / len(grams)
+            moved, shares = max(abs(a - b) for a, b in zip(new, shares, strict=True)), new
+            if moved < 1e-3:
+                break
+        return shares, sum(math.log(sum(s * table[g, k] for s, k in zip(shares, which, strict=True))) for g in grams)
+
+    rng = random.Random(8)
+    for mix in (("aa",), ("aa", "bb"), ("cc", "bb"), ("aa", "bb", "cc"), ("aa", "aa", "aa", "bb")):
+        text = " ".join(speech(rng, lang, 40) for lang in mix)
+        grams = language.trigrams(np.frombuffer(text.encode(), np.uint8)).tolist()
+        table, price, n = model.blocks["0"], model.penalty * math.log(len(grams) + 1), len(model.languages)
+        alone = [sum(math.log(table[g, k]) for g in grams) for k in range(n)]
+        shares, best = em(table, grams, list(range(n)))
+        first = max(range(n), key=lambda k: alone[k])
+        order = sorted(range(n), key=lambda k: (-shares[k], k))
+        chosen, value = [first], alone[first] - price
+        if best - alone[first] > price:
+            for k in range(2, n + 1):
+                likelihood = em(table, grams, order[:k])[1]
+                if likelihood - k * price <= value:
+                    break
+                chosen, value = order[:k], likelihood - k * price
+        assert {x for x, _ in model.infer(np.frombuffer(text.encode(), np.uint8))} == {model.languages[k] for k in chosen}
