@@ -32,6 +32,8 @@ BLOCK_BYTES = 16_000_000
 #: Hits that are looked at together, about.
 HITS = 200_000
 
+#: What is told of a match.
+_MATCH = ("item_id", "item_word", "doc_word", "n_words")
 _FOUND = ("long", "array<struct<begin:long,stop:long>>", "array<string>", "array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>")
 
 
@@ -135,12 +137,15 @@ class SuffixSearch:
                 break
         return np.argsort(rank[at], kind="stable")
 
-    def shard(self, words: Words, want_matches: bool) -> tuple[np.ndarray, list, list]:
-        """Which words of the shard are hit, (row, item id) pairs, and of each row its maximal matches if wanted."""
-        begin, end, counts, rows = words.begin, words.end, words.counts, len(words.counts)
-        matches, hit_words = [[] for _ in range(rows)], np.zeros(len(begin), bool)
+    def shard(self, words: Words) -> tuple[np.ndarray, list, np.ndarray]:
+        """Which words of the shard are in a match, (row, item id) pairs, and the longest verbatim matches.
+
+        Of a match: row, number of the item, first word in the item and in the document, number of words.
+        """
+        begin, counts = words.begin, words.counts
+        matches, hit_words = [np.zeros((5, 0), np.int64)], np.zeros(len(begin), bool)
         if not self.least or not len(begin):
-            return hit_words, [], matches
+            return hit_words, [], matches[0]
         numbers = self._numbers(words.hashes)
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         inside = numbers > 0
@@ -153,7 +158,7 @@ class SuffixSearch:
         keep = run_to - run_from >= self.least
         run_from, size = run_from[keep], (run_to - run_from)[keep]
         if not len(size):
-            return hit_words, [], matches
+            return hit_words, [], matches[0]
         run = np.repeat(np.arange(len(size)), size)
         where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + run_from[run]  # word index in the shard
         spot = np.arange(len(where)) + run
@@ -176,14 +181,13 @@ class SuffixSearch:
             hit = suffixes[np.arange(len(test)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[chosen], size)]
             place, word, start = at[hit], where[hit], test_at[test]
             longest = length[test].copy()
-            left_off = np.zeros(len(test), bool)
-            if want_matches:
-                left_off = (start == item_start[owner[test]]) | (tests[start - 1] != text[place - 1]) | (place == 0)
-                growing = np.flatnonzero(left_off)  # of a longer match only its first hit is told
-                while len(growing):
-                    mine, other = text[place[growing] + longest[growing]], tests[start[growing] + longest[growing]]
-                    growing = growing[(mine == other) & (mine > 0)]
-                    longest[growing] += 1
+            # of a longer match only its first hit goes on
+            leads = (start == item_start[owner[test]]) | (tests[start - 1] != text[place - 1]) | (place == 0)
+            growing = np.flatnonzero(leads)
+            while len(growing):
+                mine, other = text[place[growing] + longest[growing]], tests[start[growing] + longest[growing]]
+                growing = growing[(mine == other) & (mine > 0)]
+                longest[growing] += 1
             # Hashes stand for words: each word of a match is compared itself, once.
             touched = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(touched, word, 1)
@@ -191,16 +195,24 @@ class SuffixSearch:
             for w in np.flatnonzero((np.cumsum(touched)[:-1] > 0) & ~checked).tolist():
                 checked[w], wrong[w] = True, words.word(w) != self.word(numbers[w])
             bad = np.concatenate([[0], np.cumsum(wrong)])
-            exact = bad[word + length[test]] == bad[word]
-            np.add.at(mark, word[exact], 1)
-            np.add.at(mark, (word + length[test])[exact], -1)
             row = np.searchsorted(first, word, side="right") - 1
-            pairs.append(np.unique(row[exact] * len(item_start) + owner[test[exact]]))
-            for i in np.flatnonzero(left_off & (bad[word + longest] == bad[word])).tolist():
-                item = int(owner[test[i]])
-                matches[row[i]].append((self.id_of(item), int(start[i] - item_start[item]), int(word[i] - first[row[i]]), int(longest[i])))
+            # All hits lie in longest matches. One in which a hash stood for two words is taken window by window.
+            sound, windows = leads & (bad[word + longest] == bad[word]), np.zeros(len(test), bool)
+            if (leads & ~sound).any():
+                windows = bad[word + length[test]] == bad[word]
+            for told, n_words in ((sound, longest), (windows, length[test])):
+                np.add.at(mark, word[told], 1)
+                np.add.at(mark, (word + n_words)[told], -1)
+                pairs.append(np.unique(row[told] * len(item_start) + owner[test[told]]))
+            item = owner[test[sound]]
+            matches.append(np.stack([row[sound], item, start[sound] - item_start[item], word[sound] - first[row[sound]], longest[sound]]))
         found = [(r, self.id_of(item)) for r, item in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(pairs)), max(len(item_start), 1))), strict=True)]
-        return np.cumsum(mark)[:-1] > 0, found, matches
+        return np.cumsum(mark)[:-1] > 0, found, np.concatenate(matches, axis=1)
+
+    def match_lists(self, matches: np.ndarray) -> pa.StructArray:
+        """Matches as structs with the ids of their items."""
+        ids = pa.Array.from_buffers(pa.large_utf8(), len(self.id_at) - 1, [None, pa.py_buffer(np.ascontiguousarray(self.id_at)), pa.py_buffer(np.ascontiguousarray(self.ids))])
+        return pa.StructArray.from_arrays([ids.take(pa.array(matches[1])).cast(pa.utf8()), *(pa.array(x) for x in matches[2:])], list(_MATCH))
 
 
 class Words:
@@ -247,14 +259,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", matches: bool = True,
+    item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """What of the benchmark each document holds, word for word.
 
     A window is `window` consecutive words of an item, or a shorter item as a whole. Per row of `docs`: the
-    columns `keep`, n_words, spans (word ranges inside occurrences of windows, merged), items (ids of items
-    with occurring windows, sorted) and, unless left out, matches (maximal verbatim matches: where in the item,
-    where in the document, how many words).
+    columns `keep`, n_words, spans (word ranges of the matches, merged), items (ids of their items, sorted) and
+    matches (longest verbatim matches: item, where in it, where in the document, how many words).
     """
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -262,8 +273,6 @@ def contamination(
     keys = [f"__k{i}" for i in range(len(keep))]
     blocks = _blocks(benchmark, item_col, item_text_col, window)
     span = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
-    fields = ("item_id", "item_word", "doc_word", "n_words")
-    match = pa.list_(pa.struct([("item_id", pa.string()), *((f, pa.int64()) for f in fields[1:])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,26 +280,27 @@ def contamination(
             for first, last in pieces(offsets, SHARD_BYTES):
                 at = offsets[first : last + 1]
                 words = Words(data[at[0] : at[-1]], at - at[0])
-                hit, items, found = np.zeros(len(words.begin), bool), [set() for _ in words.counts], [[] for _ in words.counts]
+                hit, items, rows_of, found = np.zeros(len(words.begin), bool), [set() for _ in words.counts], [], []
                 for block in blocks:
-                    new, pairs, longest = block.shard(words, matches)
+                    new, pairs, longest = block.shard(words)
                     hit |= new
                     for r, item in pairs:
                         items[r].add(item)
-                    for mine, its in zip(found, longest, strict=True):
-                        mine += its
+                    rows_of.append(longest[0])
+                    found.append(block.match_lists(longest))
+                row = np.concatenate(rows_of)
+                order = np.argsort(row, kind="stable")
+                cuts = np.searchsorted(row[order], np.arange(last - first + 1)).astype(np.int32)
                 part = batch.slice(first, last - first)
                 columns = [
                     *(part.column(c) for c in keys), pa.array(words.counts.astype(np.int64)),
                     pa.array([[{"begin": b, "stop": e} for b, e in x] for x in words.spans(hit)], span), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(found).take(pa.array(order))),
                 ]
-                if matches:
-                    columns.append(pa.array([[dict(zip(fields, m, strict=True)) for m in x] for x in found], match))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, *named])
 
-    named = ["n_words", "spans", "items", *(["matches"] if matches else [])]
-    kinds = _FOUND[:3] + (_FOUND[3:] if matches else ())
-    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {k}" for n, k in zip(named, kinds, strict=True))])
+    named = ("n_words", "spans", "items", "matches")
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {k}" for n, k in zip(named, _FOUND, strict=True))])
     return rows.mapInArrow(run, schema).select(*(F.col(k).alias(c) for k, c in zip(keys, keep, strict=True)), *named)
 
 
@@ -306,7 +316,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
                 at = offsets[first : last + 1]
                 words = Words(data[at[0] : at[-1]], at - at[0])
                 for block in blocks:
-                    for r, _ in block.shard(words, False)[1]:
+                    for r, _ in block.shard(words)[1]:
                         keep[first + r] = False
             yield batch.filter(pa.array(keep))
 

@@ -6,20 +6,22 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1 = rf"""
-with items as (select cast(item_id as varchar) item_id, {_WORDS} w from benchmark),
+with items as (select row_number() over () item, cast(item_id as varchar) item_id, {_WORDS} w from benchmark),
 windows as (
-  select distinct item_id, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') win, least(10, len(w)) n
-  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i from items where len(w) > 0)),
+  select item, item_id, i j, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') win, least(10, len(w)) n
+  from (select item, item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i from items where len(w) > 0)),
 docs as (select row_number() over () rid, doc_id, {_WORDS} w from documents),
 lengths as (select distinct n from windows),
 spots as (select rid, i, n, array_to_string(w[i : i + n - 1], ' ') win
   from (select rid, w, n, unnest(range(1, len(w) - n + 2)) i from docs, lengths where len(w) >= n)),
-hits as (select s.rid, s.i, s.n, v.item_id from spots s join windows v on s.win = v.win and s.n = v.n),
+hits as (select s.rid, s.i, s.n, v.item_id, v.item, v.j from spots s join windows v on s.win = v.win and s.n = v.n),
 words as (select rid, count(*) n_hit from (select distinct rid, unnest(range(i, i + n)) p from hits) group by rid),
-found as (select rid, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct rid, item_id from hits) group by rid)
+found as (select rid, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct rid, item_id from hits) group by rid),
+matches as (select rid, count(*) n_matches, max(m) longest_match from (select rid, count(*) + min(n) - 1 m
+  from (select *, i - row_number() over (partition by rid, item, i - j order by i) island from hits) group by rid, item, i - j, island) group by rid)
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
-  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
-from docs left join words using (rid) left join found using (rid)
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated, coalesce(n_matches, 0) n_matches, coalesce(longest_match, 0) longest_match
+from docs left join words using (rid) left join found using (rid) left join matches using (rid)
 """
 
 SQL: dict[str, str] = {"op1_decontamination": OP1}
