@@ -87,8 +87,8 @@ def round_sig3(value: Column) -> Column:
 
 
 def relative_delta(now: Column, before: Column) -> Column:
-    """the change as a part of what was; null without a base or with a base of 0."""
-    return F.when(before != 0, (now - before) / before)
+    """the change as a part of what was; null without a base above 0."""
+    return F.when(before > 0, (now - before) / before)
 
 
 def pp_delta(now: Column, before: Column) -> Column:
@@ -279,6 +279,8 @@ def snippet(text: Column, pattern: str, width: int = 120) -> Column:
 # --- export -----------------------------------------------------------------------------------------------
 # What a spreadsheet takes for the start of a formula; characters that names of files can't have.
 FORMULA = r"^[=+\-@\t\r]"
+#: Of what is told where a tool's output was cut; {} is its length.
+CUT_MARK = "...（截断，完整 {} 字符）"
 NOT_IN_NAMES = r'[\\/:*?"<>|\x00-\x1f]'
 
 
@@ -300,37 +302,78 @@ def download_name(created_ms: Column, title: Column, extension: str) -> Column:
     return F.concat(day, F.lit("-"), slug(title), F.lit(f".{extension}"))
 
 
+#: White space of documents, beyond ASCII too.
+BLANK = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def is_blank(text: Column) -> Column:
+    """Whether a text has nothing but white space."""
+    return text.rlike(f"^{BLANK}*$")
+
+
 def md_escape(text: Column) -> Column:
     """a backslash before what Markdown reads."""
-    return F.regexp_replace(text, r"([\\`*_{}\[\]<>#|])", r"\\$1")
+    return F.regexp_replace(text, r"([\\`*_\[\]<>#|~])", r"\\$1")
 
 
 def md_quote(text: Column) -> Column:
-    """every line behind `> `."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.rtrim(F.concat(F.lit("> "), line))), "\n")
+    """every line behind `> `; a line of white space is `>`."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(is_blank(line), ">").otherwise(F.concat(F.lit("> "), line))), "\n")
 
 
-def md_fence(text: Column) -> Column:
+def longest_backticks(text: Column) -> Column:
+    """the longest run of backticks, 0 without any."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), F.length)), F.lit(0))
+
+
+def md_fence(text: Column, language: str = "") -> Column:
     """a fence longer than any run of backticks inside, three at least."""
-    runs = F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1))
-    longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
-    fence = F.repeat(F.lit("`"), F.greatest(longest + 1, F.lit(3)))
-    return F.concat(fence, F.lit("\n"), text, F.lit("\n"), fence)
+    fence = F.repeat(F.lit("`"), F.greatest(longest_backticks(text) + 1, F.lit(3)))
+    return F.concat(fence, F.lit(f"{language}\n"), text, F.lit("\n"), fence)
 
 
 def one_line(text: Column) -> Column:
     """white space runs as one space."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), "^ | $", "")
+
+
+def local_minute(ms: Column, missing: str) -> Column:
+    """yyyy-MM-dd HH:mm of the session's time zone; `missing` where there is no time above 0."""
+    return F.when(ms > 0, F.date_format(at(ms), "yyyy-MM-dd HH:mm")).otherwise(missing)
+
+
+def thousands(n: Column) -> Column:
+    """a count with commas; 0 where it is not positive."""
+    return F.when(n > 0, F.format_number(F.floor(n), 0)).otherwise("0")
+
+
+def plain_number(n: Column) -> Column:
+    """A number as documents show it: 12 for 12.0, no exponent for sizes between."""
+    short = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,16)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when((F.abs(n) < 1e21) & ((F.abs(n) >= 1e-6) | (n == 0)), short).otherwise(n.cast("string"))
+
+
+def _utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def cut_at(text: Column, most: int) -> Column:
+    """the first `most` UTF-16 units, one less where that would cut a character in two."""
+    raw = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(raw, 2 * most - 1, 2))
+    units = F.lit(most) - F.when(last.between("D800", "DBFF"), 1).otherwise(0)
+    return F.when(_utf16_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), units * 2), "UTF-16BE"))
 
 
 def cut_notice(text: Column, most: int = 200) -> Column:
     """with `...` where it was longer."""
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    return F.when(_utf16_length(text) > most, F.concat(cut_at(text, most), F.lit("..."))).otherwise(text)
 
 
 def cut_tool_output(text: Column, most: int = 4000) -> Column:
-    """F30."""
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n… (truncated)"))).otherwise(text)
+    """with the whole length where it was longer, which is in UTF-16 units."""
+    told = F.format_string(CUT_MARK.replace("{}", "%d"), _utf16_length(text))
+    return F.when(_utf16_length(text) > most, F.concat(cut_at(text, most), F.lit("\n"), told)).otherwise(text)
 
 
 # Shapes of credentials: what stays before the secret, the secret's characters, the least number of them.

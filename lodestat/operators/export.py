@@ -23,18 +23,14 @@ def sessions_csv_rows(sessions: DataFrame, as_of_ms: int, **filters: str) -> Dat
     return rows.select(safe(F.col("id")).alias("id"), safe(F.col("title")).alias("title"), safe(model).alias("modelId"), safe(S.name_or_unknown(F.col("agent"))).alias("agent"), safe(F.col("directory")).alias("directory"), F.col("time_created").alias("timeCreated"), F.col("time_updated").alias("timeUpdated"), "tokens", "cost")
 
 
-def write_sessions_csv(rows: DataFrame, path: str) -> None:
-    """K1 as files: RFC 4180 quoting; records end with a line feed, as Spark's writer does."""
-    rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=False, emptyValue="", nullValue="")
-
-
 def sessions_csv_text(rows: DataFrame) -> DataFrame:
     """K1 as the lines of one file, (line, text): the mark of UTF-8 and the header in line 0, then a record each, with CR LF after every one.
 
     Lines are numbered by their order, so that however many files are written can be put together.
     """
     quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    fields = [quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in CSV_COLUMNS]
+    numbers = {"timeCreated", "timeUpdated", "tokens", "cost"}
+    fields = [S.plain_number(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if c in numbers else quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in CSV_COLUMNS]
     # Records are numbered within ranges of the order; a range's first number is what all before it have.
     ranged = rows.repartitionByRange(F.desc("timeUpdated"), "id").withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("timeUpdated"), "id"))))
@@ -44,63 +40,115 @@ def sessions_csv_text(rows: DataFrame) -> DataFrame:
     return head.unionByName(lines).orderBy("line")
 
 
+def write_sessions_csv(rows: DataFrame, path: str) -> None:
+    """K1 as files of ranges of the lines: put one after the other by their names they are the document, byte for byte.
+
+    A job that fails leaves no part of it, since files are committed together.
+    """
+    bare = F.substr("text", F.lit(1), F.length("text") - 2)
+    sessions_csv_text(rows).select(bare.alias("text")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+# Words of exported documents.
+WORDS = {
+    "user": "## 🧑 用户", "assistant": "## 🤖 助手", "prompt": "## 📋 系统提示词", "time": "时间: ", "tool": "🔧 工具调用: ", "status": "（状态: ", "status_end": "）",
+    "input": "参数:", "output": "输出:", "no_output": "*（无输出记录）*", "system": "系统指令更新: ", "no_system": "系统指令更新（内容缺失）", "model": "模型切换: ",
+    "compaction": "上下文压缩（", "compaction_end": "）: ", "no_reason": "未知原因", "other": "未知消息类型（", "no_type": "缺失", "untitled": "（无标题会话）", "none": "*（本会话无消息记录）*",
+    "missing": "未知", "id": "会话 ID", "of_model": "模型", "agent": "Agent", "created": "创建时间", "updated": "更新时间", "tokens": "Token 汇总", "cost": "费用",
+}
+
+
 def _passage(text: Column) -> Column:
-    return F.when(F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), F.length)), F.lit(0)) >= 3, S.md_fence(text)).otherwise(text)
+    return F.when(S.longest_backticks(text) >= 3, S.md_fence(text)).otherwise(text)
+
+
+def _lines(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
 def _part(p: Column) -> Column:
-    kind, text = S.json_text(p, "$.type"), F.coalesce(S.json_text(p, "$.text"), F.lit(""))
+    w, kind, text = WORDS, S.json_text(p, "$.type"), F.coalesce(S.json_text(p, "$.text"), F.lit(""))
     name = F.coalesce(S.tool_name(S.json_text(p, "$.name"), S.json_text(p, "$.tool")), F.lit("unknown"))
     status, given = F.coalesce(S.json_text(p, "$.state.status"), F.lit("")), S.tool_output_text(p)
-    taken = S.json_text(p, "$.state.input")
-    tool = F.concat(
-        F.lit("**Tool: "), S.md_escape(S.one_line(name)), F.lit("**"), F.when(status.isin("", "completed"), "").otherwise(F.concat(F.lit(" ("), status, F.lit(")"))),
-        F.when(taken.isNull(), "").otherwise(F.concat(F.lit("\n\n"), S.md_fence(S.redacted(F.coalesce(taken, F.lit("")))))),
+    taken = S.pretty_json(F.try_variant_get(p, "$.state.input", "variant"))
+    tool = _lines(
+        f"**{w['tool']}", S.md_escape(S.one_line(name)), "**", F.when(status.isin("", "completed"), "").otherwise(_lines(w["status"], status, w["status_end"])),
+        F.when(taken.isNull(), "").otherwise(_lines(f"\n\n{w['input']}\n\n", S.md_fence(S.redacted(F.coalesce(taken, F.lit(""))), "json"))),
         # redacted before it is cut, so that no secret is cut in half
-        F.when(F.trim(given) == "", "\n\n*no output*").otherwise(F.concat(F.lit("\n\n"), S.md_fence(S.cut_tool_output(S.redacted(given))))),
+        F.when(S.is_blank(given), f"\n\n{w['no_output']}").otherwise(_lines(f"\n\n{w['output']}\n\n", S.md_fence(S.cut_tool_output(S.redacted(given)), "text"))),
     )
-    return F.when((kind == "text") & (F.trim(text) != ""), _passage(S.redacted(text))).when((kind == "reasoning") & (F.trim(text) != ""), S.md_quote(S.redacted(text))).when(kind == "tool", tool).otherwise("")
+    shown = ~S.is_blank(text)
+    return F.when((kind == "text") & shown, _passage(S.redacted(text))).when((kind == "reasoning") & shown, S.md_quote(S.redacted(text))).when(kind == "tool", tool).otherwise("")
 
 
 def notice_line(kind: Column, v: Column) -> Column:
-    """one line for a message that is no turn; secrets go before it is cut."""
-    of = lambda path: S.one_line(F.coalesce(S.json_text(v, path), F.lit("")))
-    system = F.when(of("$.text") == "", "System instructions changed").otherwise(F.concat(F.lit("System instructions: "), S.cut_notice(S.redacted(of("$.text")))))
-    switch = F.concat(F.lit("Model: "), S.redacted(S.model_switch_detail(S.json_text(v, "$.previous.id"), S.json_text(v, "$.model.id"))))
-    compact = F.concat(F.lit("Compaction ("), S.redacted(S.name_or_unknown(of("$.reason"))), F.lit("): "), S.cut_notice(S.redacted(of("$.summary"))))
-    return F.when(kind == "system", system).when(kind == "model-switched", switch).when(kind == "compaction", compact).otherwise(F.concat(F.lit("Message of type "), S.name_or_unknown(kind)))
+    """one line for a message that is no turn; secrets go before it is cut. A message of another type shows its data."""
+    w, of = WORDS, lambda path: S.one_line(F.coalesce(S.json_text(v, path), F.lit("")))
+    system = F.when(of("$.text") == "", w["no_system"]).otherwise(_lines(w["system"], S.cut_notice(S.redacted(of("$.text")))))
+    switch = _lines(w["model"], S.redacted(S.model_switch_detail(S.json_text(v, "$.previous.id"), S.json_text(v, "$.model.id"))))
+    reason = F.coalesce(F.nullif(of("$.reason"), F.lit("")), F.lit(w["no_reason"]))
+    compact = _lines(w["compaction"], S.redacted(reason), w["compaction_end"], S.cut_notice(S.redacted(of("$.summary"))))
+    data = F.coalesce(S.pretty_json(v), F.lit("null"))
+    other = _lines(w["other"], F.coalesce(F.nullif(kind, F.lit("")), F.lit(w["no_type"])), w["compaction_end"], S.cut_notice(S.redacted(S.one_line(data))))
+    return F.when(kind == "system", system).when(kind == "model-switched", switch).when(kind == "compaction", compact).otherwise(other)
 
 
 def message_markdown(kind: Column, v: Column, created_ms: Column) -> Column:
     """A message's section; empty where there is nothing to show."""
-    time = F.when(created_ms > 0, F.concat(F.lit("*"), F.date_format(S.at(created_ms), "yyyy-MM-dd HH:mm:ss"), F.lit("*\n\n"))).otherwise("")
+    time = F.when(created_ms > 0, _lines("*", WORDS["time"], S.local_minute(created_ms, ""), "*\n\n")).otherwise("")
     user = S.redacted(S.message_text(v))
     parts = F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$.content", "array<variant>"), F.expr("cast(array() as array<variant>)")), _part), lambda t: t != "")
-    talk = lambda head, body: F.when(F.trim(body) == "", "").otherwise(F.concat(F.lit(f"## {head}\n\n"), time, body))
-    return F.when(kind == "user", talk("User", _passage(user))).when(kind == "assistant", talk("Assistant", F.array_join(parts, "\n\n"))).otherwise(F.concat(F.lit("---\n\n*"), F.regexp_replace(notice_line(kind, v), r"\*", r"\\*"), F.lit("*")))
+    talk = lambda head, body: F.when(S.is_blank(body), "").otherwise(_lines(f"{head}\n\n", time, body))
+    notice = _lines("---\n\n*", F.regexp_replace(notice_line(kind, v), r"\*", r"\\*"), "*")
+    return F.when(kind == "user", talk(WORDS["user"], _passage(user))).when(kind == "assistant", talk(WORDS["assistant"], F.array_join(parts, "\n\n"))).otherwise(notice)
 
 
-def session_markdown(sessions: DataFrame, messages: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
-    """K2 for all sessions: (id, file_name, markdown): header, messages in order, system prompt.
+def markdown_sections(sessions: DataFrame, messages: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """K2 for all sessions as rows (id, file_name, kind, seq, time_created, message_id, text): sections of documents, which are in the order of these columns.
 
-    The text of a session is put together in one row, as the format asks; sections are made before.
+    kind: 0 for the header, 1 for messages, 2 for the system prompt. No session is put together in a row.
     """
-    rows = visible(anchored(messages, sessions))
-    section = message_markdown(F.col("type"), F.try_parse_json("data"), F.col("time_created"))
-    made = rows.select("session_id", F.struct("seq", "time_created", "id", section.alias("text")).alias("m")).where("m.text != ''")
-    body = made.groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]), "\n\n").alias("body"))
-    title = S.md_escape(S.redacted(S.one_line(F.coalesce("title", F.lit("")))))
+    w = WORDS
+    title = F.regexp_replace(F.coalesce("title", F.lit("")), "[\r\n]+", " ")
     model = S.name_or_unknown(S.json_text(F.try_parse_json("model"), "$.id"))
-    stamp = lambda c: F.coalesce(F.date_format(S.at(F.col(c)), "yyyy-MM-dd HH:mm:ss"), F.lit("unknown"))
+    field = lambda name, c: _lines(f"- **{w[name]}**: ", c)
+    cost = F.when(F.col("cost") > 0, field("cost", _lines("$", S.plain_number(F.col("cost")))))
     head = F.concat_ws(
-        "\n", F.concat(F.lit("# "), F.when(title == "", "Untitled session").otherwise(title)), F.concat(F.lit("- **Session**: "), F.col("id")), F.concat(F.lit("- **Model**: "), model), F.concat(F.lit("- **Agent**: "), S.name_or_unknown(F.col("agent"))),
-        F.concat(F.lit("- **Created**: "), stamp("time_created")), F.concat(F.lit("- **Updated**: "), stamp("time_updated")), F.concat(F.lit("- **Tokens**: "), F.format_number(session_tokens(), 0)), F.when(F.col("cost") > 0, F.concat(F.lit("- **Cost**: $"), F.col("cost").cast("string"))),
+        "\n", _lines("# ", F.when(title == "", w["untitled"]).otherwise(S.md_escape(S.redacted(title)))), field("id", F.coalesce(F.nullif("id", F.lit("")), F.lit(w["missing"]))), field("of_model", model), field("agent", S.name_or_unknown(F.col("agent"))),
+        field("created", S.local_minute(F.col("time_created"), w["missing"])), field("updated", S.local_minute(F.coalesce("time_updated", F.lit(0)), w["missing"])), field("tokens", S.thousands(session_tokens())), cost,
     )
-    out = sessions.withColumn("head", head).join(body, "id", "left")
-    tail = F.lit(None).cast("string")
+    named = sessions.select("id", S.download_name(F.col("time_created"), F.coalesce("title", F.lit("")), "md").alias("file_name"), head.alias("head"))
+    some = anchored(messages, sessions)
+    counted = named.join(some.groupBy(F.col("session_id").alias("id")).agg(F.lit(True).alias("any")), "id", "left")
+    nothing = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
+    order = (("seq", "long"), ("time_created", "long"), ("message_id", "string"))
+    heads = counted.select("id", "file_name", F.lit(0).alias("kind"), *nothing(*order), F.when(F.col("any"), F.col("head")).otherwise(_lines(F.col("head"), "\n\n", w["none"])).alias("text"))
+    section = message_markdown(F.col("type"), F.try_parse_json("data"), F.col("time_created"))
+    made = visible(some).select(F.col("session_id").alias("id"), F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("time_created").cast("long").alias("time_created"), F.col("id").cast("string").alias("message_id"), section.alias("text"))
+    out = heads.unionByName(made.where("text != ''").join(named.select("id", "file_name"), "id"))
     if prompts is not None:
         text = prompts.groupBy(F.col("session_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: x["text"]), "\n\n").alias("prompt"))
-        out = out.join(text, "id", "left")
-        tail = F.when(F.trim("prompt") != "", F.concat(F.lit("## System prompt\n\n"), S.md_quote(S.redacted(F.col("prompt")))))
-    whole = F.concat(F.concat_ws("\n\n", "head", F.coalesce("body", F.lit("*no messages*")), tail), F.lit("\n"))
-    return out.select("id", S.download_name(F.col("time_created"), F.coalesce("title", F.lit("")), "md").alias("file_name"), whole.alias("markdown"))
+        tail = text.where(~S.is_blank(F.col("prompt"))).join(named.select("id", "file_name"), "id")
+        out = out.unionByName(tail.select("id", "file_name", F.lit(2).alias("kind"), *nothing(*order), _lines(f"{w['prompt']}\n\n", S.md_quote(S.redacted(F.col("prompt")))).alias("text")))
+    return out
+
+
+SECTION_ORDER = ("kind", "seq", "time_created", "message_id")
+
+
+def session_markdown(sessions: DataFrame, messages: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """K2 as documents (id, file_name, markdown), a row for each: for sessions that fit in one."""
+    rows = markdown_sections(sessions, messages, prompts).select("id", "file_name", F.struct(*SECTION_ORDER, "text").alias("m"))
+    whole = _lines(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]), "\n\n"), "\n")
+    return rows.groupBy("id", "file_name").agg(whole.alias("markdown"))
+
+
+def write_session_markdown(sessions: DataFrame, messages: DataFrame, path: str, prompts: DataFrame | None = None) -> None:
+    """K2 as files of sections in order, with the document (file_name) and its place in each row: ranges of (id, place), so that a long session is many tasks.
+
+    The texts of a document, put one after the other, are the document.
+    """
+    rows = markdown_sections(sessions, messages, prompts)
+    ordered = rows.repartitionByRange("id", *SECTION_ORDER).sortWithinPartitions("id", *SECTION_ORDER)
+    text = F.when(F.col("kind") == 0, F.col("text")).otherwise(F.concat(F.lit("\n\n"), "text"))
+    ordered.select("id", "file_name", *SECTION_ORDER, text.alias("text")).write.mode("overwrite").parquet(path)

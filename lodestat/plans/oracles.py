@@ -70,6 +70,8 @@ exact as (select *, t * case when w > 0 then weight / w else 1.0::double / n end
 placed as (select *, row_number() over (partition by message_id order by e - floor(e) desc, tool) place, t - sum(floor(e)) over (partition by message_id) rest from exact),
 tool_tokens as (select tool, cast(sum(floor(e) + case when place <= rest then 1 else 0 end) as bigint) tokens, count(*) steps from placed group by 1)"""
 
+_BLANK = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
 # A tool's input is an object of one path: 16 characters more when it is indented.
 _SIZED = """
 costs as (select l_orderkey k, sum(case
@@ -315,10 +317,21 @@ def _exact() -> dict[str, str]:
         "g04_lineage_focus": ([_FOREST], "select * from shape where id in (select ancestor from up where id = '7' union select id from up where ancestor = '7')"),
         "g05_lineage_graph": ([_FOREST, _GRAPH], "select id, parent, cast(position as int) position, depth, subtree_size, (select count(*) from shape) - (select count(*) from taken) omitted from taken"),
         "g05_lineage_edges": ([_FOREST, _GRAPH], "select parent, id from taken where parent in (select id from taken)"),
+        "f29_markdown_texts": ([], rf"""select doc_id, sha256(regexp_replace(text, '([\\`*_\[\]<>#|~])', '\\\1', 'g')) escaped,
+  sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda l: case when regexp_matches(l, '^{_BLANK}*$') then '>' else '> ' || l end), chr(10))) quoted,
+  sha256(trim(regexp_replace(text, '{_BLANK}+', ' ', 'g'), ' ')) line, sha256(fence || 'json' || chr(10) || t || chr(10) || fence) fenced,
+  case when n_chars > 0 then strftime(make_timestamp(n_chars * 86399000000), '%Y-%m-%d %H:%M') else '-' end as minute,
+  case when n_chars > 2000 then format('{{:,}}', n_chars * 1000 - 2000000) else '0' end thousands,
+  case when n_chars % 8 = 0 then cast(n_chars // 8 as varchar) else cast(n_chars / 8.0::double as varchar) end number
+from (select *, repeat('`', cast(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0)) as int)) fence from (select *, regexp_replace(text, '[aeiou]', '`', 'g') t from documents))"""),
+        "f30_cut_texts": ([], "select doc_id, sha256(case when length(text) > 200 then text[:200] || '...' else text end) notice, sha256(case when length(text) > 1000 then text[:1000] || chr(10) || '...（截断，完整 ' || length(text) || ' 字符）' else text end) output from documents"),
         "w08_pack_messages": _packs(200, 300_000),
         "w08_small_packs": _packs(5, 700),
         "f18_estimate_tokens": ([], "select source, chars, octets, greatest(chars - greatest((octets - chars) / 2.0, 0), 0) / 4.0 + greatest((octets - chars) / 2.0, 0) tokens from (select source, cast(sum(length(coalesce(text, ''))) as bigint) chars, cast(sum(octet_length(encode(coalesce(text, '')))) as bigint) octets from documents group by 1)"),
     }
     comparison = more["a05_model_comparison"]
-    more["f35_relative_delta"] = (comparison[0], "select *, case when previous_tokens <> 0 then (tokens - previous_tokens) / previous_tokens end relative_delta from (" + comparison[1] + ")")
-    return out | {name: _with(*found[0]) + ("" if not found[1].lstrip().startswith("v as") else ", ") + found[1] for name, found in more.items() if found}
+    board = "select tokens, previous_tokens, case when previous_tokens > 0 then (tokens - previous_tokens) / previous_tokens end relative_delta, tokens * 2 guess from (" + comparison[1] + ")"
+    told = (("tokens", "exact", "null::varchar"), ("previous_tokens", "exact", "null::varchar"), ("relative_delta", "exact", "'there is no window before to compare with'"), ("guess", "estimate", "'the field was not recorded'"))
+    more["f36_figures"] = (comparison[0], " union all ".join(f"select '{f}' figure, '{p}' \"precision\", {m} missing, count(*) \"rows\", count(*) - count({f}) nulls from ({board})" for f, p, m in told))
+    more["f35_relative_delta"] = (comparison[0], "select *, case when previous_tokens > 0 then (tokens - previous_tokens) / previous_tokens end relative_delta from (" + comparison[1] + ")")
+    return out | {name: (_with(*found[0]) if found[0] or "documents" not in found[1] else "") + ("" if not found[1].lstrip().startswith("v as") else ", ") + found[1] for name, found in more.items() if found}

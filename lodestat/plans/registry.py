@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.functions import precision
 from lodestat.functions import scalars as S
 from lodestat.operators import content, export, graph, packs, replay, search, sessions, tools, usage, views
 from lodestat.plans import oracles
@@ -60,6 +61,9 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "f32_redact_documents": lambda t: content.redact_messages(t.raw("documents"), "doc_id").select("doc_id", "hits", F.sha2("redacted", 256).alias("redacted_sha256")),
     "f33_csv_fields": lambda t: t.raw("documents").select("doc_id", F.sha2(S.csv_field(F.col("text")), 256).alias("field_sha256")),
     "f34_download_names": lambda t: t.sessions.select("id", S.download_name(F.col("time_created"), F.concat(F.lit(" a/b:\t"), "title", F.lit("  <"), F.coalesce("agent", F.lit("")), F.lit("> and some more words, so that it is cut. .")), "md").alias("name")),
+    "f29_markdown_texts": lambda t: t.raw("documents").select("doc_id", *(F.sha2(f(F.col("text")), 256).alias(n) for n, f in (("escaped", S.md_escape), ("quoted", S.md_quote), ("line", S.one_line))), F.sha2(S.md_fence(F.regexp_replace("text", "[aeiou]", "`"), "json"), 256).alias("fenced"), S.local_minute(F.col("n_chars") * 86_399_000, "-").alias("minute"), S.thousands(F.col("n_chars") * 1000 - 2_000_000).alias("thousands"), S.plain_number(F.col("n_chars") / 8).alias("number")),
+    "f30_cut_texts": lambda t: t.raw("documents").select("doc_id", F.sha2(S.cut_notice(F.col("text")), 256).alias("notice"), F.sha2(S.cut_tool_output(F.col("text"), 1000), 256).alias("output")),
+    "f36_figures": lambda t: precision.figures(precision.tagged(usage.deltas(usage.model_leaderboard_comparison(t.steps, t.as_of, 30)).select("model_id", "tokens", "previous_tokens", "relative_delta", (F.col("tokens") * 2).alias("guess")))),
     "f35_relative_delta": lambda t: usage.deltas(usage.model_leaderboard_comparison(t.steps, t.as_of, 30)).select("model_id", "provider_id", "variant", "tokens", "previous_tokens", "relative_delta"),
     "f38_wall_durations": lambda t: t.sessions.select("id", S.wall_duration_ms(F.col("time_created"), F.col("time_updated")).alias("duration_ms")),
     "a01_overview": lambda t: usage.overview(t.steps, t.sessions, t.as_of),

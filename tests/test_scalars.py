@@ -62,7 +62,8 @@ def test_markdown_and_csv(spark):
     assert each(spark, ["x", "a ``` b", "````"], S.md_fence) == ["```\nx\n```", "````\na ``` b\n````", "`````\n````\n`````"]
     assert each(spark, ["a\nb", ""], S.md_quote) == ["> a\n> b", ">"]
     assert each(spark, ["Hello, World!", "---", "É x"], S.slug) == ["Hello, World!", "---", "É x"]
-    assert each(spark, ["a*b"], S.md_escape) == ["a\\*b"]
+    signs = "\\`*_[]<>#|~"
+    assert each(spark, ["a*b", signs, "{}()!+-."], S.md_escape) == ["a\\*b", "".join(f"\\{c}" for c in signs), "{}()!+-."]
 
 
 def test_search_pieces(spark):
@@ -106,7 +107,7 @@ def test_deltas_and_precision(spark):
     one = spark.range(1).select(S.relative_delta(F.lit(3.0), F.lit(2.0)).alias("relative_delta"), S.relative_delta(F.lit(3.0), F.lit(0.0)).alias("zero"), S.pp_delta(F.lit(0.5), F.lit(0.25)).alias("pp_delta"), S.pp_delta(F.lit(0.5), F.lit(None)).alias("none"))
     assert tuple(one.first()) == (0.5, None, 25.0, None)
     marked = precision.tagged(one)
-    assert marked.schema["relative_delta"].metadata == {"precision": "exact", "missing": precision.MISSING["no_comparison_baseline"]} and marked.schema["zero"].metadata == {"precision": "exact"}
+    assert marked.schema["relative_delta"].metadata == {"precision": "exact", "missing": precision.MISSING["no_comparison_baseline"]} and marked.schema["zero"].metadata == {"precision": "estimate", "missing": precision.MISSING["not_recorded"]}
 
 
 @pytest.mark.parametrize("zone", ["Asia/Shanghai", "America/New_York", "Asia/Kolkata"])

@@ -213,7 +213,7 @@ def test_content_search_and_export(tables):
     rows = export.sessions_csv_rows(sess, NOW).collect()
     assert rows[0].title in ("One", "'=Two") and rows[0].__fields__ == list(export.CSV_COLUMNS)
     text = {r.id: r.markdown for r in export.session_markdown(sess, msg).collect()}
-    assert text["s1"].index("## User") < text["s1"].index("Hello needle") < text["s1"].index("Compaction (unknown)") and "*no messages*" in text["s2"]
+    assert text["s1"].index(export.WORDS["user"]) < text["s1"].index("Hello needle") < text["s1"].index("上下文压缩（未知原因）") and text["s2"].endswith("*（本会话无消息记录）*\n")
     report = {r.session_id: r for r in content.session_report(msg, sess).collect()}
     assert (report["s1"].assistant, report["s1"].user, report["s1"].other, report["s2"].assistant) == (7, 1, 0, 0)
 
