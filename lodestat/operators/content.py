@@ -21,10 +21,10 @@ def content_composition(messages: DataFrame, sessions: DataFrame, parts: DataFra
     """
     p, kind = F.col("p"), F.col("kind")
     text = F.coalesce(S.json_text(p, "$.text"), F.lit(""))
-    taken = F.coalesce(F.get_json_object("json", "$.state.input"), F.lit(""))
+    taken = F.coalesce(S.json_text(p, "$.state.input"), F.lit(""))
     given = S.tool_output_text(p)
     pick = lambda k, t: F.when(kind == k, t)
-    other = F.when(kind.isNotNull() & ~kind.isin("text", "reasoning", "tool"), F.col("json"))
+    other = F.when(kind.isNotNull() & ~kind.isin("text", "reasoning", "tool"), F.to_json(p))
     named = [("assistantText", pick("text", text)), ("reasoning", pick("reasoning", text)), ("toolInput", pick("tool", taken)), ("toolOutput", pick("tool", given)), ("other", other)]
     long = parts.select("session_id", F.explode(F.array(*(F.struct(F.lit(n).alias("category"), c.alias("text")) for n, c in named))).alias("x")).select("session_id", "x.category", "x.text")
     user = anchored(messages.where(F.col("type") == "user"), sessions).select("session_id", F.lit("userText").alias("category"), S.message_text(F.try_parse_json("data")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,23 +114,34 @@ def focus(trees: DataFrame, shape: DataFrame, id_: str) -> DataFrame:
 def lineage_graph(shape: DataFrame, budget: int = 400) -> DataFrame:
     """The sessions that a breadth-first walk takes first, up to the budget: roots and children by subtree size, then id.
 
-    (id, parent, position, depth, subtree_size, omitted). A level is one small top-k; the taken ones never
-    pass the budget, at most 1000, so they are broadcast.
+    (id, parent, position, depth, subtree_size, omitted). Sizes of levels tell which levels are taken whole: they have
+    fewer sessions than the budget, at most 1000, and are put in order by themselves. Of the level after them the first
+    ones are one top-k by their parents' places. So many jobs there are, however deep the forest is.
     """
     budget = max(1, min(budget, MOST_NODES))
-    spark, kind = shape.sparkSession, "id string, position int"
-    total = shape.count()
-    level = shape.where(F.col("parent").isNull() | (F.col("depth") == 0)).select("id", F.lit(0).alias("place"), "subtree_size")
-    taken: list[tuple[str, int]] = []
-    while len(taken) < budget:
-        new = [r.id for r in level.orderBy("place", F.desc("subtree_size"), "id").limit(budget - len(taken)).collect()]
-        if not new:
-            break
-        begin = len(taken)
-        taken += [(x, begin + i) for i, x in enumerate(new)]
-        above = spark.createDataFrame(taken[begin:], "parent string, place int")
-        level = shape.where("depth > 0").join(F.broadcast(above), "parent").select("id", "place", "subtree_size")
-    chosen = spark.createDataFrame(taken, kind)
+    spark, total = shape.sparkSession, shape.count()
+    # a level has one session at least, so that no more levels than the budget are reached
+    widths = {r.depth: r["count"] for r in shape.where(F.col("depth") < budget).groupBy("depth").count().collect()}
+    last, above = 0, 0
+    while last in widths and above + widths[last] <= budget:
+        above, last = above + widths[last], last + 1
+    whole = shape.where(F.col("depth") < last).select("id", "parent", "depth", "subtree_size").collect() if last else []
+    levels, place = defaultdict(list), {}
+    for r in whole:
+        levels[r.depth].append(r)
+    for depth in range(last):
+        for r in sorted(levels[depth], key=lambda r: (place[r.parent] if depth else 0, -r.subtree_size, r.id.encode())):
+            place[r.id] = len(place)
+    taken = list(place.items())
+    if above < budget and last in widths:
+        level = shape.where(F.col("depth") == last)
+        if last:
+            level = level.join(F.broadcast(spark.createDataFrame(taken, "parent string, place int")), "parent")
+        else:
+            level = level.withColumn("place", F.lit(0))
+        rest = level.orderBy("place", F.desc("subtree_size"), "id").limit(budget - above).select("id").collect()
+        taken += [(r.id, above + i) for i, r in enumerate(rest)]
+    chosen = spark.createDataFrame(taken, "id string, position int")
     return shape.join(F.broadcast(chosen), "id").select("id", "parent", "position", "depth", "subtree_size", F.lit(total - len(taken)).cast("long").alias("omitted")).orderBy("position")
 
 

@@ -31,7 +31,7 @@ def tool_error_trend(tool_parts: DataFrame, as_of_ms: int, days: int = 30) -> Da
 
 def part_weight():
     """F18 over the text a tool part puts into the context: its input and output."""
-    text_in, text_out = F.coalesce(F.get_json_object("json", "$.state.input"), F.lit("")), S.tool_output_text(F.col("p"))
+    text_in, text_out = F.coalesce(S.json_text("p", "$.state.input"), F.lit("")), S.tool_output_text(F.col("p"))
     return S.estimate_tokens(F.length(text_in) + F.length(text_out), F.octet_length(text_in) + F.octet_length(text_out))
 
 

@@ -88,21 +88,21 @@ def agent_stats(steps: DataFrame, tool_parts: DataFrame, sessions: DataFrame) ->
     member = sessions.where(F.col("agent").isNotNull() & (F.col("agent") != "")).select("agent", F.col("id").alias("session_id"))
     counts = member.unionByName(steps.select("agent", "session_id")).distinct().groupBy("agent").agg(F.count("*").alias("sessions"))
     used = steps.groupBy("agent").agg(F.count("*").alias("steps"), F.sum(_usage()).alias("tokens"))
-    tools = agent_tools(steps, tool_parts).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("order"), "tool", "calls"))).alias("t"))
+    tools = agent_tools(tool_parts).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("order"), "tool", "calls"))).alias("t"))
     listed = F.array_join(F.transform("t", lambda x: F.concat_ws("=", x["tool"], x["calls"])), ",")
     out = counts.join(used, "agent", "full_outer").join(tools, "agent", "left")
     return out.select("agent", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sessions", "steps", "tokens")), F.coalesce(listed, F.lit("")).alias("tools")).orderBy(F.desc("tokens"), "agent")
 
 
-def agent_tools(steps: DataFrame, tool_parts: DataFrame) -> DataFrame:
+def agent_tools(tool_parts: DataFrame) -> DataFrame:
     """(agent, tool, calls): the long form of A6's counts."""
-    return tool_parts.select("message_id", "tool").join(steps.select("message_id", "agent"), "message_id").groupBy("agent", "tool").agg(F.count("*").alias("calls"))
+    return tool_parts.groupBy("agent", "tool").agg(F.count("*").alias("calls"))
 
 
-def preferred_tools(steps: DataFrame, tool_parts: DataFrame, most: int = 3) -> DataFrame:
+def preferred_tools(tool_parts: DataFrame, most: int = 3) -> DataFrame:
     """The tools each agent calls most."""
     place = F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("calls"), "tool"))
-    return agent_tools(steps, tool_parts).withColumn("place", place).where(F.col("place") <= most)
+    return agent_tools(tool_parts).withColumn("place", place).where(F.col("place") <= most)
 
 
 def stacked_models(steps: DataFrame, as_of_ms: int, days: int = 30, most: int = TOP_MODELS) -> DataFrame:

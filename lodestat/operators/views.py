@@ -45,7 +45,7 @@ def clamp_days(days: int | None) -> int:
 def steps(messages: DataFrame, sessions: DataFrame, since_ms: int | None = None) -> DataFrame:
     """Assistant messages whose data is a JSON object, of existing sessions, parsed once.
 
-    Token counts without a valid number are 0. `content` is the variant of the data, for parts.
+    Token counts without a valid number are 0. `content` is that part of the data as a variant.
     """
     rows = messages.where(F.col("type") == "assistant")
     if since_ms is not None:
@@ -58,16 +58,18 @@ def steps(messages: DataFrame, sessions: DataFrame, since_ms: int | None = None)
         S.name_or_unknown(S.json_text(v, "$.agent")).alias("agent"), S.name_or_unknown(model).alias("model_id"), model.alias("raw_model_id"),
         S.text_or_empty(S.json_text(v, "$.model.providerID")).alias("provider_id"), S.text_or_empty(S.json_text(v, "$.model.variant")).alias("variant"),
         *(S.json_number(v, f"$.tokens.{path}").alias(name) for name, path in (("input", "input"), ("output", "output"), ("reasoning", "reasoning"), ("cache_read", "cache.read"), ("cache_write", "cache.write"))),
-        (error.isNotNull() & ~F.coalesce(F.is_variant_null(error), F.lit(True))).alias("has_error"), S.text_or_empty(S.json_text(v, "$.error.type")).alias("error_type"), "data",
+        (error.isNotNull() & ~F.coalesce(F.is_variant_null(error), F.lit(True))).alias("has_error"), S.text_or_empty(S.json_text(v, "$.error.type")).alias("error_type"), F.try_variant_get(v, "$.content", "variant").alias("content"),
     )
 
 
 def parts(steps_: DataFrame) -> DataFrame:
-    """S3: one row for each element of a step's `content`; none where that is no array."""
-    texts = F.from_json("data", "content array<string>")["content"]
-    rows = steps_.select("message_id", "session_id", "seq", "time_created", F.posexplode(texts).alias("pos", "json"))
-    rows = rows.withColumn("p", F.try_parse_json("json"))
-    return rows.select("message_id", "session_id", "seq", "time_created", "pos", "json", "p", S.json_text("p", "$.type").alias("kind"))
+    """S3: one row for each element of a step's `content`, with its place; none where that is no array.
+
+    A message is parsed once, for its step; parts are taken from that variant, and bring the step's agent along.
+    """
+    rows = steps_.where(S.kind_of(F.col("content")) == "ARRAY").select("message_id", "session_id", "seq", "time_created", "agent", "content")
+    rows = rows.lateralJoin(steps_.sparkSession.tvf.variant_explode(F.col("content").outer()))
+    return rows.select("message_id", "session_id", "seq", "time_created", "agent", "pos", F.col("value").alias("p"), S.json_text("value", "$.type").alias("kind"))
 
 
 def tool_parts(parts_: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _forest(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _steps_of(t: Tables) -> DataFrame:
-    return t.steps.drop("data")
+    return t.steps.drop("content")
 
 
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -119,7 +119,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "t01_session_list": lambda t: sessions.session_list(t.sessions, t.as_of, "tokens", "desc", 100, 5),
     "t03_top_token_tools": lambda t: tools.top_token_tools(tools.tool_tokens(t.steps, t.tool_parts)),
     "t05_todo_view": lambda t: sessions.todo_view(t.todos),
-    "t06_preferred_tools": lambda t: usage.preferred_tools(t.steps, t.tool_parts).withColumn("place", F.col("place").cast("long")),
+    "t06_preferred_tools": lambda t: usage.preferred_tools(t.tool_parts).withColumn("place", F.col("place").cast("long")),
     "x01_search_messages": lambda t: search.search_messages(t.messages, t.sessions, "urgent"),
     "x01_search_inputs": lambda t: search.search_messages(t.messages, t.sessions, r'\{\s+"PATH": "/srv/1\d"', "regex"),
     "x01_indexed_search": lambda t: search.search_indexed(t.messages, t.sessions, "urgent"),

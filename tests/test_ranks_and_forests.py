@@ -56,3 +56,39 @@ def test_depths_and_sizes_of_a_long_chain_and_a_random_forest(spark):
     for x in ("c69", "c0", "r1", "r50"):
         assert {r.id for r in graph.focus(trees, shape, x).collect()} == set(above[x]) | below[x]
     assert graph.focus(trees, shape, "gone").count() == len(parent)
+
+
+def test_graph_of_a_chain_and_of_wide_levels(spark):
+    import random
+
+    from lodestat.operators import graph
+
+    def walk(parents, budget):
+        """A breadth-first walk by plain loops."""
+        kids, size = {}, {}
+        for x, p in parents.items():
+            kids.setdefault(p, []).append(x)
+        for x in parents:
+            while x is not None:
+                size[x] = size.get(x, 0) + 1
+                x = parents[x]
+        taken, level = [], [None]
+        while level and len(taken) < budget:
+            level = [x for p in level for x in sorted(kids.get(p, []), key=lambda x: (-size[x], x))]
+            taken += level
+        return taken[:budget]
+
+    rng = random.Random(6)
+    chain = {f"{i:04}": f"{i - 1:04}" if i else None for i in range(300)}
+    wide = {f"w{i:03}": None if i < 5 else f"w{rng.randrange(i if i < 40 else 40):03}" for i in range(400)}
+    for parents, budgets in ((chain, (1, 250, 400)), (wide, (1, 3, 5, 30, 200, 400, 1000))):
+        trees = spark.createDataFrame(list(parents.items()), "id string, parent string")
+        shape = graph.lineage(trees).cache()
+        for budget in budgets:
+            began = spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+            got = graph.lineage_graph(shape, budget)
+            jobs = len(set(spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)) - set(began))
+            rows = got.collect()
+            assert [r.id for r in rows] == walk(parents, budget) and [r.position for r in rows] == list(range(len(rows)))
+            assert rows[0].omitted == len(parents) - len(rows) and jobs <= 16
+        shape.unpersist()

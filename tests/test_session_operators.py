@@ -218,6 +218,14 @@ def test_content_search_and_export(tables):
     assert (report["s1"].assistant, report["s1"].user, report["s1"].other, report["s2"].assistant) == (7, 1, 0, 0)
 
 
+def test_parts_parse_a_message_once(tables):
+    _, _, st, parts = tables
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "Generate variant_explode" in plan
+    joined = usage.agent_tools(views.tool_parts(parts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in joined
+
+
 def test_todos_and_prompts(spark):
     t = spark.createDataFrame([("a", "x", "pending", 1), ("a", "y", "in_progress", 5), ("a", "z", "odd", 0), ("b", "q", "completed", 0)], "session_id string, content string, status string, position int")
     assert [(r.content, r.place) for r in sessions.todo_view(t).collect()] == [("y", 1), ("x", 2)]
