@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Removes a folder of intermediate files, on whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of one Arrow batch of texts.
 BATCH_BYTES = 4 << 20
 

@@ -24,10 +24,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.sources.shared import cut_lineage
+from lodestat.sources.shared import cut_lineage, remove_folder
 
-#: Digests that a bucket of a new index is meant for, some 100 bytes each, and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 32
+#: Digests that a bucket of a new index is meant for at most, some 100 bytes each.
+BUCKET_ROWS = 1_000_000
 
 
 def digest(text: Column) -> Column:
@@ -53,8 +53,8 @@ class DigestIndex:
     """A bucketed table (digest, keep_id, keep_length, batch).
 
     Without a path the table is in the session's warehouse. With a path its files are there, and a later
-    session opens them by the same name, path and bucket count. A new index has as many buckets as its first
-    batch asks for, unless told.
+    session opens them by the same name, path and bucket count. A new index has as many buckets as a shuffle of the
+    session has partitions, more if its first batch asks for them, unless told; new rows are then shuffled once.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
@@ -81,9 +81,11 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def drop(self) -> None:
-        """Takes the table away; files of an index with a path stay."""
+    def drop(self, files: bool = False) -> None:
+        """Takes the table away; files of an index with a path stay, unless told."""
         self.spark.sql(f"drop table if exists {self.name}")
+        if files and self.path:
+            remove_folder(self.spark, self.path)
 
     def append(self, rows: DataFrame) -> None:
         """Adds (digest, keep_id, keep_length, batch) rows; a task writes whole buckets."""
@@ -99,7 +101,8 @@ class DigestIndex:
     def ingest(self, rows: DataFrame, batch: str, replace: bool = False) -> None:
         """Appends what of `rows` (as `digested` gives them) is new."""
         if not self.exists():  # the first batch goes the way of all others
-            self.buckets = self.buckets or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
+            # as many as a shuffle has, so that new rows which are grouped by digest lie with their buckets
+            self.buckets = self.buckets or max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET_ROWS))
             self._create(rows.schema["id"].dataType.simpleString())
         best = rows.groupBy("digest").agg(F.min(standing()).alias("k")).select("digest", F.col("k.i").alias("id"), (-F.col("k.l")).alias("length"))
         # Written before the index is appended to, which it reads.

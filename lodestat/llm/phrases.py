@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import LOWER, WordHasher, bounded_batches, byte_table, pieces, remove_folder, text_bytes
-from lodestat.sources.shared import cut_lineage, shared_folder
+from lodestat.llm.common import LOWER, WordHasher, bounded_batches, byte_table, pieces, text_bytes
+from lodestat.sources.shared import cut_lineage, remove_folder, shared_folder
 
 #: Words of the longest phrase; occurrences that a candidate has at least; rows of a language that are told.
 LONGEST, LEAST, TOP = 4, 30, 2000

@@ -13,6 +13,7 @@ from lodestat.llm.decontamination import contamination
 from lodestat.llm.exact_dedup import DigestIndex, deduplicate_all
 from lodestat.llm.secrets import ADDED, BASE, BlobLedger, scan_all
 from lodestat.llm.simhash import near_duplicates
+from lodestat.sources.shared import shared_folder
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table comes to the index in two batches; the index goes when the result is written."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    """The table comes in two batches to an index in the shared folder; the index goes when the result is written."""
+    name = f"digest_index_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, path=f"{shared_folder(spark)}/{name}")
     try:
         return deduplicate_all(table(spark, sf_dir, "documents"), index)
     finally:
-        index.drop()
+        index.drop(files=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
