@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -558,6 +560,36 @@ def test_a_row_stays_for_each_component_though_ids_are_null_or_repeat(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
 
 
+def copies_by_hand(rows, entropy, repeats):
+    """How often a mixture reads each (id, text, source), by plain loops."""
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    key = lambda i, block: int(hashlib.md5(f"{'' if i is None else i}|{block}".encode()).hexdigest()[:15], 16)
+    sums = {}
+    for _, text, source in rows:
+        sums[source] = sums.get(source, 0) + size(text)
+    some, steps = [t for t in sums.values() if t], 1 << 20
+    most, total = max(some), sum(some)
+    spread = lambda e: [(t / total) ** e / sum((u / total) ** e for u in some) for t in some]
+    even = lambda step: -sum(w * math.log(w) for w in spread(step / steps)) >= entropy * math.log(len(some)) - 1e-9
+    low, high = 0, steps  # the largest exponent whose weights are even enough
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if even(middle) else (low, middle - 1)
+    least, high = 0, steps  # the least with which no source is read too often
+    while least < high:
+        middle = (least + high) // 2
+        least, high = (least, middle) if (most / min(some)) ** (1 - middle / steps) <= repeats else (middle + 1, high)
+    e, out = max(low, least) / steps, Counter()
+    for source, tokens in sums.items():
+        passes = round((most / tokens) ** (1 - e), 9) if tokens else 1.0
+        whole = math.floor(passes)
+        rest, so_far = math.floor((passes - whole) * tokens), 0
+        for i, text, _ in sorted((r for r in rows if r[2] == source), key=lambda r: key(r[0], whole)):
+            so_far += size(text)
+            out[i] += whole + (so_far <= rest)
+    return out
+
+
 def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, speech(rng, ["aa", "bb", "cc"][i % 3], 120), f"s{i % 7 == 0}", ["aa", "bb", "cc"][i % 3], 1) for i in range(150)]
@@ -566,7 +598,8 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} == set(range(150))
+    read = copies_by_hand([(i, t, source) for i, t, source, *_ in rows[:150]], 0.998, 1.5)
+    assert Counter(r.doc_id for r in got) == read and max(read.values()) == 2
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.shard == plain_jump(int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), 40) for r in got)
