@@ -46,6 +46,8 @@ EXPLAINED = 80
 BITS = 1 << 27
 #: Bytes of texts that a task looks at together.
 CHUNK = 4 << 20
+#: Bytes of a chunk that are hashed at once (some 40 bytes of arrays for each), and counts in a batch that a task gives out.
+HASHED, TOLD = 1 << 18, 1 << 15
 
 _BREAK = byte_table((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 _WORD = ~(_BREAK | byte_table((0x09, 0x09), (0x20, 0x20)))
@@ -58,6 +60,17 @@ def _strings(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_utf8(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
 
 
+def _hashed(hasher: WordHasher, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """`hasher.hashes` by slices of about HASHED bytes, which end with a word: memory depends on the longest word, not on the chunk."""
+    out, first = np.empty(len(begin), np.uint64), 0
+    while first < len(begin):
+        a = int(begin[first])
+        last = max(first + 1, int(np.searchsorted(end, a + HASHED, side="right")))
+        out[first:last] = hasher.hashes(raw[a : int(end[last - 1])], begin[first:last] - a, end[first:last] - a)
+        first = last
+    return out
+
+
 def _key(chain: np.ndarray, lang: np.ndarray, k: int) -> np.ndarray:
     """The filter's key of a phrase of k words from the chained hashes of its words and that of its language."""
     with np.errstate(over="ignore"):
@@ -81,7 +94,7 @@ class Hashes:
 
     def words(self, words: pa.Array) -> np.ndarray:
         raw, at = text_bytes(words)
-        return self._of_phrase.hashes(raw, at[:-1], at[1:])
+        return _hashed(self._of_phrase, raw, at[:-1], at[1:])
 
     def langs(self, langs: pa.Array) -> np.ndarray:
         raw, at = text_bytes(langs)
@@ -90,7 +103,7 @@ class Hashes:
     def phrases(self, langs: pa.Array, phrases: pa.Array) -> np.ndarray:
         raw, at = text_bytes(phrases)
         begin, end, lengths = self._of_phrase.spans(raw, at)
-        hashed, first, lang = self._of_phrase.hashes(raw, begin, end), np.cumsum(lengths) - lengths, self.langs(langs)
+        hashed, first, lang = _hashed(self._of_phrase, raw, begin, end), np.cumsum(lengths) - lengths, self.langs(langs)
         out = np.zeros(len(lengths), np.uint64)
         for k in range(1, int(lengths.max(initial=0)) + 1):
             of = np.flatnonzero(lengths == k)
@@ -177,8 +190,8 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np
         held.append((batch.column(0), raw, at))
         size += len(raw)
         if size >= CHUNK:
-            yield from cut(*_joined(held))
-            held, size = [], 0
+            joined, held, size = _joined(held), [], 0
+            yield from cut(*joined)
     if held:
         yield from cut(*_joined(held))
 
@@ -213,17 +226,32 @@ def _scan(reached, counted_words: bool, deepest: int):
                 yield k, there[all_.has(keys[there + 1])]
             chain, whole = _chained(chain[:n], word[k - 1 :]), both
 
+    def linked(raw: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Of each word but the last: whether the next one is in the same piece."""
+        piece = np.searchsorted(np.flatnonzero(_BREAK[raw]), begin)
+        return (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+
+    def of_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, used: np.ndarray) -> pa.Array:
+        """The words with the numbers in `used`, folded, as a dictionary."""
+        if len(used) == len(begin):
+            kept = raw[_WORD[raw]]
+        else:
+            inside = np.zeros(len(raw) + 1, np.int8)
+            inside[begin[used]] += 1
+            inside[end[used]] -= 1  # no word ends where another begins, but for rows
+            kept = raw[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        return _strings(LOWER[kept], np.concatenate([[0], np.cumsum((end - begin)[used])])).dictionary_encode()
+
     def count(langs: pa.Array, raw: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         begin, end, per_row = splitter.spans(raw, at)
         if not len(begin):
             return
         of_lang = langs.dictionary_encode()
-        lang = of_lang.indices.to_numpy()[np.repeat(np.arange(len(per_row)), per_row)].astype(np.int64)
+        row = np.repeat(np.arange(len(per_row), dtype=np.int32), per_row)
+        lang = of_lang.indices.to_numpy()[row]
         found = []
         if reached is not None:
-            row, ended = np.repeat(np.arange(len(per_row)), per_row), np.cumsum(_BREAK[raw], dtype=np.int32)
-            linked = (row[1:] == row[:-1]) & (ended[begin[1:]] == ended[begin[:-1]])
-            found = list(active(splitter.hashes(raw, begin, end), hashes.langs(of_lang.dictionary)[lang], linked))
+            found = list(active(_hashed(splitter, raw, begin, end), hashes.langs(of_lang.dictionary)[lang], linked(raw, begin, row)))
         # numbers of the words that are in any phrase to count, by language: a word of one is another than that of the next
         used = np.full(len(begin), counted_words)
         for k, places in found:
@@ -232,28 +260,23 @@ def _scan(reached, counted_words: bool, deepest: int):
         used = np.flatnonzero(used)
         if not len(used):
             return
-        if len(used) == len(begin):
-            kept = raw[_WORD[raw]]
-        else:
-            inside = np.zeros(len(raw) + 1, np.int8)
-            inside[begin[used]] += 1
-            inside[end[used]] -= 1  # no word ends where another begins, but for rows
-            kept = raw[np.cumsum(inside[:-1]).astype(bool)]
-        words = _strings(LOWER[kept], np.concatenate([[0], np.cumsum((end - begin)[used])])).dictionary_encode()
+        words = of_words(raw, begin, end, used)
         n_words = len(words.dictionary)
-        known, of_used = _numbered(lang[used] * n_words + words.indices.to_numpy(), len(of_lang.dictionary) * n_words)
+        known, of_used = _numbered(lang[used].astype(np.int64) * n_words + words.indices.to_numpy(), len(of_lang.dictionary) * n_words)
         number = np.zeros(len(begin), np.int64)
         number[used] = of_used
 
-        def rows(first: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        def rows(first: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
             """first: the numbers of the words of each phrase."""
-            text = [words.dictionary.take(pa.array(known[x] % n_words)) for x in first]
-            phrase = text[0] if len(first) == 1 else pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_utf8()))
-            its = of_lang.dictionary.take(pa.array(known[first[0]] // n_words))
-            return pa.RecordBatch.from_arrays([its.cast(pa.utf8()), pa.array(np.full(len(n), len(first), np.int32)), phrase.cast(pa.utf8()), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
+            for at in range(0, len(n), TOLD):
+                some, times = [x[at : at + TOLD] for x in first], n[at : at + TOLD]
+                text = [words.dictionary.take(pa.array(known[x] % n_words)) for x in some]
+                phrase = text[0] if len(some) == 1 else pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_utf8()))
+                its = of_lang.dictionary.take(pa.array(known[some[0]] // n_words))
+                yield pa.RecordBatch.from_arrays([its.cast(pa.utf8()), pa.array(np.full(len(times), len(some), np.int32)), phrase.cast(pa.utf8()), pa.array(times.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
         if counted_words:
-            yield rows([np.arange(len(known))], np.bincount(of_used))
+            yield from rows([np.arange(len(known))], np.bincount(of_used))
         for k, places in found:
             if len(places):
                 key = number[places]
@@ -262,7 +285,7 @@ def _scan(reached, counted_words: bool, deepest: int):
                         key = np.unique(key, return_inverse=True)[1]
                     key = key * len(known) + number[places + j]
                 _, at_first, times = np.unique(key, return_index=True, return_counts=True)
-                yield rows([number[places[at_first] + j] for j in range(k)], times)
+                yield from rows([number[places[at_first] + j] for j in range(k)], times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _in_chunks(batches):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from lodestat.llm import phrases
@@ -91,3 +94,36 @@ def test_large_counts_are_exact(spark):
 def test_empty_tables(spark):
     assert phrases.mine(frame(spark, []).limit(0)).collect() == []
     assert phrases.mine(frame(spark, [(None, None), ("", "en")])).collect() == []
+
+
+def scanned(rows):
+    """Batches of a scan whose filters let everything through; it runs here, without Spark."""
+    full = phrases.Filter(64)
+    full.words[:], full.lengths = -1, {1, 2, 3}
+    texts = pa.RecordBatch.from_arrays([pa.array([lang for _, lang in rows]), pa.array([text for text, _ in rows])], names=["lang", "text"])
+    return phrases._scan(SimpleNamespace(value=(full, full)), True, 4)(iter([texts]))
+
+
+def test_slices_of_hashes_and_of_counts_change_nothing(rows, monkeypatch):
+    rows = [(text, lang or "und") for text, lang in rows]
+    whole = Counter({(lang, p): n for b in scanned(rows) for lang, p, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True)})
+    keys = phrases.Hashes().phrases(pa.array([x[0] for x in whole]), pa.array([x[1] for x in whole]))
+    monkeypatch.setattr(phrases, "HASHED", 16)  # many words are longer
+    monkeypatch.setattr(phrases, "TOLD", 3)
+    parts = list(scanned(rows))
+    assert max(b.num_rows for b in parts) == 3
+    assert Counter({(lang, p): n for b in parts for lang, p, n in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True)}) == whole
+    assert (phrases.Hashes().phrases(pa.array([x[0] for x in whole]), pa.array([x[1] for x in whole])) == keys).all()
+
+
+def test_a_scan_holds_little_besides_its_chunk():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [(" ".join(rng.choices(words, k=160)), "en") for _ in range(4000)]  # some 4 MB
+    tracemalloc.start()  # numpy's arrays
+    try:
+        most = max(b.nbytes for b in scanned(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 << 20 and peak < 34 * phrases.CHUNK, (most, peak)
