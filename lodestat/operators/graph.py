@@ -1,4 +1,4 @@
-"""The forest of sessions under their parents (G1-G5, J10): pointer doubling with joins, checkpointed by the round."""
+"""The forest of sessions under their parents (G1-G5, J10): pointer doubling with joins, stored by the round."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.sources.shared import cut_lineage
+from lodestat.sources.shared import cut_lineage, remove_folder, stored
 
 MOST_NODES = 1000
 
@@ -21,57 +21,53 @@ def normalized(sessions: DataFrame) -> DataFrame:
     return rows.select("id", F.when(~own & ~orphan, F.col("parent_id")).alias("parent"), own.alias("self_parent"), orphan.alias("orphan"))
 
 
-def _jumped(pointers: DataFrame) -> DataFrame:
-    """Pointers (id, to) followed twice; null stays null."""
-    far = pointers.select(F.col("id").alias("to"), F.col("to").alias("far"))
-    return pointers.join(far, "to", "left").select("id", F.col("far").alias("to"))
+def leading_to_cycles(nodes: DataFrame) -> DataFrame:
+    """(id, least, far): sessions that lead into a cycle of parents, the least id of the cycle, and one on the cycle that they reach; each session on a cycle is reached so.
 
-
-def _doubled(pointers: DataFrame) -> DataFrame:
-    """Pointers followed to their end, where each end points to itself or to nothing."""
-    now = cut_lineage(pointers)
+    Doubling: a round knows the session that is 2 ** k above and the least id on the way there; who has none so far up
+    is left out. Who finds its own id as the least one on its way is on a cycle, and names it. Rounds end when all that
+    are left pass such a session in the second half of their way: with the logarithm of the longest way into a cycle or
+    around one, however many sessions there are.
+    """
+    spark = nodes.sparkSession
+    now, path = stored(nodes.where("parent is not null").select("id", F.col("parent").alias("to"), F.col("parent").alias("least")))
     while True:
-        after = cut_lineage(_jumped(now))
-        changed = after.join(now.withColumnRenamed("to", "was"), "id").where(~F.col("to").eqNullSafe(F.col("was")))
-        if changed.isEmpty():
-            return after
-        now = after
-
-
-def cycle_nodes(nodes: DataFrame) -> DataFrame:
-    """(id): sessions on a cycle of parents: what is still reached after as many jumps as there are sessions."""
-    n, now = nodes.count(), cut_lineage(nodes.select("id", F.col("parent").alias("to")))
-    reach = 1
-    while reach < n:
-        now, reach = cut_lineage(_jumped(now)), reach * 2
-        if now.where("to is not null").isEmpty():
-            break
-    return now.where("to is not null").select(F.col("to").alias("id")).distinct()
+        above = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("further"))
+        after, newer = stored(now.join(above, "to").select("id", "far", "least", "further"))
+        remove_folder(spark, path)
+        names = after.where("least = id").select(F.col("id").alias("further"))
+        if after.join(names, "further", "left_anti").isEmpty():
+            return after.select("id", F.col("further").alias("least"), "far")
+        now, path = after.select("id", F.col("far").alias("to"), F.least("least", "further").alias("least")), newer
+
+
+def _entries(nodes: DataFrame, led: DataFrame, on_cycle: DataFrame) -> DataFrame:
+    """(id, e): for each session that leads into a cycle the first one on the cycle, by doubling; on a cycle it is the session itself."""
+    marked = led.select("id").join(nodes, "id").join(on_cycle.withColumn("there", F.lit(True)), "id", "left")
+    now, path = stored(marked.select("id", F.when(F.col("there"), F.col("id")).otherwise(F.col("parent")).alias("to"), F.coalesce("there", F.lit(False)).alias("there")))
+    while not now.where("not there").isEmpty():
+        above = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("there").alias("far_there"))
+        now, newer = stored(now.join(above, "to").select("id", F.col("far").alias("to"), F.col("far_there").alias("there")))
+        remove_folder(nodes.sparkSession, path)
+        path = newer
+    return now.select("id", F.col("to").alias("e"))
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """(id, parent, cut) without cycles.
+    """(id, parent, cut) without cycles, stored.
 
     As if walks to the root began at the ids in order: the walk from the least id that leads into a cycle
     enters it at e, and the edge that closes it, of the session whose parent is e, is cut.
     """
-    on_cycle = cut_lineage(cycle_nodes(nodes))
-    if on_cycle.isEmpty():
+    nodes, _ = stored(nodes.select("id", "parent"))
+    led = leading_to_cycles(nodes)
+    if led.isEmpty():
         return nodes.select("id", "parent", F.lit(False).alias("cut"))
-    marked = nodes.join(on_cycle.withColumn("c", F.lit(True)), "id", "left")
-    entry = _doubled(marked.select("id", F.when(F.col("c"), F.col("id")).otherwise(F.col("parent")).alias("to"))).where("to is not null")
-    # The least id of a cycle names it: minima spread along the cycle by doubling.
-    ring = cut_lineage(marked.where("c").select("id", F.col("parent").alias("to"), F.col("id").alias("least")))
-    while True:
-        far = ring.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("other"))
-        after = cut_lineage(ring.join(far, "to").select("id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
-        if after.join(ring.select("id", F.col("least").alias("was")), "id").where("least != was").isEmpty():
-            break
-        ring = after
-    led = entry.join(after.select(F.col("id").alias("to"), "least"), "to").select("id", F.col("to").alias("e"), "least")
-    first = led.groupBy("least").agg(F.min_by("e", "id").alias("e"))
-    cut = after.select("id", "least").join(first, "least").join(nodes.select("id", "parent"), "id").where("parent = e").select("id", F.lit(True).alias("cut"))
-    return nodes.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    on_cycle = led.select(F.col("far").alias("id")).distinct()
+    first = led.groupBy("least").agg(F.min("id").alias("id"))
+    entered = _entries(nodes, led, on_cycle).join(first, "id", "left_semi").select(F.col("e").alias("parent"))
+    cut = nodes.join(on_cycle, "id", "left_semi").join(entered, "parent", "left_semi").select("id", F.lit(True).alias("cut"))
+    return stored(nodes.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), F.coalesce("cut", F.lit(False)).alias("cut")))[0]
 
 
 def sums_along(trees: DataFrame, value: Column, start: Column) -> DataFrame:
