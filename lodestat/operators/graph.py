@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.sources.shared import cut_lineage, remove_folder, stored
+from lodestat.sources.shared import remove_folder, stored
 
 MOST_NODES = 1000
 
@@ -76,12 +76,14 @@ def sums_along(trees: DataFrame, value: Column, start: Column) -> DataFrame:
     Doubling: a round takes in the next 2 ** k levels, from the session that far above (up) and from those that far
     below (down). A session has one pointer, so that a round moves each row once, whatever the depth of its tree.
     """
-    now = cut_lineage(trees.select("id", F.col("parent").alias("to"), value.cast("long").alias("up"), start.cast("long").alias("down")))
+    now, path = stored(trees.select("id", F.col("parent").alias("to"), value.cast("long").alias("up"), start.cast("long").alias("down")))
     while not now.where("to is not null").isEmpty():
         above = now.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("up").alias("more_up"))
         below = now.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.sum("down").alias("more_down"))
         sums = now.join(above, "to", "left").join(below, "id", "left").na.fill(0, ["more_up", "more_down"])
-        now = cut_lineage(sums.select("id", F.col("far").alias("to"), (F.col("up") + F.col("more_up")).alias("up"), (F.col("down") + F.col("more_down")).alias("down")))
+        now, newer = stored(sums.select("id", F.col("far").alias("to"), (F.col("up") + F.col("more_up")).alias("up"), (F.col("down") + F.col("more_down")).alias("down")))
+        remove_folder(trees.sparkSession, path)
+        path = newer
     return now.select("id", "up", "down")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestat.operators import graph
 
 
@@ -44,3 +46,10 @@ def test_sizes_of_forests_are_those_of_their_rows(spark):
     trees = graph.forest(spark.createDataFrame(parents, "id string, parent string"))
     assert estimate(trees) < 10**6
     assert [r.id for r in trees.where("cut").collect()] == ["1"]
+
+
+def test_sizes_of_sums_along_a_deep_chain_are_those_of_their_rows(spark):
+    chain = spark.createDataFrame([(f"{i}", f"{i - 1}" if i else None) for i in range(520)], "id string, parent string")
+    sums = graph.sums_along(chain, F.lit(1), F.lit(1))  # ten rounds
+    assert estimate(sums) < 10**6
+    assert {r.id: (r.up, r.down) for r in sums.collect()} == {f"{i}": (i + 1, 520 - i) for i in range(520)}
