@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestat.operators import graph
@@ -53,3 +54,19 @@ def test_sizes_of_sums_along_a_deep_chain_are_those_of_their_rows(spark):
     sums = graph.sums_along(chain, F.lit(1), F.lit(1))  # ten rounds
     assert estimate(sums) < 10**6
     assert {r.id: (r.up, r.down) for r in sums.collect()} == {f"{i}": (i + 1, 520 - i) for i in range(520)}
+
+
+@pytest.fixture(scope="module")
+def grown(spark):
+    """Nodes, their forest and its shape: a chain of 200 under a cycle of two, read through the given operators."""
+    parents = {"a": "b", "b": "a", "0": "b", "self": "self", "lost": "gone"} | {f"{i}": f"{i - 1}" for i in range(1, 200)}
+    nodes = graph.normalized(spark.createDataFrame(list(parents.items()), "id string, parent_id string"))
+    trees = graph.forest(nodes)
+    return nodes, trees, graph.lineage(trees)
+
+
+def test_summary_of_a_deep_forest_is_estimated_by_its_rows(grown):
+    summary = graph.lineage_summary(*grown)
+    assert estimate(summary) < 10**60
+    # the walk from 0 enters at b, so that a is cut: a, b, 0 to 199
+    assert summary.first().asDict() == {"sessions": 204, "self_parents": 1, "orphans": 1, "cycles_cut": 1, "roots": 3, "children": 201, "max_depth": 201}
