@@ -70,3 +70,10 @@ def test_summary_of_a_deep_forest_is_estimated_by_its_rows(grown):
     assert estimate(summary) < 10**60
     # the walk from 0 enters at b, so that a is cut: a, b, 0 to 199
     assert summary.first().asDict() == {"sessions": 204, "self_parents": 1, "orphans": 1, "cycles_cut": 1, "roots": 3, "children": 201, "max_depth": 201}
+
+
+def test_focus_on_a_deep_forest_is_estimated_by_its_rows(grown):
+    near = graph.focus(grown[1], grown[2], "100")
+    assert estimate(near) < 10**20
+    assert {r.id for r in near.collect()} == {"a", "b"} | {f"{i}" for i in range(200)}
+    assert [r.id for r in graph.focus(grown[1], grown[2], "self").collect()] == ["self"]
