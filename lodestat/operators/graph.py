@@ -117,6 +117,7 @@ def lineage_graph(shape: DataFrame, budget: int = 400) -> DataFrame:
     ones are one top-k by their parents' places. So many jobs there are, however deep the forest is.
     """
     budget = max(1, min(budget, MOST_NODES))
+    shape, _ = stored(shape.select("id", "parent", "depth", "subtree_size"))  # read by each of the jobs
     spark, total = shape.sparkSession, shape.count()
     # a level has one session at least, so that no more levels than the budget are reached
     widths = {r.depth: r["count"] for r in shape.where(F.col("depth") < budget).groupBy("depth").count().collect()}

@@ -77,3 +77,16 @@ def test_focus_on_a_deep_forest_is_estimated_by_its_rows(grown):
     assert estimate(near) < 10**20
     assert {r.id for r in near.collect()} == {"a", "b"} | {f"{i}" for i in range(200)}
     assert [r.id for r in graph.focus(grown[1], grown[2], "self").collect()] == ["self"]
+
+
+def test_graph_and_edges_of_a_deep_forest_are_estimated_by_their_rows(grown):
+    taken = graph.lineage_graph(grown[2], 5)
+    edges = graph.lineage_edges(taken)
+    assert estimate(taken) < 10**30 and estimate(edges) < 10**30
+    assert [r.id for r in taken.collect()] == ["a", "lost", "self", "b", "0"]
+    assert [tuple(r) for r in edges.collect()] == [("a", "b"), ("b", "0")]
+
+
+def test_jobs_of_the_graph_read_the_shape_once(spark, grown):
+    taken = graph.lineage_graph(grown[2], 5)
+    assert "sum(" not in taken._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in taken._jdf.queryExecution().optimizedPlan().toString()
