@@ -180,3 +180,15 @@ def test_figures_tell_how_far_they_hold(spark):
     assert got == {"tokens": ("exact", None, 2, 0), "relative_delta": ("exact", precision.MISSING["no_comparison_baseline"], 2, 1), "made_up": ("estimate", precision.MISSING["not_recorded"], 2, 1)}
     assert df.schema["model_id"].metadata == {}
     assert each(spark, [3.0, 0.0, -2.0], lambda c: S.relative_delta(c * 0 + 6.0, c), "double") == [1.0, None, None]
+
+
+def test_texts_of_sections_are_worked_out_once(tables):
+    plan = export.markdown_sections(*tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(export.WORDS["no_output"]) == plan.count(export.WORDS["no_system"]) == 1
+
+
+def test_beginnings_of_secrets_are_those_of_their_shapes(spark):
+    hints = ["sk-", "ghp_", "github_pat_", "xoxb-", "xapp-", "sk_live_", "AKIA", "ASIA", "BeArEr  ", "Api-Key: ", 'password"="', "token=", "-----BEGIN RSA PRIVATE KEY-----\n"]
+    texts = [f"see {h}{'A1B2C3D4E5F6G7H8I9J0'}{'-----END RSA PRIVATE KEY-----' if 'BEGIN' in h else ''}" for h in hints] + ["plain", "", None]
+    got = each(spark, texts, S.redacted)
+    assert got[-3:] == ["plain", "", None] and all(a != b and "B2C3D4" not in a for a, b in zip(got[:-3], texts)), got
