@@ -231,7 +231,7 @@ def searchable_text(variant: Column, type_: Column) -> Column:
 
     def of(p: Column) -> Column:
         kind = json_text(p, "$.type")
-        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.coalesce(pretty_json(F.try_variant_get(p, "$.state.input", "variant"), TOOL_CHARS), F.lit("")), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
+        tool = F.concat_ws("\n\n", *(F.nullif(x, F.lit("")) for x in (F.coalesce(tool_name(json_text(p, "$.name"), json_text(p, "$.tool")), F.lit("unknown")), F.coalesce(once(F.try_variant_get(p, "$.state.input", "variant"), lambda v: pretty_json(v, TOOL_CHARS)), F.lit("")), F.left(tool_output_text(p), F.lit(TOOL_CHARS)))))
         return F.when(kind == "reasoning", F.left(F.coalesce(json_text(p, "$.text"), F.lit("")), F.lit(REASONING_CHARS))).when(kind == "tool", tool).otherwise("")
 
     extra = F.when(type_ == "assistant", F.transform(parts, of))

@@ -145,15 +145,15 @@ def folded(text: Column) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM)))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(pieces)).otherwise(F.expr("cast(array() as array<string>)"))
+    """The distinct grams of a text, found in one pass: from each code point the look ahead takes a gram, then one code point is passed over."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1)))
 
 
 class MessageIndex:
     """Searchable texts of messages, and postings from their grams: what a search of many reads instead of all messages.
 
     `<name>_texts` holds id, session_id, type, time_created and text, bucketed by id; `<name>_grams` a row (gram, id) for
-    each distinct gram of a message, bucketed and sorted by gram, so that a search reads the buckets of its grams only.
+    each distinct gram of a window of a message, bucketed and sorted by gram, so that a search reads the buckets of its grams only.
     Grams are of folded texts, cut in windows of `window` code points that overlap, so that long texts don't make long arrays.
     """
 
@@ -166,12 +166,13 @@ class MessageIndex:
         rows = _searched(messages, sessions).dropDuplicates(["id"])
         if self.spark.catalog.tableExists(self.texts):
             rows = rows.join(self.spark.table(self.texts).select("id"), "id", "left_anti")
-        made = rows.select("id", "session_id", "type", "time_created", S.searchable_text(F.try_parse_json("data"), F.col("type")).alias("text"))
+        made = rows.select("id", "session_id", "type", "time_created", S.once(F.try_parse_json("data"), lambda v: S.searchable_text(v, F.col("type"))).alias("text"))
         made = cut_lineage(made)
         self._append(self.texts, made, "id")
         text = folded(F.col("text"))
         windows = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text), F.lit(window)), lambda i: F.substring(text, i, F.lit(window + GRAM - 1))))
-        posted = made.select("id", F.explode(windows).alias("part")).select("id", F.explode(_grams(F.col("part"))).alias("gram")).distinct()
+        # a gram in several windows is posted for each: distinct ones would be shuffled twice, and a search counts them once
+        posted = made.select("id", F.explode(windows).alias("part")).select("id", F.explode(_grams(F.col("part"))).alias("gram"))
         self._append(self.grams, posted.select("gram", "id"), "gram")
 
     def _append(self, table: str, rows: DataFrame, key: str) -> None:

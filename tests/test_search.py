@@ -100,3 +100,11 @@ def test_json_over_lines_is_linear_and_cut_first(spark):
     began = time.time()
     assert large.select(F.length(S.pretty_json(F.parse_json("d"), S.TOOL_CHARS))).first()[0] == S.TOOL_CHARS
     assert time.time() - began < 20
+
+
+def test_grams_are_found_in_one_pass_by_code_points(spark):
+    texts = ["\U0001f600a\U0001f601b\n\U0001f600a\U0001f601", "abcabc", "ab", "", None, "x\r\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(search._grams(F.col("t")).alias("g"))
+    want = [None if t is None else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in texts]
+    assert [r.g for r in df.collect()] == want
+    assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
