@@ -193,6 +193,12 @@ REASONING_CHARS, TOOL_CHARS = 100_000, 200_000
 _TOKEN = r'"(?:[^"\\]++|\\.)*+"?|\{\}|\[\]|[{}\[\],:]|[^{}\[\],:"]++'
 
 
+# An object of scalars only, as long as its pattern may be without deep recursion.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_MEMBER = rf'({_STRING}):({_STRING}|[^{{}}\[\],:"]++)'
+_FLAT, FLAT_CHARS = rf"^\{{{_MEMBER}(?:,{_MEMBER})*\}}$", 1000
+
+
 def _over_lines(tokens: Column, chunk: Column) -> Column:
     """JSON tokens as text over lines. The depth goes from token to token; arrays are grown in chunks of about the cube root of the tokens, since each append copies what it is added to."""
     line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
@@ -221,7 +227,10 @@ def pretty_json(variant: Column, most: int | None = None) -> Column:
     text = F.left(text, F.lit(most)) if most else text
     sized = lambda tokens: F.get(F.transform(F.array(F.greatest(F.lit(16), F.ceil(F.cbrt(2 * F.size(tokens))).cast("int"))), lambda chunk: _over_lines(tokens, chunk)), 0)
     # worked out once, then used by name
-    whole = F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))), lambda tokens: F.when(F.size(tokens) > 0, sized(tokens)).otherwise("")), 0)
+    nested = lambda t: once(F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)), lambda tokens: F.when(F.size(tokens) > 0, sized(tokens)).otherwise(""))
+    # the members of a flat object need no depth
+    flat = lambda t: F.concat(F.lit("{"), F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), f"{_MEMBER}(,?)", "\n  $1: $2$3"), F.lit("\n}"))
+    whole = once(text, lambda t: F.when((F.length(t) <= FLAT_CHARS) & t.rlike(_FLAT), flat(t)).otherwise(nested(t)))
     return F.when(variant.isNotNull() & (kind_of(variant) != "VOID"), F.left(whole, F.lit(most)) if most else whole)
 
 

@@ -108,3 +108,10 @@ def test_grams_are_found_in_one_pass_by_code_points(spark):
     want = [None if t is None else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))) for t in texts]
     assert [r.g for r in df.collect()] == want
     assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flat_objects_over_lines(spark):
+    flat = [{"a": 1}, {"a": "x,\"y\": {z", "b": None, "c": True, "d": -1.5, "": ""}, {"k": "back\\slash \n $1 \\"}, {"k": "y" * 2000, "l": 1}, {"a": {}}, {"a": []}, {}, {"a": ":", ":": ","}]
+    got = spark.createDataFrame([(json.dumps(x),) for x in flat], "d string").select(S.pretty_json(F.parse_json("d")).alias("w"), S.pretty_json(F.parse_json("d"), 9).alias("c")).collect()
+    want = [json.dumps(x, indent=2, sort_keys=True) for x in flat]
+    assert [r.w for r in got] == want and [r.c for r in got] == [w[:9] for w in want]
